@@ -58,7 +58,7 @@ def _ladder(start: Column, leaders: Column, words: Column, last: Column, thresho
     )
 
     def step(rungs: Column, s: Column) -> Column:
-        better = (F.size(rungs) == 0) | (s["score"] > F.element_at(rungs, -1)["score"])
+        better = (F.size(rungs) == 0) | (s["score"] > F.try_element_at(rungs, F.lit(-1))["score"])
         return F.when(_joins(s["score"], threshold) & better, F.concat(rungs, F.array(s))).otherwise(rungs)
 
     return F.aggregate(scored, start, step)
@@ -91,7 +91,7 @@ def leader_cluster(
     found = _in_chunks if not large.isEmpty() else _in_one_go
     ladders = found(nodes, block, threshold, chunk, rows.schema["_rank"].dataType.simpleString())
 
-    rung = F.element_at(F.filter("ladder", lambda r: r["rank"] <= F.col("_rank")), -1)["no"]
+    rung = F.try_element_at(F.filter("ladder", lambda r: r["rank"] <= F.col("_rank")), F.lit(-1))["no"]
     matched = rows.join(ladders, [block, "_node"]) if found is _in_one_go else salted_join(
         rows, ladders, [block, "_node"], "inner", salt_by=["_rank"]
     )
@@ -114,7 +114,7 @@ def _in_one_go(nodes: DataFrame, block: str, threshold: float, chunk: int, rank_
         "leaders", _leaders(F.col("items"), threshold, leader_type)
     )
     each = folded.select(block, "leaders", F.explode("items").alias("i"))
-    own = F.element_at(F.filter("leaders", lambda h: h["rank"] == F.col("i.rank")), -1)["no"]
+    own = F.try_element_at(F.filter("leaders", lambda h: h["rank"] == F.col("i.rank")), F.lit(-1))["no"]
     ladder = _ladder(F.array().cast(rung_type), F.col("leaders"), F.col("i.words"), F.col("i.last"), threshold)
     return each.select(block, F.col("i._node").alias("_node"), ladder.alias("ladder"), own.alias("own"))
 
