@@ -333,11 +333,11 @@ def votes_by_filer_type(t):
 
 
 @query("""
-SELECT round(0.0, 2) AS issuer_name, floor(1e4 * count(*) FILTER (WHERE l_orderkey % 13 = 0) / count(*) + 0.5) / 100 AS cusip,
-  round(0.0, 2) AS isin, floor(1e4 * count(*) FILTER (WHERE l_orderkey % 41 = 0) / count(*) + 0.5) / 100 AS meeting_date,
-  round(0.0, 2) AS description, round(0.0, 2) AS categories,
+SELECT 0.0::double AS issuer_name, floor(1e4 * count(*) FILTER (WHERE l_orderkey % 13 = 0) / count(*) + 0.5) / 100 AS cusip,
+  0.0::double AS isin, floor(1e4 * count(*) FILTER (WHERE l_orderkey % 41 = 0) / count(*) + 0.5) / 100 AS meeting_date,
+  0.0::double AS description, 0.0::double AS categories,
   floor(1e4 * count(*) FILTER (WHERE l_returnflag = 'R' AND l_linenumber = 4) / count(*) + 0.5) / 100 AS how_voted,
-  round(0.0, 2) AS mgmt_rec, round(0.0, 2) AS series_id FROM lineitem""")
+  0.0::double AS mgmt_rec, 0.0::double AS series_id FROM lineitem""")
 def blank_rates(t):
     rates = A.blank_rates(raw_votes(t), reports.BLANK_MARKS_BY_COLUMN)
     return rates.withColumnsRenamed(reports.BLANK_REPORT_NAMES)

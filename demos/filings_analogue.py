@@ -9,8 +9,7 @@ recovered them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from rollcall.plans.build import build
 
@@ -19,124 +18,99 @@ from .registry import Tables
 # Orders date from 1995 to 2001; both ends of the window cut some of them off.
 WINDOW = ("1995-07-01", "2001-03-31")
 
-
-def _pick(value: Column, cases: dict, otherwise=None) -> Column:
-    out = None
-    for key, answer in cases.items():
-        out = F.when(value == key, answer) if out is None else out.when(value == key, answer)
-    return out.otherwise(otherwise)
-
-
-def _padded(prefix: str, col: str, width: int) -> Column:
-    return F.concat(F.lit(prefix), F.lpad(F.col(col).cast("string"), width, "0"))
+ACCESSION = "concat('A', lpad(cast(o_orderkey AS string), 10, '0')) AS accession"
+SERIES_ID = "concat(if(l_suppkey % 2 = 1, ' s', 'S'), lpad(cast(l_suppkey AS string), 9, '0')) AS series_id"
 
 
 def _filings(t: Tables) -> DataFrame:
-    return t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"), "left")
+    return t.orders.join(t.customer, t.orders["o_custkey"] == t.customer["c_custkey"], "left")
 
 
 def raw_filings(t: Tables) -> DataFrame:
-    key, year = F.col("o_orderkey"), F.year("o_orderdate").cast("string")
-    return _filings(t).select(
-        _padded("A", "o_orderkey", 10).alias("accession"),
-        F.when(key % 9 == 0, "N-PX/A").otherwise("N-PX").alias("form_type"),
-        _padded("", "o_custkey", 10).alias("cik"),
-        F.concat(
-            F.when(F.col("c_nationkey") % 8 == 0, " Domini House ").otherwise(" House "),
-            F.col("c_nationkey").cast("string"), F.lit(" Trust "),
-        ).alias("company"),
-        F.when(key % 101 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date_filed"),
-        F.when(key % 97 == 0, "XX").when(F.col("o_orderstatus") == "P", "IM").otherwise("RMIC").alias("registrant_type"),
-        _pick(
-            F.col("o_orderpriority"),
-            {"3-MEDIUM": "FUND NOTICE REPORT", "2-HIGH": "Combination Voting Report", "5-LOW": F.lit(None)},
-            "Fund Voting Report",
-        ).alias("report_type"),
-        F.date_format("o_orderdate", "MM/dd/yyyy").alias("period_of_report"),
-        F.when(key % 53 == 0, "n/a").when(key % 5 == 0, F.concat(year, F.lit(".0"))).otherwise(year).alias("report_year"),
-        (key % 4).cast("string").alias("series_count"),
-        F.lit("ok").alias("status"),
+    return _filings(t).selectExpr(
+        ACCESSION,
+        "if(o_orderkey % 9 = 0, 'N-PX/A', 'N-PX') AS form_type",
+        "lpad(cast(o_custkey AS string), 10, '0') AS cik",
+        "concat(if(c_nationkey % 8 = 0, ' Domini House ', ' House '), c_nationkey, ' Trust ') AS company",
+        "if(o_orderkey % 101 <> 0, date_format(o_orderdate, 'yyyy-MM-dd'), NULL) AS date_filed",
+        "CASE WHEN o_orderkey % 97 = 0 THEN 'XX' WHEN o_orderstatus = 'P' THEN 'IM' ELSE 'RMIC' END AS registrant_type",
+        "CASE o_orderpriority WHEN '3-MEDIUM' THEN 'FUND NOTICE REPORT' WHEN '2-HIGH' THEN 'Combination Voting Report'"
+        " WHEN '5-LOW' THEN NULL ELSE 'Fund Voting Report' END AS report_type",
+        "date_format(o_orderdate, 'MM/dd/yyyy') AS period_of_report",
+        "CASE WHEN o_orderkey % 53 = 0 THEN 'n/a' WHEN o_orderkey % 5 = 0 THEN concat(year(o_orderdate), '.0')"
+        " ELSE cast(year(o_orderdate) AS string) END AS report_year",
+        "cast(o_orderkey % 4 AS string) AS series_count",
+        "'ok' AS status",
     )
 
 
-def _series_id() -> Column:
-    odd = F.col("l_suppkey") % 2 == 1
-    return F.when(odd, _padded(" s", "l_suppkey", 9)).otherwise(_padded("S", "l_suppkey", 9))
-
-
 def raw_series(t: Tables) -> DataFrame:
     lines = t.lineitem.select("l_orderkey", "l_suppkey").distinct()
-    joined = lines.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
-        t.supplier, F.col("l_suppkey") == F.col("s_suppkey")
-    )
-    theme = _pick(
-        F.col("l_suppkey") % 6, {0: "Green   Growth ", 1: " Sustainable Income ", 2: "Greenway Equity "}, "Equity "
+    joined = lines.join(t.orders, lines["l_orderkey"] == t.orders["o_orderkey"]).join(
+        t.supplier, lines["l_suppkey"] == t.supplier["s_suppkey"]
     )
-    old = F.when(F.year("o_orderdate") < 1998, " Old").otherwise("")
-    return joined.select(
-        _padded("A", "o_orderkey", 10).alias("accession"),
-        _series_id().alias("series_id"),
-        F.concat(theme, F.col("s_name"), old).alias("series_name"),
+    return joined.selectExpr(
+        ACCESSION,
+        SERIES_ID,
+        "concat(CASE l_suppkey % 6 WHEN 0 THEN 'Green   Growth ' WHEN 1 THEN ' Sustainable Income '"
+        " WHEN 2 THEN 'Greenway Equity ' ELSE 'Equity ' END, s_name, if(year(o_orderdate) < 1998, ' Old', '')) AS series_name",
     )
 
 
-TITLES = {
-    "ECONOMY": "Report on climate transition plan", "MEDIUM": "Human rights due diligence",
-    "LARGE": "Report on lobbying expenditure", "SMALL": "Revisit plastics packaging goals",
-    "PROMO": "Independent chair policy", "STANDARD": "Report on risks of esg goals",
-}
-CATEGORIES = {
-    "ECONOMY": "ENVIRONMENT OR CLIMATE|SECTION 14A SAY-ON-PAY VOTES", "MEDIUM": "HUMAN RIGHTS|DIRECTOR ELECTIONS",
-    "LARGE": "Corporate Governance", "SMALL": "Environment or Climate", "PROMO": "OTHER SOCIAL ISSUES",
-    "STANDARD": "ENVIRONMENT OR CLIMATE",
-}
+TITLE = """CASE p_type WHEN 'ECONOMY' THEN 'Report on climate transition plan'
+  WHEN 'MEDIUM' THEN 'Human rights due diligence' WHEN 'LARGE' THEN 'Report on lobbying expenditure'
+  WHEN 'SMALL' THEN 'Revisit plastics packaging goals' WHEN 'PROMO' THEN 'Independent chair policy'
+  ELSE 'Report on risks of esg goals' END AS title"""
+CATEGORIES = """CASE p_type WHEN 'ECONOMY' THEN 'ENVIRONMENT OR CLIMATE|SECTION 14A SAY-ON-PAY VOTES'
+  WHEN 'MEDIUM' THEN 'HUMAN RIGHTS|DIRECTOR ELECTIONS' WHEN 'LARGE' THEN 'Corporate Governance'
+  WHEN 'SMALL' THEN 'Environment or Climate' WHEN 'PROMO' THEN 'OTHER SOCIAL ISSUES'
+  ELSE 'ENVIRONMENT OR CLIMATE' END AS categories"""
+
+
+def _written(fmt: str) -> str:
+    return f"date_format(trunc(o_orderdate, 'quarter'), '{fmt}')"
 
 
 def raw_votes(t: Tables) -> DataFrame:
-    order, line = F.col("o_orderkey"), F.col("l_linenumber")
-    shares = F.col("l_quantity").cast("long").cast("string")
-    segment = F.substring("c_mktsegment", 1, 4)
-    day = F.trunc("o_orderdate", "quarter")
-    title = _pick(F.col("p_type"), TITLES)
-    written = _pick(
-        order % 4,
-        {
-            1: F.concat(F.lit("Shareholder Proposal Regarding "), title),
-            2: F.concat(title, F.lit(" ("), line.cast("string"), F.lit(")")),
-            3: F.concat(title, F.lit(" "), F.substring_index("p_name", " ", 1)),
-        },
-        title,
+    lines = t.lineitem
+    proposals = t.part.selectExpr("p_partkey", TITLE, CATEGORIES, "substring_index(p_name, ' ', 1) AS colour")
+    filed = _filings(t).selectExpr(
+        "o_orderkey", "c_mktsegment", "substr(c_mktsegment, 1, 4) AS code",
+        f"CASE WHEN o_orderkey % 41 = 0 THEN NULL WHEN o_orderkey % 6 = 0 THEN {_written('M/d/yyyy')}"
+        f" WHEN o_orderkey % 6 = 1 THEN {_written('MM/dd/yy')} WHEN o_orderkey % 6 = 2 THEN {_written('d-MMM-yyyy')}"
+        f" WHEN o_orderkey % 6 = 3 THEN {_written('dd-MMM-yy')} WHEN o_orderkey % 6 = 4 THEN {_written('yyyyMMdd')}"
+        f" ELSE {_written('MM/dd/yyyy')} END AS meeting_date",
     )
-    layouts = {0: "M/d/yyyy", 1: "MM/dd/yy", 2: "d-MMM-yyyy", 3: "dd-MMM-yy", 4: "yyyyMMdd", 5: "MM/dd/yyyy"}
-    joined = (
-        t.lineitem.join(_filings(t), F.col("l_orderkey") == order)
-        .join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    # Two large tables on their common key: a merge join, as their sizes would have it on a cluster.
+    joined = lines.join(filed.hint("merge"), lines["l_orderkey"] == filed["o_orderkey"]).join(
+        proposals, lines["l_partkey"] == proposals["p_partkey"]
     )
-    return joined.select(
-        _padded("A", "o_orderkey", 10).alias("accession"),
-        F.concat("c_mktsegment", F.when(order % 2 == 0, " Holdings, Inc.").otherwise(" Inc")).alias("issuer_name"),
-        F.when(order % 13 == 0, "N/A").otherwise(F.concat(F.lit(" 00000"), F.lower(segment))).alias("cusip"),
-        F.concat(F.lit("US000000"), segment).alias("isin"),
-        F.when(order % 41 != 0, _pick(order % 6, {k: F.date_format(day, v) for k, v in layouts.items()})).alias("meeting_date"),
-        written.alias("vote_description"),
-        _pick(F.col("p_type"), CATEGORIES).alias("categories"),
-        F.when(order % 211 == 0, "Vote Source").when(F.col("l_linestatus") == "O", "SECURITY HOLDER")
-        .when(line % 3 == 0, " Issuer ").when(line % 3 == 1, "mgmt").otherwise("Security Holder").alias("vote_source"),
-        shares.alias("shares_voted_total"),
-        F.lit("0").alias("shares_on_loan"),
-        _pick(
-            F.col("l_returnflag"),
-            {
-                "N": _pick(line % 3, {0: "For", 1: " f "}, "YES"),
-                "A": _pick(line % 3, {0: "Against", 1: "a"}, "No"),
-            },
-            _pick(line, {1: "withheld", 2: "With-hold", 3: "1-Year", 4: "", 5: "TNA", 6: "For  All"}, "Abstain"),
-        ).alias("how_voted"),
-        F.when((line == 7) & (F.col("l_quantity") > 40), "1,000")
-        .when(line == 6, F.concat(shares, F.lit(".0"))).otherwise(shares).alias("shares_voted"),
-        _pick((F.col("l_partkey") + line) % 4, {0: "For", 1: "against", 2: "None"}, " FOR ").alias("management_recommendation"),
-        _series_id().alias("series_id"),
-        F.lit("").alias("other_info"),
+    return joined.selectExpr(
+        ACCESSION,
+        "concat(c_mktsegment, if(o_orderkey % 2 = 0, ' Holdings, Inc.', ' Inc')) AS issuer_name",
+        "if(o_orderkey % 13 = 0, 'N/A', concat(' 00000', lower(code))) AS cusip",
+        "concat('US000000', code) AS isin",
+        "meeting_date",
+        "CASE o_orderkey % 4 WHEN 1 THEN concat('Shareholder Proposal Regarding ', title)"
+        " WHEN 2 THEN concat(title, ' (', l_linenumber, ')') WHEN 3 THEN concat(title, ' ', colour)"
+        " ELSE title END AS vote_description",
+        "categories",
+        "CASE WHEN o_orderkey % 211 = 0 THEN 'Vote Source' WHEN l_linestatus = 'O' THEN 'SECURITY HOLDER'"
+        " WHEN l_linenumber % 3 = 0 THEN ' Issuer ' WHEN l_linenumber % 3 = 1 THEN 'mgmt'"
+        " ELSE 'Security Holder' END AS vote_source",
+        "cast(cast(l_quantity AS long) AS string) AS shares_voted_total",
+        "'0' AS shares_on_loan",
+        "CASE l_returnflag WHEN 'N' THEN CASE l_linenumber % 3 WHEN 0 THEN 'For' WHEN 1 THEN ' f ' ELSE 'YES' END"
+        " WHEN 'A' THEN CASE l_linenumber % 3 WHEN 0 THEN 'Against' WHEN 1 THEN 'a' ELSE 'No' END"
+        " ELSE CASE l_linenumber WHEN 1 THEN 'withheld' WHEN 2 THEN 'With-hold' WHEN 3 THEN '1-Year' WHEN 4 THEN ''"
+        " WHEN 5 THEN 'TNA' WHEN 6 THEN 'For  All' ELSE 'Abstain' END END AS how_voted",
+        "CASE WHEN l_linenumber = 7 AND l_quantity > 40 THEN '1,000'"
+        " WHEN l_linenumber = 6 THEN concat(cast(l_quantity AS long), '.0')"
+        " ELSE cast(cast(l_quantity AS long) AS string) END AS shares_voted",
+        "CASE (l_partkey + l_linenumber) % 4 WHEN 0 THEN 'For' WHEN 1 THEN 'against' WHEN 2 THEN 'None'"
+        " ELSE ' FOR ' END AS management_recommendation",
+        SERIES_ID,
+        "'' AS other_info",
     )
 
 

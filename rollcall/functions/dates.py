@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,8 +18,8 @@ DATE_SHAPES = [
     (r"^\d{1,2}-[A-Za-z]{3}-\d{2}$", "d-MMM-yy"),
     (r"^\d{8}$", "yyyyMMdd"),
 ]
-# Two-digit years from this one on belong to the previous century.
-CENTURY_PIVOT = 2069
+# Two-digit years from here on belong to the previous century.
+CENTURY_PIVOT = datetime.date(2069, 1, 1)
 
 
 def parse_date(text, fmt: str) -> Column:
@@ -26,7 +28,7 @@ def parse_date(text, fmt: str) -> Column:
 
 
 def _two_digit_year(day: Column) -> Column:
-    return F.when(F.year(day) >= CENTURY_PIVOT, F.add_months(day, -1200)).otherwise(day)
+    return F.when(day >= F.lit(CENTURY_PIVOT), F.add_months(day, -1200)).otherwise(day)
 
 
 def parse_date_any(text, shapes=None) -> Column:

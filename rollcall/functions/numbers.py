@@ -50,7 +50,7 @@ _DIGIT_GAP = r"(?<=[0-9])_(?=[0-9])"
 def safe_double(text) -> Column:
     """Text to double, NULL where it is not a number."""
     text = as_column(text)
-    plain = F.regexp_replace(text, _DIGIT_GAP, "")
+    plain = F.when(text.contains("_"), F.regexp_replace(text, _DIGIT_GAP, "")).otherwise(text)
     return F.when(~text.rlike(_JAVA_SUFFIX), plain.try_cast("double"))
 
 

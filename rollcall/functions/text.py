@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,8 +20,10 @@ BLANKS = r"[ \t\n\f\r]"
 
 
 def trim(text) -> Column:
-    """Strip Unicode spaces from both ends."""
-    return F.btrim(as_column(text), F.lit(SPACE_SEPARATORS))
+    """Strip Unicode spaces from both ends; all-ASCII text takes the quicker plain trim."""
+    text = as_column(text)
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return F.when(ascii_only, F.trim(text)).otherwise(F.btrim(text, F.lit(SPACE_SEPARATORS)))
 
 
 def squeeze(text, pattern: str = BLANKS + "+", replacement: str = " ") -> Column:
@@ -37,12 +41,17 @@ def upper_key(text) -> Column:
     return F.upper(trim(squeeze(F.coalesce(as_column(text), F.lit("")), r"[ \t\n\f\r-]+")))
 
 
-def validated_code(text, length: int) -> Column:
-    """An identifier in upper case where it has exactly ``length`` characters, else NULL."""
-    code = trim(text)
+def sized_code(code, length: int) -> Column:
+    """A trimmed identifier in upper case where it has exactly ``length`` characters, else NULL."""
+    code = as_column(code)
     return F.when(F.length(code) == length, F.upper(code))
 
 
+def validated_code(text, length: int) -> Column:
+    """An identifier, trimmed and in upper case, where it has exactly ``length`` characters, else NULL."""
+    return sized_code(trim(text), length)
+
+
 def whole_word(pattern: str) -> str:
     """The pattern between ASCII word boundaries, whatever letters stand next to it."""
     return rf"(?<![0-9A-Za-z_])(?:{pattern})(?![0-9A-Za-z_])"
@@ -62,10 +71,7 @@ def matches_any_of(first, second, pattern: str) -> Column:
 def has_any(text, words) -> Column:
     """True where the text contains one of the words."""
     text = as_column(text)
-    out = F.lit(False)
-    for word in words:
-        out = out | text.contains(word)
-    return out
+    return reduce(lambda a, b: a | b, [text.contains(word) for word in words])
 
 
 def fingerprint(text) -> Column:

@@ -40,7 +40,9 @@ def build(
     keep("quality_summary", marts.quality_summary(votes))
     funds = keep("funds", marts.funds(series, filings))
 
-    answers = keep("fund_answers", marts.fund_answers(votes, filings, funds))
+    answers = marts.fund_answers(votes, filings, funds)
+    # Labelling reads the answers and so does the labelled fact: settle them once.
+    answers = keep("fund_answers", answers if store else cut_lineage(answers))
     if labels is None:
         wordings = keep("wordings", labelling.wordings(answers))
         matched = cut_lineage(labelling.match_proposals(wordings, threshold))

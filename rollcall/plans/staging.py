@@ -46,31 +46,42 @@ def drop_headings(df: DataFrame, headings=None) -> DataFrame:
 
 def clean_votes(raw: DataFrame, window: tuple[str, str] = V.MEETING_WINDOW) -> DataFrame:
     """One row per vote record, with standard answers, dates, identifiers and topics."""
-    proposer = F.upper(text.trim(F.coalesce("vote_source", F.lit(""))))
-    keyed = drop_headings(raw).select(
+    # Three steps, so that what later expressions use several times is computed once.
+    trimmed = drop_headings(raw).select(
         F.col("accession").alias("filing_id"),
-        F.nullif(F.upper(text.trim("series_id")), F.lit("")).alias("fund_id"),
+        F.upper(text.trim("series_id")).alias("fund_id"),
         text.trim("issuer_name").alias("issuer_name"),
-        text.validated_code("cusip", 9).alias("cusip"),
-        text.validated_code("isin", 12).alias("isin"),
-        dates.clamp_date(dates.parse_date_any(text.trim("meeting_date")), *window).alias("meeting_date"),
+        text.trim("cusip").alias("cusip"),
+        text.trim("isin").alias("isin"),
+        text.trim("meeting_date").alias("meeting_date"),
         text.trim("vote_description").alias("proposal_text"),
         F.upper(F.coalesce("categories", F.lit(""))).alias("categories"),
-        decide.standardise(proposer, V.PROPOSERS, other="unknown").alias("proposed_by"),
+        F.upper(text.trim(F.coalesce("vote_source", F.lit("")))).alias("_source"),
         text.upper_key("how_voted").alias("vote_as_filed"),
         text.upper_key("management_recommendation").alias("_rec"),
-        numbers.safe_double("shares_voted").alias("shares_voted"),
-        numbers.safe_double("shares_on_loan").alias("shares_on_loan"),
+        "shares_voted",
+        "shares_on_loan",
+    )
+    parsed = trimmed.select(
+        "*",
+        dates.parse_date_any("meeting_date").alias("_day"),
+        decide.standardise("_rec", V.VERSUS_MANAGEMENT, other="NONE").alias("versus_management"),
     )
-    versus = decide.standardise("_rec", V.VERSUS_MANAGEMENT, other="NONE")
-    return keyed.select(
-        "filing_id", "fund_id", "issuer_name", "cusip", "isin", "meeting_date", "proposal_text", "categories",
+    return parsed.select(
+        "filing_id",
+        F.when(F.col("fund_id") != "", F.col("fund_id")).alias("fund_id"),
+        "issuer_name",
+        text.sized_code("cusip", 9).alias("cusip"),
+        text.sized_code("isin", 12).alias("isin"),
+        dates.clamp_date("_day", *window).alias("meeting_date"),
+        "proposal_text",
+        "categories",
         *[text.has_any("categories", words).alias(flag) for flag, words in V.TOPIC_FLAGS.items()],
-        "proposed_by",
+        decide.standardise("_source", V.PROPOSERS, other="unknown").alias("proposed_by"),
         decide.standardise("vote_as_filed", V.ANSWERS, V.ANSWER_OTHER, V.ANSWER_BLANK).alias("vote"),
-        versus.alias("versus_management"),
-        decide.word_to_bool(versus, "WITH", "AGAINST").alias("voted_with_management"),
-        "shares_voted",
-        "shares_on_loan",
+        "versus_management",
+        decide.word_to_bool("versus_management", "WITH", "AGAINST").alias("voted_with_management"),
+        numbers.safe_double("shares_voted").alias("shares_voted"),
+        numbers.safe_double("shares_on_loan").alias("shares_on_loan"),
         "vote_as_filed",
     )
