@@ -198,7 +198,7 @@ def keyword_rules(t):
 
 
 @query(r"""
-SELECT doc_id, length(one) AS n, md5(one) AS squeezed, md5(upper(regexp_replace(one, '[ -]+', ' ', 'g'))) AS keyed,
+SELECT doc_id, length(one) AS n, md5(one) AS squeezed, md5(lower(regexp_replace(one, '[ -]+', ' ', 'g'))) AS keyed,
   coalesce(nullif(upper(trim(lang)), 'EN'), 'none') AS lang,
   regexp_replace(regexp_replace('/' || source || '.v1 ' || lang || '/', '[^a-zA-Z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS token
 FROM (SELECT *, trim(regexp_replace(text, '[ \t\n\f\r]+', ' ', 'g')) AS one FROM documents)""")
@@ -209,7 +209,7 @@ def string_cleanup(t):
         "doc_id",
         F.length("one").cast("long").alias("n"),
         F.md5("one").alias("squeezed"),
-        F.md5(F.upper(text.squeeze("one", "[ -]+"))).alias("keyed"),
+        F.md5(F.lower(text.squeeze("one", "[ -]+"))).alias("keyed"),
         F.coalesce(F.nullif(F.upper(text.trim("lang")), F.lit("EN")), F.lit("none")).alias("lang"),
         text.safe_token(name).alias("token"),
     )

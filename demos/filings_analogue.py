@@ -172,8 +172,8 @@ WITH filings AS (
     max(filer_cik) FILTER (WHERE latest = 1 AND filed_date IS NOT NULL) AS filer_cik,
     count(DISTINCT fund_name) AS names_used, min(report_year) AS first_report_year, max(report_year) AS last_report_year,
     CASE WHEN bool_or(latest = 1 AND filed_date IS NOT NULL) THEN any_value(fund) % 6 < 2 END AS is_esg_named
-  FROM (SELECT *, row_number() OVER (PARTITION BY fund_id ORDER BY filed_date DESC NULLS LAST, filing_id DESC) AS latest
-    FROM named) GROUP BY fund_id
+  FROM (SELECT *, row_number() OVER (PARTITION BY fund_id ORDER BY filed_date DESC NULLS LAST, filer_cik DESC,
+      fund_name DESC, filer_name DESC) AS latest FROM named) GROUP BY fund_id
 ), wanted AS (
   SELECT *, coalesce(cusip, upper(issuer_name)) || '|' || coalesce(meeting_date::varchar, '') || '|'
       || md5(regexp_replace(lower(proposal_text), '[^a-z0-9]', '', 'g')) AS proposal_key,
