@@ -45,11 +45,8 @@ def metric_at_most(df: DataFrame, col: str, limit) -> DataFrame:
     return df.select(col).filter(F.col(col) > limit)
 
 
-def row_count_audit(source: DataFrame, target: DataFrame, name: str, stamp: Column) -> DataFrame:
-    """One row: rows at both ends and whether they agree."""
-    counts = one_row(
-        source.agg(F.count(F.lit(1)).alias("local_rows")), target.agg(F.count(F.lit(1)).alias("cloud_rows"))
-    )
+def audit_rows(counts: DataFrame, name: str, stamp: Column) -> DataFrame:
+    """Audit columns for a table of local_rows and cloud_rows."""
     return counts.select(
         stamp.alias("published_at"),
         F.lit(name).alias("table_name"),
@@ -59,6 +56,13 @@ def row_count_audit(source: DataFrame, target: DataFrame, name: str, stamp: Colu
     )
 
 
+def row_count_audit(source: DataFrame, target: DataFrame, name: str, stamp: Column) -> DataFrame:
+    """One row: rows at both ends and whether they agree."""
+    n = F.count(F.lit(1))
+    counts = one_row(source.agg(n.alias("local_rows")), target.agg(n.alias("cloud_rows")))
+    return audit_rows(counts, name, stamp)
+
+
 def fresh(df: DataFrame, stamp: str, max_days: int, now: Column) -> DataFrame:
     """The last stamp, if it is more than ``max_days`` whole days old."""
     last = df.agg(F.max(stamp).alias("last_publish"))

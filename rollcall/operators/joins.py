@@ -1,7 +1,7 @@
 """Joins.
 
-No join here carries a broadcast hint: a side is broadcast only when Spark has
-measured it below the session's threshold. Otherwise it is shuffled, and a hot
+No join of data with data carries a broadcast hint: a side is broadcast only when
+Spark has measured it below the session's threshold. Otherwise it is shuffled, and a hot
 key is split, either by adaptive skew handling or by the explicit salt.
 """
 

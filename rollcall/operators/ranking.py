@@ -32,7 +32,8 @@ def with_position(
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    out = placed.join(starts, "_part").withColumn(name, F.col("_start") + F.col("_at") + 1)
+    # One row per partition of the sort: a size fixed by the shuffle, whatever the data.
+    out = placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_at") + 1)
     out = out.drop("_slot", "_part", "_at", "_start")
     if not within:
         return out

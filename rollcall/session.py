@@ -15,9 +15,6 @@ ADAPTIVE_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
-    # Methods above this size are never compiled by the JVM. Wide cleaning projections
-    # run about twice as fast when Spark splits them instead of fusing them.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

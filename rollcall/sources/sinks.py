@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from rollcall.operators.checks import row_count_audit
+from rollcall.operators.checks import audit_rows
 from rollcall.operators.profile import stored_size
 
 
@@ -18,6 +18,22 @@ def write_curated(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     return df.sparkSession.read.parquet(path)
 
 
+def write_counted(df: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """Replace a Parquet table; returns it as read back, and the rows that went in.
+
+    The rows are counted while they are written, so the table is computed once.
+    """
+    sent = Observation()
+    back = write_curated(df.observe(sent, F.count(F.lit(1)).alias("n")), path)
+    return back, sent.get["n"]
+
+
+def audit_written(back: DataFrame, sent: int, name: str, stamp: Column) -> DataFrame:
+    """One audit row: the rows that were sent against the rows that can be read back."""
+    counts = back.agg(F.count(F.lit(1)).alias("cloud_rows")).withColumn("local_rows", F.lit(sent).cast("long"))
+    return audit_rows(counts, name, stamp)
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """A small result as one CSV file with a header."""
     df.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
@@ -51,9 +67,9 @@ def publish(
             sent = df.agg(F.count(F.lit(1)).alias("local_rows")).select(F.lit(name).alias("table_name"), "local_rows")
         else:
             path = f"{target}/{name}"
-            back = write_curated(df, path)
+            back, rows = write_counted(df, path)
             size = stored_size(df.sparkSession, path).scalar()
-            sent = row_count_audit(df, back, name, stamp).withColumn("cloud_mb", size)
+            sent = audit_written(back, rows, name, stamp).withColumn("cloud_mb", size)
         out = sent if out is None else out.unionByName(sent)
     if not dry_run:
         out.write.mode("append").parquet(f"{target}/load_audit")

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall import values as V
-from rollcall.operators.checks import row_count_audit
 from rollcall.operators.joins import todo
+from rollcall.sources.sinks import audit_written, write_counted
 from rollcall.sources.text_tables import read_text_csv, text_schema
 
 BATCH = "ingest_batch"
@@ -38,11 +38,6 @@ def skip_done(batch: DataFrame, done: DataFrame, key: str = "accession") -> Data
     return todo(batch, done.select(key).distinct(), key)
 
 
-def audit_batch(batch: DataFrame, written: DataFrame, name: str) -> DataFrame:
-    """Row counts of a batch before and after writing."""
-    return row_count_audit(batch, written, name, F.current_timestamp())
-
-
 def ingest_available(
     spark: SparkSession,
     folder: str,
@@ -68,12 +63,11 @@ def ingest_available(
             return
         rows = read_text_csv(session, paths, V.VOTE_COLUMNS)
         place = f"{target}/{BATCH}={own}"
-        rows.write.mode("overwrite").parquet(place)
-        written = session.read.schema(text_schema(V.VOTE_COLUMNS)).parquet(place)
+        written, sent = write_counted(rows, place)
         if audit:
-            audit_batch(rows, written, own).write.mode("append").parquet(audit)
+            audit_written(written, sent, own, F.current_timestamp()).write.mode("append").parquet(audit)
         counts["new_vote_files"] += len(paths)
-        counts["new_votes"] += written.count()
+        counts["new_votes"] += sent
 
     # Only the listing is streamed; the contents are read per batch, with their header layouts.
     listing = (
