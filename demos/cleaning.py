@@ -94,7 +94,8 @@ SELECT answer, versus, proposer, count(*) AS n FROM (SELECT
   CASE WHEN l_linestatus = 'O' THEN 'shareholder' WHEN l_linenumber < 4 THEN 'company' ELSE 'unknown' END AS proposer
   FROM lineitem) GROUP BY ALL""")
 def standardise_values(t):
-    written = t.lineitem.selectExpr(
+    lines = spread(t.lineitem.select("l_returnflag", "l_linenumber", "l_linestatus"))
+    written = lines.selectExpr(
         "CASE l_returnflag WHEN 'A' THEN CASE l_linenumber WHEN 1 THEN 'Yes' WHEN 2 THEN 'AGAINST-' WHEN 3 THEN 'withold'"
         " WHEN 4 THEN 'maybe' WHEN 5 THEN 'did   not-vote' WHEN 6 THEN ' ' ELSE 'two-years' END"
         " WHEN 'N' THEN if(l_linenumber < 4, ' for', 'F') ELSE if(l_linenumber < 4, 'no', 'Against ') END AS a",

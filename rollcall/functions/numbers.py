@@ -11,6 +11,11 @@ def as_column(value) -> Column:
     return value if isinstance(value, Column) else F.col(value)
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, where ``use`` mentions it in several branches."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def round_half_up(value, digits: int = 0) -> Column:
     """Round the binary double half away from zero: 1.005 to two digits is 1.0, not 1.01."""
     value = as_column(value).cast("double")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall import values as V
+from rollcall.functions.numbers import bind
 from rollcall.functions.text import similarity_from, word_overlap
 from rollcall.session import cut_lineage
 
@@ -27,9 +28,8 @@ CHUNK = 512
 
 
 def _score(a: Column, b: Column) -> Column:
-    """Similarity, with the shared-word count bound once (a lambda has no common subexpressions)."""
-    bound = F.transform(F.array(word_overlap(a, b)), lambda s: similarity_from(s, F.size(a), F.size(b)))
-    return F.element_at(bound, 1)
+    """Similarity; the shared-word count is bound, as a lambda shares no common subexpressions."""
+    return bind(word_overlap(a, b), lambda shared: similarity_from(shared, F.size(a), F.size(b)))
 
 
 def _joins(score: Column, threshold: float) -> Column:

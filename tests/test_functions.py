@@ -147,3 +147,15 @@ def test_hash_split_is_stable(spark):
     got = apply(spark, replies.hash_split("x"), [str(i) for i in range(200)])
     assert got == apply(spark, replies.hash_split("x"), [str(i) for i in range(200)])
     assert 30 <= got.count("dev") <= 90
+
+
+def test_shared_starts_match_the_same_texts(spark):
+    import re
+
+    for patterns in (V.OPPOSES_PATTERNS, V.SUPPORTS_PATTERNS):
+        flat, grouped = "|".join(patterns), text.any_of(patterns)
+        words = ["risk", "risks of esg", "de bank", "debank", "h 1b", "nonfiduciary", "anti esg", "roi", "heroic", "paris",
+                 "dei", "deity", "coal", "coalition", "water", "waterfall", "cost of net zero", "lgbtq risk", "eliminate the goals",
+                 "eliminates", "ai board", "ai", "c", "", "gun", "begun", "tax practices", "vote", "voters"]
+        for word in words:
+            assert bool(re.search(flat, word)) == bool(re.search(grouped, word)), word
