@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 
@@ -33,12 +34,18 @@ def build(
         out[name] = materialise(df, name, kind, store, partition_by)
         return out[name]
 
+    def keep_together(*tables: tuple) -> list[DataFrame]:
+        """Tables that do not need each other are written at the same time, to fill the cluster."""
+        with ThreadPoolExecutor(len(tables)) as pool:
+            return list(pool.map(lambda table: keep(*table), tables))
+
     filings = keep("filings", staging.filings(raw["filings"]), "view")
     series = keep("series", staging.series(raw["series"]), "view")
     clean = keep("clean_votes", staging.clean_votes(raw["votes"], window), "view")
-    votes = keep("votes", marts.votes(clean, filings), partition_by=["report_year"])
-    keep("quality_summary", marts.quality_summary(votes))
-    funds = keep("funds", marts.funds(series, filings))
+    votes, funds = keep_together(
+        ("votes", marts.votes(clean, filings), "table", ["report_year"]),
+        ("funds", marts.funds(series, filings)),
+    )
 
     answers = marts.fund_answers(votes, filings, funds)
     # Labelling reads the answers and so does the labelled fact: settle them once.
@@ -51,10 +58,15 @@ def build(
     labels = keep("proposal_labels", labels)
     fact = keep("fund_es_votes", marts.fund_es_votes(answers, labels))
 
-    keep("sibling_comparison", marts.sibling_comparison(fact))
-    keep("support_by_direction", marts.support_by_direction(fact))
-    topics = keep("fund_year_topic", marts.fund_year_topic(votes))
-    keep("topic_trends", reports.topic_trends(topics))
-    keep("fund_scorecard", reports.fund_scorecard(funds, topics, fact))
-    keep("house_gap", reports.house_gap(fact))
+    _, topics, *_ = keep_together(
+        ("quality_summary", marts.quality_summary(votes)),
+        ("fund_year_topic", marts.fund_year_topic(votes)),
+        ("sibling_comparison", marts.sibling_comparison(fact)),
+        ("support_by_direction", marts.support_by_direction(fact)),
+        ("house_gap", reports.house_gap(fact)),
+    )
+    keep_together(
+        ("topic_trends", reports.topic_trends(topics)),
+        ("fund_scorecard", reports.fund_scorecard(funds, topics, fact)),
+    )
     return out

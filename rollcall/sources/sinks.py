@@ -12,9 +12,16 @@ from rollcall.operators.profile import stored_size
 
 
 def write_curated(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Replace a Parquet table and return it as read back."""
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    """Replace a Parquet table and return it as read back.
+
+    A partitioned table is rebalanced on its partition columns first. Without that every
+    task writes a file into every partition, and a table read from many small files
+    stays in many small files; rebalancing also splits a partition that is too large.
+    """
+    if partition_by:
+        df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
