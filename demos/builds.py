@@ -316,20 +316,87 @@ def votes_by_year_and_kind(t):
     return reports.votes_by_year_and_kind(staged(t)["votes"])
 
 
+def _profile(t, section: str) -> DataFrame:
+    tables = raw(t)
+    return reports.raw_profile(tables["filings"], tables["series"], tables["votes"])[section]
+
+
+RAW_YEAR = "CASE WHEN k % 53 = 0 THEN 'n/a' WHEN k % 5 = 0 THEN y || '.0' ELSE y::varchar END"
+RAW_KIND = "CASE filer_kind WHEN 'fund' THEN 'RMIC' WHEN 'manager' THEN 'IM' ELSE 'XX' END"
+
+
 @query(expected("""
 SELECT count(*) AS fund_votes, count(*) AS with_series_id, count(*) AS with_matching_name
 FROM lineitem JOIN filings ON k = l_orderkey WHERE filer_kind = 'fund'"""))
 def series_coverage(t):
-    tables = raw(t)
-    return reports.raw_profile(tables["filings"], tables["series"], tables["votes"])["series_coverage"]
+    return _profile(t, "series_coverage")
 
 
-@query(expected("""
-SELECT CASE filer_kind WHEN 'fund' THEN 'RMIC' WHEN 'manager' THEN 'IM' ELSE 'XX' END AS registrant_type,
-  count(*) AS votes, count(DISTINCT l_orderkey) AS filings FROM lineitem JOIN filings ON k = l_orderkey GROUP BY 1"""))
+@query(expected(f"""
+SELECT {RAW_KIND} AS registrant_type, count(*) AS votes, count(DISTINCT l_orderkey) AS filings
+FROM lineitem JOIN filings ON k = l_orderkey GROUP BY 1"""))
 def votes_by_filer_type(t):
-    tables = raw(t)
-    return reports.raw_profile(tables["filings"], tables["series"], tables["votes"])["votes_by_filer_type"]
+    return _profile(t, "votes_by_filer_type")
+
+
+@query(expected(f"""
+SELECT ' ' || filer_name || ' ' AS company, {RAW_KIND} AS registrant_type, {RAW_YEAR} AS report_year, count(*) AS votes
+FROM lineitem JOIN filings ON k = l_orderkey GROUP BY 1, 2, 3 ORDER BY votes DESC, company, report_year, registrant_type LIMIT 25"""))
+def largest_filings(t):
+    return _profile(t, "largest_filings")
+
+
+@query(expected(f"""
+SELECT CASE WHEN k % 9 = 0 THEN 'N-PX/A' ELSE 'N-PX' END AS form_type, {RAW_KIND} AS registrant_type,
+  CASE report_kind WHEN 'notice' THEN 'FUND NOTICE REPORT' WHEN 'combination' THEN 'Combination Voting Report'
+    WHEN 'voting' THEN 'Fund Voting Report' END AS report_type, count(*) AS filings FROM filings GROUP BY 1, 2, 3"""))
+def filings_by_form(t):
+    return _profile(t, "filings_by_form")
+
+
+@query(expected("""
+SELECT 'filings' AS item, count(*) AS n FROM orders UNION ALL SELECT 'votes', count(*) FROM lineitem JOIN filings ON k = l_orderkey
+UNION ALL SELECT 'fund names', count(*) FROM named
+UNION ALL SELECT 'filings that have votes', count(DISTINCT l_orderkey) FROM lineitem JOIN filings ON k = l_orderkey"""))
+def raw_row_counts(t):
+    return _profile(t, "row_counts")
+
+
+@query(expected("""
+SELECT count(*) AS fund_rows, count(DISTINCT fund) AS distinct_funds,
+  count(DISTINCT CASE WHEN fund % 6 < 3 THEN fund END) AS esg_named_funds FROM named"""))
+def themed_names(t):
+    return _profile(t, "themed_names")
+
+
+@query(expected("""
+SELECT DISTINCT CASE fund % 6 WHEN 0 THEN replace(fund_name, 'Green Growth', 'Green   Growth')
+  WHEN 1 THEN ' ' || fund_name ELSE fund_name END AS series_name
+FROM named WHERE fund % 6 < 3 ORDER BY series_name LIMIT 40"""))
+def themed_examples(t):
+    return _profile(t, "themed_examples")
+
+
+@query(expected("SELECT 'WITH HOLD' AS vote_as_filed, count(*) AS votes FROM votes WHERE vote = 'OTHER' HAVING count(*) > 0"))
+def unrecognised_answers(t):
+    return reports.quality_report(staged(t)["votes"])["unrecognised"]
+
+
+BY_NAME = f"""
+SELECT fund_name, filer_name, count(*) AS votes, {pct("sum(supported::integer)", "count(*)", 1)} AS pct_for
+FROM fact WHERE {BACKED} GROUP BY ALL HAVING count(*) >= 2"""
+
+
+@query(expected(f"{BY_NAME} ORDER BY pct_for, votes DESC, fund_name, filer_name LIMIT 25"))
+def lowest_support(t):
+    rates = reports.themed_fund_support(built(t)["fund_es_votes"], 2, with_id=False)
+    return reports.extreme_support(rates, lowest=True)
+
+
+@query(expected(f"{BY_NAME} ORDER BY pct_for DESC, votes DESC, fund_name, filer_name LIMIT 25"))
+def highest_support(t):
+    rates = reports.themed_fund_support(built(t)["fund_es_votes"], 2, with_id=False)
+    return reports.extreme_support(rates, lowest=False)
 
 
 @query("""

@@ -20,6 +20,21 @@ SPACE_SEPARATORS = "".join(
 BLANKS = r"[ \t\n\f\r]"
 
 
+# Every ASCII character that is neither a letter, a digit nor a space.
+ASCII_SYMBOLS = "".join(chr(c) for c in range(1, 128) if c != 0x20 and not chr(c).isalnum())
+
+
+def plain(text, symbol: str = " ", keep_spaces: bool = True) -> Column:
+    """Lower-cased text with every character but a-z, 0-9 (and the space) replaced.
+
+    Most symbols are ASCII: they go by character translation, which is several times
+    quicker than a pattern; the pattern is left with what is rarer.
+    """
+    known = ASCII_SYMBOLS if keep_spaces else ASCII_SYMBOLS + " "
+    swapped = F.translate(F.lower(as_column(text)), known, symbol * len(known))
+    return F.regexp_replace(swapped, r"[^a-z0-9 ]" if keep_spaces else r"[^a-z0-9]", symbol)
+
+
 def trim(text) -> Column:
     """Strip Unicode spaces from both ends; all-ASCII text takes the quicker plain trim."""
     text = as_column(text)
@@ -78,7 +93,7 @@ def has_any(text, words) -> Column:
 
 def fingerprint(text) -> Column:
     """md5 of the letters and digits of a text."""
-    return F.md5(F.regexp_replace(F.lower(as_column(text)), r"[^a-z0-9]", ""))
+    return F.md5(plain(text, "", keep_spaces=False))
 
 
 def proposal_key(code, name, day, text) -> Column:
@@ -90,13 +105,12 @@ def proposal_key(code, name, day, text) -> Column:
 
 def wording_key(text) -> Column:
     """Wording with symbols removed and spaces kept."""
-    return F.regexp_replace(F.lower(as_column(text)), r"[^a-z0-9 ]", "")
+    return plain(text, "")
 
 
 def company_key(name) -> Column:
     """Company name without symbols and legal suffixes."""
-    text = F.regexp_replace(F.lower(as_column(name)), r"[^a-z0-9 ]", " ")
-    text = F.regexp_replace(text, V.COMPANY_SUFFIXES, " ")
+    text = F.regexp_replace(plain(name), V.COMPANY_SUFFIXES, " ")
     return F.trim(F.regexp_replace(text, r" +", " "))
 
 
@@ -167,8 +181,7 @@ def any_of(patterns: Sequence[str], shared_letters: int = 2) -> str:
 
 def rule_label(text, opposes=None, supports=None) -> Column:
     """Direction by wording. A text that hits both lists opposes, because opponents borrow the vocabulary."""
-    clean = F.regexp_replace(F.lower(as_column(text)), r"[^a-z0-9 ]", " ")
-    clean = F.regexp_replace(clean, r"\b(al|a i)\b", "ai")
+    clean = F.regexp_replace(plain(text), r"\b(al|a i)\b", "ai")
     against = any_of(opposes or V.OPPOSES_PATTERNS)
     in_favour = any_of(supports or V.SUPPORTS_PATTERNS)
     return bind(

@@ -152,7 +152,8 @@ def _in_chunks(nodes: DataFrame, block: str, threshold: float, chunk: int, rank_
     ).withColumn("no", F.col("no").cast("int"))
     rungs = state.select(block, "_node", "first", "leads", F.explode_outer("ladder").alias("r"))
     resolved = rungs.withColumn("rank", F.when(F.col("r").isNull(), F.col("first")).otherwise(F.col("r.rank")))
-    # Ranks are unique in a block, so they spread what a hot block would gather.
+    # Ranks are unique in a block, so they spread what a hot block would gather. A ladder is
+    # short: each rung scores strictly higher, and a word set allows few different scores.
     resolved = resolved.join(numbered, [block, "rank"], "left")
     return (
         resolved.groupBy(block, "_node")

@@ -140,6 +140,12 @@ def themed_fund_support(fact: DataFrame, min_n: int, with_id: bool = True) -> Da
     return A.having(rates, min_n)
 
 
+def extreme_support(by_fund: DataFrame, lowest: bool, k: int = 25) -> DataFrame:
+    """The funds with the lowest or highest support, those with more votes first."""
+    by = F.asc_nulls_last("pct_for") if lowest else F.desc("pct_for")
+    return R.top_k(by_fund, [by, F.desc("votes"), *_last("fund_name", "filer_name")], k)
+
+
 def support_bands(fact: DataFrame, min_n: int = 20) -> DataFrame:
     """How many themed funds fall into each band of support."""
     per_fund = (
@@ -196,8 +202,8 @@ def esg_report(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
             siblings.filter(F.col("direction_basis") == V.BY_REFERENCE), ("direction", "report_year")
         ),
         "siblings_by_house": sibling_by_house(siblings).limit(40),
-        "lowest_support": R.top_k(by_fund, [F.asc_nulls_last("pct_for"), F.desc("votes"), F.col("fund_name")], 25),
-        "highest_support": R.top_k(by_fund, [F.desc("pct_for"), F.desc("votes"), F.col("fund_name")], 25),
+        "lowest_support": extreme_support(by_fund, lowest=True),
+        "highest_support": extreme_support(by_fund, lowest=False),
         "support_bands": support_bands(fact),
     }
 
@@ -286,7 +292,7 @@ def raw_profile(filings: DataFrame, series: DataFrame, votes: DataFrame, seed: i
         "date_shapes": P.shape_profile(votes, "meeting_date", 12),
         "largest_filings": per_filing.groupBy("company", "registrant_type", "report_year")
         .agg(F.sum("votes").alias("votes"))
-        .orderBy(F.desc("votes"), *_last("company", "report_year"))
+        .orderBy(F.desc("votes"), *_last("company", "report_year", "registrant_type"))
         .limit(25),
         "themed_names": series.agg(
             A.count_all().alias("fund_rows"),
