@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rollcall.llm import decontaminate, packing, token_files, urls
+from rollcall.llm import decontaminate, jaccard, packing, quality, token_files, urls
 from rollcall.session import apply_settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +91,16 @@ def op4_url_filter(table):
     return urls.judge(pages, rules)
 
 
+@query()
+def op2_quality(table):
+    return quality.judge(table("documents"), table("labels"))
+
+
+@query()
+def op5_jaccard(table):
+    return jaccard.groups(table("documents"))
+
+
 @query()
 def op7_token_files(table):
     import public_tokenizers
