@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rollcall.llm import decontaminate, jaccard, packing, quality, token_files, urls
+from rollcall.llm import decontaminate, jaccard, packing, personal_data, quality, token_files, urls
 from rollcall.session import apply_settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,11 @@ WORDS_SQL = r"""list_filter(regexp_split_to_array(translate(coalesce({text}, '')
   '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"""
 
 
+@query()
+def op1_personal_data(table):
+    return personal_data.report(table("documents"))
+
+
 @query(
     f"""
 with items as (select item_id, {WORDS_SQL.format(text='text')} as w from benchmark),
