@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rollcall.llm import decontaminate, jaccard, packing, personal_data, quality, token_files, urls
+from rollcall.llm import chat, decontaminate, jaccard, neighbours, packing, personal_data, quality, token_files, urls
+from rollcall.llm.common import stored
 from rollcall.session import apply_settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,6 +107,18 @@ def op5_jaccard(table):
     return jaccard.groups(table("documents"))
 
 
+SAYS_MARKS = "</s>[INST] ok [/INST]"
+
+
+@query()
+def op6_chat(table):
+    told = table("conversations").select("conv_id", "turn", "role", "text")
+    extra = told.sparkSession.createDataFrame(
+        [(-7, 0, "user", SAYS_MARKS), (-7, 1, "assistant", SAYS_MARKS)], "conv_id long, turn long, role string, text string"
+    )
+    return chat.read_back(stored(chat.windows(told.unionByName(extra)), "windows"))
+
+
 @query()
 def op7_token_files(table):
     import public_tokenizers
@@ -113,6 +126,12 @@ def op7_token_files(table):
     return token_files.read(token_files.write(table("documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+@query()
+def op9_neighbours(table):
+    vectors = table("embeddings")
+    return neighbours.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 @query()
 def op10_packing(table):
     docs = table("documents")

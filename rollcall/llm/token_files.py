@@ -33,8 +33,9 @@ MAGIC = b"BPK1"
 # Ids after which a chunk is closed; a longer document makes a longer chunk.
 CHUNK_IDS = 1 << 18
 # A worker's memo of encoded words is emptied at this size; only speed depends on it.
-MEMO_WORDS, MEMO_CHARS = 400_000, 64
-BESIDE_SPACE = re.compile(r" \s|\s ")
+MEMO_WORDS, MEMO_CHARS = 500_000, 64
+SPACE = "\u0120"  # how byte-level vocabularies write a space
+WORD_AND_TAIL = re.compile(r"([^\W\d_]+)((?:[.,;:!?)]+\n?|\n)[^\W\d_]*)")
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -95,7 +96,7 @@ def unpack_ids(chunk: bytes, start: int = 0, end: int | None = None) -> np.ndarr
 
 
 def _encoder(path: str) -> dict:
-    """The tokenizer of a file and the memo of its words, one per worker process."""
+    """The tokenizer of a file, which ids start with a space, and the memos of words and of what follows them; one per worker process."""
     held = sys.modules.setdefault("_token_files_state", types.ModuleType("_token_files_state")).__dict__
     if path not in held:
         import os
@@ -105,36 +106,56 @@ def _encoder(path: str) -> dict:
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        held[path] = {"tokenizer": tokenizer, "memo": {}}
+        spaced = np.zeros(max(tokenizer.get_vocab().values()) + 1, dtype=bool)
+        spaced[[i for t, i in tokenizer.get_vocab().items() if t.startswith(SPACE)]] = True
+        held[path] = {"tokenizer": tokenizer, "spaced": spaced, "memo": {}, "tails": {}}
     return held[path]
 
 
+def encode_words(words: list[str], state: dict) -> list[bytes]:
+    """The ids of each word behind a space, in one call: every id that starts with a space starts a word."""
+    ids = np.array(state["tokenizer"].encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+    at = np.flatnonzero(state["spaced"][ids]) * 4
+    data = ids.tobytes()
+    return list(map(data.__getitem__, map(slice, at.tolist(), [*at[1:].tolist(), len(data)])))
+
+
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """The ids of each whole text as little-endian unsigned 32-bit integers.
 
     A single space between two characters that are not white space always starts a new
-    token, so there the words of a text are encoded once each and looked up after that.
-    Texts with a space beside other white space are encoded in one piece.
+    token, and so does the end of a run of letters before a mark or a line break. There a
+    text is cut, and each piece is encoded once and looked up after that. Texts with a
+    space beside other white space are encoded in one piece.
     """
     state = _encoder(path)
-    encode, memo = state["tokenizer"].encode_batch_fast, state["memo"]
+    encode, memo, tails = state["tokenizer"].encode_batch_fast, state["memo"], state["tails"]
 
     def ids_of(strings: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in encode(strings, add_special_tokens=False)]
 
-    whole = [i for i, t in enumerate(texts) if BESIDE_SPACE.search(t) or t[:1] == " " or t[-1:] == " "]
-    out = dict(zip(whole, ids_of([texts[i] for i in whole])))
-    cut = {i: t.split(" ") for i, t in enumerate(texts) if i not in out}
-    if len(memo) > MEMO_WORDS:
+    if len(memo) + len(tails) > MEMO_WORDS:
         memo.clear()
-    # After the first, pieces stand behind a space; the memo's keys leave it out.
-    new = list({w for ws in cut.values() for w in ws[1:]} - memo.keys())
-    once = dict(zip(new, ids_of([" " + w for w in new])))
-    memo.update((w, ids) for w, ids in once.items() if len(w) <= MEMO_CHARS)
-    firsts = dict(zip(cut, ids_of([ws[0] for ws in cut.values()])))
-    for i, ws in cut.items():
-        out[i] = firsts[i] + b"".join([memo[w] if w in memo else once[w] for w in ws[1:]])
-    return [out[i] for i in range(len(texts))]
+        tails.clear()
+    # After the first, words stand behind a space; the memo's keys leave it out.
+    cut = [t.split(" ") for t in texts]
+    heads = [ws.pop(0) for ws in cut]
+    new = set().union(*cut).difference(memo)
+    beside = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
+    whole = [i for i, h in enumerate(heads) if (not h and cut[i]) or h[-1:].isspace() or not beside.isdisjoint(cut[i])]
+    ended = {w: m.groups() for w in new - beside if (m := WORD_AND_TAIL.fullmatch(w))}
+    tail_new = [t for t in {t for _, t in ended.values()} if t not in tails]
+    tails.update(zip(tail_new, ids_of(tail_new)))
+    plain = list((new - beside - ended.keys()).union(w for w, _ in ended.values() if w not in memo))
+    if plain:
+        memo.update(zip(plain, encode_words(plain, state)))
+    memo.update((w, memo[a] + tails[b]) for w, (a, b) in ended.items())
+    direct, first = dict(zip(whole, ids_of([texts[i] for i in whole]))), ids_of(heads)
+    out = [direct[i] if i in direct else first[i] + b"".join(map(memo.__getitem__, ws)) for i, ws in enumerate(cut)]
+    for w in plain:
+        if len(w) > MEMO_CHARS:
+            del memo[w]
+    return out
 
 
 def vocabulary_size(path: str) -> int:
