@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rollcall.llm import chat, decontaminate, jaccard, neighbours, packing, personal_data, quality, token_files, urls
+from rollcall.llm import chat, decontaminate, jaccard, licenses, neighbours, packing, personal_data, quality, token_files, urls
 from rollcall.llm.common import stored
 from rollcall.session import apply_settings
 
@@ -126,6 +126,11 @@ def op7_token_files(table):
     return token_files.read(token_files.write(table("documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+@query()
+def op8_licenses(table):
+    return licenses.scan(table("documents"))
+
+
 @query()
 def op9_neighbours(table):
     vectors = table("embeddings")
