@@ -356,3 +356,12 @@ def groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, allocat
     return named.join(firsts, "component", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id")
     )
+
+
+def without_copies(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """``docs`` with one document of each group, the one with its least id; empty texts and rows without an id all stay.
+
+    Rows that repeat a doc_id stay or go together.
+    """
+    gone = stored(groups(docs, percent, size).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    return docs.join(broadcast_below(gone, gone.count(), BROADCAST_ROWS), "doc_id", "left_anti").select(*docs.columns)

@@ -380,4 +380,4 @@ def kept(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Data
     Rejected ids are broadcast up to a bound. Documents without an id are judged by their text alone.
     """
     rejected = stored(judge(docs, labels, quantile).where(~F.col("keep")).select("doc_id").distinct(), "rejected")
-    return docs.join(broadcast_below(rejected, rejected.count(), BROADCAST_ROWS), "doc_id", "left_anti")
+    return docs.join(broadcast_below(rejected, rejected.count(), BROADCAST_ROWS), "doc_id", "left_anti").select(*docs.columns)
