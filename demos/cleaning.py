@@ -9,7 +9,6 @@ from rollcall.functions import dates, decide, numbers, replies, text
 from rollcall.operators import aggregates as A
 from rollcall.operators import ranking as R
 from rollcall.plans.staging import drop_headings
-from rollcall.session import spread
 from rollcall.sources import filing_documents as D
 
 from .registry import query
@@ -94,7 +93,7 @@ SELECT answer, versus, proposer, count(*) AS n FROM (SELECT
   CASE WHEN l_linestatus = 'O' THEN 'shareholder' WHEN l_linenumber < 4 THEN 'company' ELSE 'unknown' END AS proposer
   FROM lineitem) GROUP BY ALL""")
 def standardise_values(t):
-    lines = spread(t.lineitem.select("l_returnflag", "l_linenumber", "l_linestatus"))
+    lines = t.lineitem.select("l_returnflag", "l_linenumber", "l_linestatus")
     written = lines.selectExpr(
         "CASE l_returnflag WHEN 'A' THEN CASE l_linenumber WHEN 1 THEN 'Yes' WHEN 2 THEN 'AGAINST-' WHEN 3 THEN 'withold'"
         " WHEN 4 THEN 'maybe' WHEN 5 THEN 'did   not-vote' WHEN 6 THEN ' ' ELSE 'two-years' END"
@@ -194,7 +193,7 @@ FROM (SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]', '
 
 @query(RULES_SQL)
 def keyword_rules(t):
-    docs = spread(t.documents.select("doc_id", "text"))
+    docs = t.documents.select("doc_id", "text")
     return docs.select("doc_id", text.rule_label("text").alias("direction"))
 
 
@@ -204,7 +203,7 @@ SELECT doc_id, length(one) AS n, md5(one) AS squeezed, md5(lower(regexp_replace(
   regexp_replace(regexp_replace('/' || source || '.v1 ' || lang || '/', '[^a-zA-Z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS token
 FROM (SELECT *, trim(regexp_replace(text, '[ \t\n\f\r]+', ' ', 'g')) AS one FROM documents)""")
 def string_cleanup(t):
-    docs = spread(t.documents.select("doc_id", "text", "lang", "source")).withColumn("one", text.trim(text.squeeze("text")))
+    docs = t.documents.select("doc_id", "text", "lang", "source").withColumn("one", text.trim(text.squeeze("text")))
     name = F.concat(F.lit("/"), "source", F.lit(".v1 "), "lang", F.lit("/"))
     return docs.select(
         "doc_id",
@@ -222,7 +221,7 @@ SELECT doc_id, coalesce(CASE WHEN doc_id % 3 > 0 THEN source END, upper(lang)) |
     || md5(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) AS proposal_key,
   md5(regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g')) AS wording FROM documents""")
 def proposal_key(t):
-    docs = spread(t.documents.select("doc_id", "text", "lang", "source")).selectExpr(
+    docs = t.documents.select("doc_id", "text", "lang", "source").selectExpr(
         "doc_id", "text", "lang",
         "if(doc_id % 3 > 0, source, NULL) AS code",
         "if(doc_id % 4 > 0, date'2024-01-02', NULL) AS day",
@@ -248,7 +247,7 @@ def company_key(t):
 
 @query("SELECT doc_id, md5(trim(regexp_replace(" + _nested("lower(text)", V.TITLE_STEPS) + ", ' +', ' ', 'g'))) AS title FROM documents")
 def title_normalise(t):
-    docs = spread(t.documents.select("doc_id", "text"))
+    docs = t.documents.select("doc_id", "text")
     return docs.select("doc_id", F.md5(text.normalise_title("text")).alias("title"))
 
 

@@ -11,7 +11,6 @@ from rollcall.operators import scoring
 from rollcall.operators.matching import leader_cluster
 from rollcall.operators.ranking import to_batches
 from rollcall.plans import evaluation
-from rollcall.session import spread
 
 from .cleaning import RULES_SQL
 from .registry import query
@@ -136,7 +135,7 @@ def hybrid_label(t):
 SELECT lang, direction, count(*) AS proposals, sum((quality = 1)::integer)::bigint AS good FROM ({RULES_SQL})
 JOIN documents USING (doc_id) JOIN labels USING (doc_id) GROUP BY 1, 2""")
 def rules_against_labels(t):
-    docs = J.with_parent(spread(t.documents.select("doc_id", "lang", "text")), t.labels.select("doc_id", "quality"), "doc_id")
+    docs = J.with_parent(t.documents.select("doc_id", "lang", "text"), t.labels.select("doc_id", "quality"), "doc_id")
     return docs.groupBy("lang", text.rule_label("text").alias("direction")).agg(
         F.count(F.lit(1)).alias("proposals"), F.count_if(F.col("quality") == 1).alias("good")
     )

@@ -92,24 +92,36 @@ def blank_rates(df: DataFrame, blanks: Mapping[str, Sequence[str]]) -> DataFrame
     )
 
 
-def crosstab(df: DataFrame, row: str, col: str, values: Sequence[str]) -> DataFrame:
-    """Counts of row values against the listed column values."""
-    return df.groupBy(row).pivot(col, list(values)).agg(count_all()).fillna(0)
-
-
-def crosstab_margins(df: DataFrame, row: str, col: str, values: Sequence[str], total: str = "All") -> DataFrame:
-    """Crosstab with row, column and grand totals."""
-    cells = (
-        df.filter(F.col(row).isNotNull() & F.col(col).isNotNull())
-        .cube(row, col)
-        .agg(F.grouping(row).alias("_gr"), F.grouping(col).alias("_gc"), count_all().alias("_n"))
-        .select(
-            F.when(F.col("_gr") == 1, total).otherwise(F.col(row)).alias(row),
-            F.when(F.col("_gc") == 1, total).otherwise(F.col(col)).alias(col),
-            "_n",
-        )
+def cells(col: str, values: Sequence, other: str | None = None) -> list[Column]:
+    """Aggregates: how often each listed value occurs, under its own name, and how often any other does.
+
+    Without a name for the others, the query fails where there are any: no row is left out unseen.
+    Rows whose value is NULL are in no cell.
+    """
+    named = [F.count_if(F.col(col) == v).alias(str(v)) for v in values]
+    rest = F.count_if(~F.col(col).isin(list(values)))
+    if other is not None:
+        return [*named, rest.alias(other)]
+    complaint = F.raise_error(F.concat(F.lit(f"unlisted values of {col}: "), rest.cast("string")))
+    return [F.when(rest > 0, complaint.cast("bigint")).otherwise(F.count_if(F.col(col) == values[0])).alias(str(values[0])), *named[1:]]
+
+
+def crosstab(df: DataFrame, row: str, col: str, values: Sequence, other: str | None = None) -> DataFrame:
+    """Counts of row values against the listed column values; rows without a row value are a row of their own."""
+    return df.groupBy(row).agg(*cells(col, values, other))
+
+
+def crosstab_margins(
+    df: DataFrame, row: str, col: str, values: Sequence, total: str = "All", other: str | None = None
+) -> DataFrame:
+    """Crosstab with row, column and grand totals, over the rows that have both values."""
+    both = df.filter(F.col(row).isNotNull() & F.col(col).isNotNull())
+    rolled = both.rollup(row).agg(
+        F.grouping(row).alias("_all"), *cells(col, values, other), count_all().alias(total)
     )
-    return cells.groupBy(row).pivot(col, [*values, total]).agg(F.sum("_n")).fillna(0)
+    named = rolled.withColumn(row, F.when(F.col("_all") == 1, total).otherwise(F.col(row)))
+    # The grand total of no rows is no row.
+    return named.filter(F.col(total) > 0).drop("_all")
 
 
 def share_of_total(df: DataFrame, measure: str, name: str, digits: int = 1) -> DataFrame:

@@ -11,6 +11,7 @@ every word set of the block is held against them in parallel.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,25 +80,24 @@ def leader_cluster(
     order of the rows of a block. An empty word set matches nothing and leads itself.
     """
     rank = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
-    ranked = df.withColumn("_rank", rank)
+    # Rows without a block are a block of their own, and its name in the id is empty.
+    named = F.when(F.col(block).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(block).cast("string")))
+    ranked = df.withColumn("_rank", rank).withColumn("_block", named)
     node = F.when(F.size(words) > 0, F.array_join(words, " ")).otherwise(
         F.concat(F.lit("\t"), F.to_json("_rank"))
     )
     rows = cut_lineage(ranked.withColumn("_node", node))
-    nodes = rows.groupBy(F.col(block), F.col("_node"), F.col(words).alias("words")).agg(
+    nodes = rows.groupBy("_block", F.col("_node"), F.col(words).alias("words")).agg(
         F.min("_rank").alias("first"), F.max("_rank").alias("last")
     )
-    large = nodes.groupBy(block).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > chunk)
-    found = _in_chunks if not large.isEmpty() else _in_one_go
-    ladders = found(nodes, block, threshold, chunk, rows.schema["_rank"].dataType.simpleString())
+    ladders = _in_rounds(nodes, "_block", threshold, chunk, rows.schema["_rank"].dataType.simpleString())
 
     rung = F.try_element_at(F.filter("ladder", lambda r: r["rank"] <= F.col("_rank")), F.lit(-1))["no"]
-    matched = rows.join(ladders, [block, "_node"]) if found is _in_one_go else salted_join(
-        rows, ladders, [block, "_node"], "inner", salt_by=["_rank"]
-    )
+    matched = salted_join(rows, ladders, ["_block", "_node"], "inner", salt_by=["_rank"])
+    number = F.coalesce(rung, F.col("own")).cast("string")
     return matched.withColumn(
-        name, F.concat(F.col(block), F.lit("|"), F.coalesce(rung, F.col("own")).cast("string"))
-    ).drop("_rank", "_node", "ladder", "own")
+        name, F.concat(F.coalesce(F.col(block).cast("string"), F.lit("")), F.lit("|"), number)
+    ).drop("_rank", "_block", "_node", "ladder", "own")
 
 
 def _types(rank_type: str) -> tuple[str, str]:
@@ -106,32 +106,22 @@ def _types(rank_type: str) -> tuple[str, str]:
     return leader, rungs
 
 
-def _in_one_go(nodes: DataFrame, block: str, threshold: float, chunk: int, rank_type: str) -> DataFrame:
-    """Every block fits one chunk: fold it, then read its word sets against its own leaders."""
-    leader_type, rung_type = _types(rank_type)
-    items = F.sort_array(F.collect_list(F.struct(F.col("first").alias("rank"), "words", "_node", "last")))
-    folded = nodes.groupBy(block).agg(items.alias("items")).withColumn(
-        "leaders", _leaders(F.col("items"), threshold, leader_type)
-    )
-    each = folded.select(block, "leaders", F.explode("items").alias("i"))
-    own = F.try_element_at(F.filter("leaders", lambda h: h["rank"] == F.col("i.rank")), F.lit(-1))["no"]
-    ladder = _ladder(F.array().cast(rung_type), F.col("leaders"), F.col("i.words"), F.col("i.last"), threshold)
-    return each.select(block, F.col("i._node").alias("_node"), ladder.alias("ladder"), own.alias("own"))
-
-
-def _in_chunks(nodes: DataFrame, block: str, threshold: float, chunk: int, rank_type: str) -> DataFrame:
-    """Some block is larger than a chunk: rounds of bounded folds, until every word set has met a leader.
+def _in_rounds(nodes: DataFrame, block: str, threshold: float, chunk: int, rank_type: str) -> DataFrame:
+    """Rounds of bounded folds, until every word set has met a leader; one path for blocks of any size.
 
     A round takes the next ``chunk`` undecided word sets of each block. The rank filter
     runs before the shuffle, and the block's word sets are spread by salt when they are
-    held against the new leaders, so no task sees a whole block.
+    held against the new leaders, so no task sees a whole block. Blocks that are decided
+    leave before the next round, so a round costs what is still open; most blocks fit
+    one chunk and leave after the first.
     """
     leader_type, rung_type = _types(rank_type)
     state = cut_lineage(
         nodes.withColumn("ladder", F.array().cast(rung_type)).withColumn("leads", F.size("words") == 0)
     )
     undecided = ~F.col("leads") & ~F.exists("ladder", lambda r: r["rank"] <= F.col("first"))
-    while not state.filter(undecided).isEmpty():
+    decided = []
+    while True:
         next_up = Window.partitionBy(block).orderBy("first")
         head_of_line = (
             state.filter(undecided).withColumn("_pos", F.row_number().over(next_up)).filter(F.col("_pos") <= chunk)
@@ -145,6 +135,13 @@ def _in_chunks(nodes: DataFrame, block: str, threshold: float, chunk: int, rank_
             .withColumn("ladder", _ladder(F.col("ladder"), new, F.col("words"), F.col("last"), threshold))
             .drop("leaders")
         )
+        still = state.filter(undecided).select(block).distinct()
+        if still.isEmpty():
+            decided.append(state)
+            break
+        decided.append(state.join(still, block, "left_anti"))
+        state = cut_lineage(state.join(still, block, "left_semi"))
+    state = reduce(DataFrame.unionByName, decided)
 
     # Leaders of one block came up in different rounds, so they are numbered at the end.
     numbered = with_position(

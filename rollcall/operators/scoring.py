@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from rollcall import values as V
 
+from .aggregates import cells
+
 
 def binary_metrics(
     answers: DataFrame,
@@ -37,6 +39,8 @@ def binary_metrics(
     return answers.groupBy(*by).agg(*columns)
 
 
-def confusion(answers: DataFrame, by: Sequence[str], truth: str, said: str, values: Sequence[str]) -> DataFrame:
-    """Truth against what was said, per system."""
-    return answers.groupBy(*by, truth).pivot(said, list(values)).agg(F.count(F.lit(1))).fillna(0)
+def confusion(
+    answers: DataFrame, by: Sequence[str], truth: str, said: str, values: Sequence[str], other: str | None = None
+) -> DataFrame:
+    """Truth against what was said, per system; answers outside the list are counted under ``other``, or fail the query."""
+    return answers.groupBy(*by, truth).agg(*cells(said, values, other))

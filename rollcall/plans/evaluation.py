@@ -37,22 +37,26 @@ def systems(gold: DataFrame, runs: DataFrame, split: str) -> DataFrame:
     """One row per system and item: the rules, every complete run, and rules backed by that run.
 
     ``runs`` holds run ("model__prompt"), id and label. Runs that do not cover the whole
-    split are left out.
+    split are left out. Systems are told apart by run; where several complete runs share
+    a prompt, the name of a combined system holds the model too.
     """
     wanted = gold.filter(F.col("split") == split).withColumnRenamed("label", "truth")
     complete = J.covers(wanted, runs, "run", "id").filter("complete").select("run")
-    said = wanted.join(runs.join(complete, "run"), "id")
     parts = F.split("run", "__")
-    prompt = F.element_at(parts, 2)
+    model, prompt = F.element_at(parts, 1), F.element_at(parts, 2)
+    # One row per prompt: a handful, and a join that Spark sizes itself.
+    shared = complete.groupBy(prompt.alias("prompt")).agg((F.count(F.lit(1)) > 1).alias("several"))
+    said = wanted.join(runs.join(complete, "run"), "id").withColumn("prompt", prompt).join(shared, "prompt")
+    name = F.when(F.col("several"), F.concat(model, F.lit(" / "), prompt)).otherwise(prompt)
 
     def rows(df: DataFrame, system: Column, answer: Column) -> DataFrame:
         return df.select(system.alias("system"), "id", "company", "title", "truth", answer.alias("said"))
 
     rules = rows(wanted, F.lit(V.RULES_SYSTEM), F.col("rule_label"))
-    models = rows(said, F.concat(F.element_at(parts, 1), F.lit(" / "), prompt), F.col("label"))
+    models = rows(said, F.concat(model, F.lit(" / "), prompt), F.col("label"))
     both = rows(
         said,
-        F.concat(F.lit("Rules, then "), prompt, F.lit(" where rules are unclear")),
+        F.concat(F.lit("Rules, then "), name, F.lit(" where rules are unclear")),
         decide.hybrid("rule_label", "label"),
     )
     return rules.unionByName(models).unionByName(both)
@@ -67,9 +71,9 @@ def scores(answers: DataFrame) -> DataFrame:
     return table.select(*shown)
 
 
-def confusion(answers: DataFrame) -> DataFrame:
-    """Truth against what each system said."""
-    return scoring.confusion(answers, ["system"], "truth", "said", [*V.MODEL_LABELS, V.NO_ANSWER])
+def confusion(answers: DataFrame, other: str | None = None) -> DataFrame:
+    """Truth against what each system said; any other answer is counted under ``other``, or fails the query."""
+    return scoring.confusion(answers, ["system"], "truth", "said", [*V.MODEL_LABELS, V.NO_ANSWER], other)
 
 
 def errors(answers: DataFrame, names: list[str]) -> DataFrame:
@@ -86,4 +90,4 @@ def evaluate(gold: DataFrame, runs: DataFrame, split: str) -> dict[str, DataFram
     """Scores, confusion tables and errors of every system on one split."""
     answers = systems(gold, runs, split)
     names = [row["system"] for row in answers.select("system").distinct().orderBy("system").collect()]
-    return {"scores": scores(answers), "confusion": confusion(answers), "errors": errors(answers, names)}
+    return {"scores": scores(answers), "confusion": confusion(answers, "other"), "errors": errors(answers, names)}

@@ -25,16 +25,6 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a freshly scanned table out to all cores, if it arrives in fewer splits than there are.
-
-    One unsplittable file, such as a gzipped CSV, would otherwise keep a costly
-    projection on one core. A large table has more splits than cores and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def durable_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 

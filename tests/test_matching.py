@@ -13,7 +13,7 @@ from rollcall.operators.ranking import every_nth, to_batches, trial_sample, with
 def loop(rows, threshold):
     """Sequential expectation: rows are (key, block, votes, words)."""
     out, heads = {}, {}
-    for key, block, votes, words in sorted(rows, key=lambda r: (r[1], -r[2], r[0])):
+    for key, block, votes, words in sorted(rows, key=lambda r: (r[1] or "", -r[2], r[0])):
         mine = heads.setdefault(block, [])
         best, best_score = None, 0.0
         for n, head in enumerate(mine):
@@ -27,7 +27,7 @@ def loop(rows, threshold):
         if best is None or best_score < threshold:
             mine.append(words)
             best = len(mine) - 1
-        out[key] = f"{block}|{best + 1}"
+        out[key] = f"{block or ''}|{best + 1}"
     return out
 
 
@@ -53,6 +53,13 @@ def test_same_clusters_as_a_sequential_loop(spark, chunk, threshold):
     assert {r["key"]: r["proposal_id"] for r in got.collect()} == loop(rows, threshold)
 
 
+def test_rows_without_a_block_are_a_block(spark):
+    rows = [(k, None if b == "b1" else b, v, w) for k, b, v, w in made_up_rows(5, 80, 3, 6)]
+    df = spark.createDataFrame(rows, "key string, block string, votes long, words array<string>")
+    got = leader_cluster(df, "block", "words", [-F.col("votes"), F.col("key")], 0.5, chunk=9)
+    assert {r["key"]: r["proposal_id"] for r in got.collect()} == loop(rows, 0.5)
+
+
 def test_positions_number_the_whole_table_and_groups(spark):
     df = spark.range(0, 1000, numPartitions=7).select(
         (F.col("id") * 7919 % 1000).alias("v"), F.when(F.col("id") % 3 < 2, "hot").otherwise(F.lit(None)).alias("g"))

@@ -334,3 +334,34 @@ def test_small_operators(spark):
     assert tuple(J.match_coverage(df, dim, ["k"], F.col("f").isNotNull()).first()) == (3, 2, 2)
     rates = A.blank_rates(spark.createDataFrame([("", "-"), ("x", None)], "a string, b string"), {"a": [""], "b": V.BLANK_MARKS})
     assert tuple(rates.first()) == (50.0, 100.0)
+
+
+def test_two_models_with_one_prompt_are_two_systems(spark):
+    gold = spark.createDataFrame(
+        [("1", "c", "t", "supports", "unclear", "dev"), ("2", "c", "t", "opposes", "unclear", "dev")],
+        "id string, company string, title string, label string, rule_label string, split string",
+    )
+    runs = spark.createDataFrame(
+        [("a__p", "1", "supports"), ("a__p", "2", "opposes"), ("b__p", "1", "opposes"), ("b__p", "2", "maybe")],
+        "run string, id string, label string",
+    )
+    out = evaluation.evaluate(gold, runs, "dev")
+    got = {r["system"]: (r["proposals"], r["accuracy"]) for r in out["scores"].collect()}
+    assert got["Rules, then a / p where rules are unclear"] == (2, 100.0)
+    assert got["Rules, then b / p where rules are unclear"] == (2, 0.0)
+    said = {(r["system"], r["truth"]): r for r in out["confusion"].collect()}
+    assert said["b / p", "opposes"]["other"] == 1 and said["a / p", "opposes"]["other"] == 0
+
+
+def test_crosstabs_keep_null_labels_and_count_what_is_not_listed(spark):
+    from pyspark.errors import PySparkException
+
+    from rollcall.operators import aggregates as A
+
+    rows = spark.createDataFrame([(0, "x"), (None, "x"), (0, "z"), (1, None)], "a int, b string")
+    got = {r["a"]: (r["x"], r["y"], r["other"]) for r in A.crosstab(rows, "a", "b", ["x", "y"], "other").collect()}
+    assert got == {0: (1, 0, 1), None: (1, 0, 0), 1: (0, 0, 0)}
+    both = {r["a"]: tuple(r)[1:] for r in A.crosstab_margins(rows.selectExpr("string(a) a", "b"), "a", "b", ["x", "y"], other="other").collect()}
+    assert both == {"0": (1, 0, 1, 2), "All": (1, 0, 1, 2)}
+    with pytest.raises(PySparkException, match="unlisted"):
+        A.crosstab(rows, "a", "b", ["x", "y"]).collect()

@@ -58,6 +58,26 @@ def test_csv_columns_are_matched_by_name(spark, tmp_path):
     assert tuple(rows["2"]) == ("2", None, "two\nlines")
 
 
+def test_csv_headers_of_any_length_and_shape(spark, tmp_path):
+    wide = [f"column {i:05d} with a long name" for i in range(3500)] + ["accession"]  # over 90 KB
+    (tmp_path / "wide.csv").write_text(csv_text(wide, [["x"] * 3500 + ["1"], ["a\nb", *["x"] * 3499, "2"]]))
+    (tmp_path / "broken.csv").write_text(csv_text(["two\nlines\nof name", "accession", "series_name"], [["x", "3", "n"]]).replace("\r\n", "\n"))
+    (tmp_path / "empty.csv").write_text("")
+    with gzip.open(tmp_path / "late.csv.gz", "wt", newline="") as handle:
+        handle.write("\r\n" + csv_text(["series_name", "series_id", "accession"], [["m", "s", "4"]]))
+    rows = text_tables.read_text_csv(spark, f"{tmp_path}/*.csv*", V.SERIES_COLUMNS).collect()
+    assert sorted(map(tuple, rows)) == [("1", None, None), ("2", None, None), ("3", None, "n"), ("4", "s", "m")]
+
+
+def test_csv_files_of_many_layouts_without_broadcast(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_tables, "BROADCAST_FILES", 0)
+    for i in range(6):
+        order = V.SERIES_COLUMNS[i % 3 :] + V.SERIES_COLUMNS[: i % 3]
+        (tmp_path / f"{i}.csv").write_text(csv_text(order, [[f"{c}{i}" for c in order]]))
+    rows = text_tables.read_text_csv(spark, str(tmp_path), V.SERIES_COLUMNS).collect()
+    assert sorted(map(tuple, rows)) == [tuple(f"{c}{i}" for c in V.SERIES_COLUMNS) for i in range(6)]
+
+
 def test_raw_folder_and_seed(spark, tmp_path):
     (tmp_path / "filings.csv").write_text(csv_text(V.FILING_COLUMNS, [["1"] * len(V.FILING_COLUMNS)]))
     (tmp_path / "series.csv").write_text(csv_text(V.SERIES_COLUMNS, []))
