@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import string
+import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rollcall.session import durable_dir
 
@@ -38,6 +39,15 @@ def places(n: Column) -> Column:
     return F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder that the session names; a local session without one, as in tests, gets one of its own."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named and context.master.startswith("local["):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="training-text-"))
+    return durable_dir(spark)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again.
 
@@ -45,7 +55,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     rows however often they are retried.
     """
     spark = df.sparkSession
-    path = f"{durable_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
