@@ -19,13 +19,13 @@ from __future__ import annotations
 
 import sys
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rollcall.llm.common import broadcast_below, stored
 
@@ -47,6 +47,9 @@ START = 0  # stands before the first token; words follow, then shapes
 CASES, MARKS, LENGTHS = 5, 3, 4
 SHAPES = CASES * MARKS * LENGTHS
 
+Batches = Iterator[pa.RecordBatch]
+BLOCK = "block long, doc_ids array<long>, langs array<string>, roles array<int>, counts array<int>, ids binary"
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
@@ -106,12 +109,12 @@ def vocabulary(flags: DataFrame) -> tuple[list[str], list[int]]:
     return words, [kinds.get(s, 0) for s in range(SHAPES)]
 
 
-def blocks(flags: DataFrame, words: list[str]) -> DataFrame:
-    """Documents as token numbers, many to a row: block, doc_ids, langs, roles, counts, ids."""
-    held = flags.sparkSession.sparkContext.broadcast({w: i + 1 for i, w in enumerate(words)})  # bounded by WORDS
+def blocks_by(spark: SparkSession, words: list[str]) -> Callable[[Batches], Batches]:
+    """What turns flagged documents into token numbers, many to a row: block, doc_ids, langs, roles, counts, ids."""
+    held = spark.sparkContext.broadcast({w: i + 1 for i, w in enumerate(words)})  # bounded by WORDS
     first_shape = len(words) + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         from pyspark import TaskContext
 
         known, seq = held.value, 0
@@ -144,9 +147,7 @@ def blocks(flags: DataFrame, words: list[str]) -> DataFrame:
                 )
                 at, seq = to, seq + 1
 
-    return flags.mapInArrow(
-        run, "block long, doc_ids array<long>, langs array<string>, roles array<int>, counts array<int>, ids binary"
-    )
+    return run
 
 
 def pairs_of(ids: bytes, counts: np.ndarray) -> np.ndarray:
@@ -158,12 +159,13 @@ def pairs_of(ids: bytes, counts: np.ndarray) -> np.ndarray:
     return (before << np.uint32(16)) | now
 
 
-def asked(block: DataFrame) -> DataFrame:
+def asked(flags: DataFrame, into_blocks: Callable[[Batches], Batches]) -> DataFrame:
     """What a block asks and tells each shard: block, shard, keys (its distinct pairs), train (how often its training documents hold them)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
+    def run(batches: Batches) -> Batches:
+        # In the same worker as the blocks are made: a second one beside it would double the memory.
+        for batch in into_blocks(batches):
+            for row in batch.select(["block", "roles", "counts", "ids"]).to_pylist():
                 counts = np.array(row["counts"], dtype=np.int64)
                 pairs = pairs_of(row["ids"], counts)
                 keys, at = np.unique(pairs, return_inverse=True)
@@ -183,7 +185,7 @@ def asked(block: DataFrame) -> DataFrame:
                     ["block", "shard", "keys", "train"],
                 )
 
-    return block.select("block", "roles", "counts", "ids").mapInArrow(run, "block long, shard int, keys binary, train binary")
+    return flags.mapInArrow(run, "block long, shard int, keys binary, train binary")
 
 
 def keys_of(data: bytes) -> np.ndarray:
@@ -198,7 +200,7 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 def counted(rows: DataFrame, by: list[str]) -> DataFrame:
     """Sums of (keys, train) for each value of ``by``, read as a stream: a task holds the pairs of one shard, not its blocks."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         names, parts, now, size = by, [], None, 0
 
         def out() -> pa.RecordBatch:
@@ -269,7 +271,7 @@ def statistics(counts: DataFrame, words: list[str], kinds: list[int]) -> Model:
     """The entries of all words, added up over the shards."""
     size = len(words) + 1 + SHAPES
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         for batch in batches:
             for row in batch.to_pylist():
                 keys, n = keys_of(row["keys"]), spread_out(row["train"]).astype(np.int64)
@@ -300,7 +302,7 @@ def looked_up(questions: DataFrame, counts: DataFrame, n_blocks: int) -> DataFra
         "shard", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"), F.lit(None).cast("long").alias("block"), "keys", F.col("train").alias("n")
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         keys, n, now = np.zeros(0, np.uint32), np.zeros(0, np.int64), None
         for batch in batches:
             for row in batch.to_pylist():
@@ -348,13 +350,14 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     words, kinds = vocabulary(flags)
     # Blocks are made twice, once to ask and once to score, rather than stored; a block is a task's
     # batch of rows, so both times the same. Were they not, the answers would not fit and the job fail.
-    block = blocks(flags, words)
-    questions = stored(asked(block), "questions")
+    into_blocks = blocks_by(docs.sparkSession, words)
+    questions = stored(asked(flags, into_blocks), "questions")
     n_blocks = questions.where("shard = 0").count()
     turns = max(1, -(-n_blocks // BLOCKS_A_TASK))
     part = questions.select("shard", F.pmod(F.xxhash64("block"), F.lit(turns)).cast("int").alias("turn"), "keys", "train")
     counts = stored(counted(counted(part, ["shard", "turn"]).drop("turn"), ["shard"]), "counts")
     model = statistics(counts, words, kinds)
+    block = flags.mapInArrow(into_blocks, BLOCK)
     return stored(scored(block, looked_up(questions, counts, n_blocks), model), "scores")
 
 
