@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +13,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def with_store(spark: SparkSession) -> SparkSession:
+    """Give a local session that names no shared folder one of its own; clusters have to name theirs."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named and context.master.startswith("local["):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="rollcall-"))
+    return spark
+
+
 class Tables:
     """The tables of one folder, as attributes."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark = apply_settings(spark)
+        self.spark = with_store(apply_settings(spark))
         self.folder = folder
 
     def __getattr__(self, name: str) -> DataFrame:

@@ -71,9 +71,13 @@ def distinct_top(df: DataFrame, col: str, k: int) -> DataFrame:
     return df.select(col).distinct().orderBy(F.asc_nulls_last(col)).limit(k)
 
 
-def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """``n`` random rows."""
-    return df.orderBy(F.rand(seed)).limit(n)
+def sample_rows(df: DataFrame, n: int, seed: int = 42, key: Sequence[str] = ()) -> DataFrame:
+    """``n`` random rows: those whose keys (all columns, if none are named) hash lowest together with the seed.
+
+    A rerun, on whatever partitions, shows the same rows.
+    """
+    drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key or df.columns]))
+    return df.orderBy(drawn).limit(n)
 
 
 def latest_batch(df: DataFrame, stamp: str) -> DataFrame:

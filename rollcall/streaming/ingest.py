@@ -3,7 +3,9 @@
 A Structured Streaming file source remembers which files it has handed out; the
 checkpoint makes each run pick up only new ones. Every batch is written to its own
 folder by overwriting, so a batch that is repeated after a failure replaces itself.
-If the checkpoint is lost, files whose accession is already loaded are skipped.
+Beside the votes lies a manifest, one row per loaded file: it answers which files are done and
+how many rows there are, so no run reads the votes again. If the checkpoint is lost,
+files whose accession is in the manifest are skipped.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from rollcall.sources.text_tables import read_text_csv, text_schema
 
 BATCH = "ingest_batch"
 _FILE = "path string, modificationTime timestamp, length long, content binary"
-# Files per batch: bounds the list of paths that a batch hands to the driver.
-FILES_PER_BATCH = 10_000
+MANIFEST = "_manifest"  # Spark takes no folder of such a name for data of the one above
+_LOADED = "accession string, batch_rows long, ingest_batch string"
 
 
 def read_ingested(spark: SparkSession, target: str) -> DataFrame:
@@ -33,6 +35,14 @@ def _target_schema():
     return text_schema([*V.VOTE_COLUMNS, BATCH])
 
 
+def loaded(spark: SparkSession, target: str) -> DataFrame:
+    """The manifest: accession, batch and rows of the batch, for every file that has been loaded."""
+    path = f"{target}/{MANIFEST}"
+    if not _has_data(spark, path):
+        return spark.createDataFrame([], _LOADED)
+    return spark.read.schema(_LOADED).parquet(path)
+
+
 def skip_done(batch: DataFrame, done: DataFrame, key: str = "accession") -> DataFrame:
     """Rows of a batch whose key no earlier batch has loaded."""
     return todo(batch, done.select(key).distinct(), key)
@@ -46,8 +56,12 @@ def ingest_available(
     glob: str = "*.csv.gz",
     accession_pattern: str = r"([^/]+)\.csv(?:\.gz)?$",
     audit: str | None = None,
+    files_per_batch: int = 10_000,
 ) -> dict[str, int]:
-    """Append the vote files that have arrived since the last run; returns file and row counts."""
+    """Append the vote files that have arrived since the last run; returns file and row counts.
+
+    ``files_per_batch`` bounds the list of paths that a batch hands to the driver; a run goes on until all files are in.
+    """
     counts = {"new_vote_files": 0, "new_votes": 0}
 
     def write(files: DataFrame, batch_id: int) -> None:
@@ -55,15 +69,17 @@ def ingest_available(
         # The query id lives in the checkpoint, so folders of two checkpoints never collide.
         own = f"{session.sparkContext.getLocalProperty('sql.streaming.queryId')}-{batch_id}"
         offered = files.select("path", F.regexp_extract("path", accession_pattern, 1).alias("accession"))
-        if _has_data(session, target):
-            earlier = session.read.schema(_target_schema()).parquet(target).filter(F.col(BATCH) != own)
-            offered = skip_done(offered, earlier)
-        paths = [row["path"] for row in offered.select("path").collect()]
-        if not paths:
+        offered = skip_done(offered, loaded(session, target).filter(F.col(BATCH) != own))
+        wanted = offered.select("path", "accession").collect()
+        if not wanted:
             return
+        paths = [row["path"] for row in wanted]
         rows = read_text_csv(session, paths, V.VOTE_COLUMNS)
         place = f"{target}/{BATCH}={own}"
         written, sent = write_counted(rows, place)
+        # Only what is fully written is listed; a batch that fails before comes again under its own name.
+        listed = session.createDataFrame([(row["accession"], sent) for row in wanted], "accession string, batch_rows long")
+        listed.coalesce(1).write.mode("overwrite").parquet(f"{target}/{MANIFEST}/{BATCH}={own}")
         if audit:
             audit_written(written, sent, own, F.current_timestamp()).write.mode("append").parquet(audit)
         counts["new_vote_files"] += len(paths)
@@ -74,7 +90,7 @@ def ingest_available(
         spark.readStream.format("binaryFile")
         .schema(_FILE)
         .option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", FILES_PER_BATCH)
+        .option("maxFilesPerTrigger", files_per_batch)
         .load(folder)
         .select("path")
     )
@@ -85,7 +101,7 @@ def ingest_available(
         .start()
     )
     query.awaitTermination()
-    total = read_ingested(spark, target).count() if _has_data(spark, target) else 0
+    total = loaded(spark, target).groupBy(BATCH).agg(F.max("batch_rows").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return {**counts, "total_votes": total}
 
 

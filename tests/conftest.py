@@ -1,3 +1,5 @@
+import tempfile
+
 import pytest
 from pyspark.sql import SparkSession
 
@@ -15,5 +17,6 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rollcall-tests-"))
     yield apply_settings(session)
     session.stop()

@@ -59,6 +59,7 @@ def test_query(spark, con, name):
     df = QUERIES[name](spark, FOLDER)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Cross" not in plan
+    assert "RoundRobin" not in df._jdf.queryExecution().executedPlan().toString()
     got = rows_of(df.columns, df.collect())
     if name not in ORACLES:
         assert got
