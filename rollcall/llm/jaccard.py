@@ -2,16 +2,17 @@
 
 The set of a text is its distinct word shingles, each a 64-bit hash. Sets are put into bands of
 size; two sets over the threshold are in the same or in neighbouring bands, and differ in at
-most H elements, H fixed by the band. All possible elements are hashed into H + 1 segments, so two
-such sets agree wholly on one segment at least. Each set is indexed under one signature for
-each segment, for its own band and for the band below.
-
-Sets that share a signature are candidates, and candidates are verified exactly. Links only
-have to connect: in each group with a common signature, all sets are first held against one leader, and then
-only sets that are not yet connected against each other. Where unconnected sets meet too
-often in some segment, cost-based allocation takes it out (0) and gives another one the
-right to differ in one element (2), which indexes its one-deletion neighbourhood; the
-allocations of a band always sum to H + 1, so no pair is lost.
+most H elements, H fixed by the band. All possible elements are hashed into segments, and each
+segment is allowed so many differences, less than one (allotment 1) or less than two (allotment 2). The
+allotments of a band sum to H + 1, so two sets over the threshold keep within them on one segment at
+least. A segment of allotment 1 is indexed by a hash of what the set has in it, one of allotment 2 also by its one-deletion
+neighbourhood. Which segments get 2 is a matter of cost: deletions make more signatures, but longer segments make fewer
+false candidates. Each set is indexed for its own band and for the band below.
+
+Sets that share a signature are candidates. Candidates are gathered into families (chains of shared
+signatures), and a family is verified exactly, in blocks of bounded size: every two chunks of a family meet in one
+task, which counts common elements by matrix products and gives the links that connect what it saw. So the
+work of a family of F sets that are alike but not linked grows with F squared over the square of a chunk.
 
 Equal sets are one class from the start, by a 64-bit hash of size and contents.
 
@@ -24,12 +25,12 @@ id is its least id that is not null. Other columns play no part.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rollcall.llm.common import broadcast_below, let, lower_ascii, places, stored
 from rollcall.llm.components import components
@@ -40,8 +41,11 @@ PERCENT = 90
 BROADCAST_ROWS = 1_000_000
 # Elements that a Python worker works on at a time.
 SLICE = 500_000
-# What one candidate pair costs, in signatures written and shuffled.
-PAIR_COST = 8.0
+# What a false candidate costs, in signatures written and shuffled, and the share of a family's elements that a copy keeps.
+CANDIDATE_COST, KEPT = 40.0, 0.85
+# A family is cut into chunks of so many sets or elements.
+CHUNK_SETS, CHUNK_ELEMENTS = 512, 250_000
+COLUMNS = 4096  # elements that a matrix product takes at a time
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -58,10 +62,28 @@ def shingles(text: Column, size: int = SHINGLE) -> Column:
     return let(ws, of)
 
 
+def allotment(differ: int, size: int) -> tuple[int, int]:
+    """Number of segments, and how many of them get 2: the cheapest choice with a sum of ``differ`` + 1 for sets of a size.
+
+    An allotment of 1 takes one signature and one of 2 one more for each element; a false
+    candidate comes about where all elements of a segment, or all but one, were kept.
+    """
+
+    def cost(twos: int) -> float:
+        segments = differ + 1 - twos
+        length = size / segments
+        whole = KEPT**length
+        near = whole * (1 + length * (1 - KEPT) / KEPT)
+        return segments + twos * length + CANDIDATE_COST * ((segments - twos) * whole + twos * near)
+
+    twos = min(range((differ + 1) // 2 + 1), key=lambda t: (cost(t), t))
+    return differ + 1 - twos, twos
+
+
 class Bands:
-    """Size bands and the number of segments of each, for a threshold in percent."""
+    """Size bands, and the segments and allotments of each, for a threshold in percent."""
 
-    def __init__(self, percent: int, most: int = 1 << 31):
+    def __init__(self, percent: int, most: int = 1 << 31, allot: Callable[[int, int], tuple[int, int]] = allotment):
         low = [1]
         while low[-1] <= most:
             low.append(low[-1] * 100 // percent + 1)
@@ -70,14 +92,16 @@ class Bands:
         self.partner = top * 100 // percent  # largest size that can link with it
         # |r| + |s| = A and 100 I >= percent (A - I) leave at most this many elements in one set only.
         self.differ = (top + self.partner) * (100 - percent) // (100 + percent)
+        # Large bands would try many choices that all come to the same: deletions do not pay there.
+        chosen = [allot(int(h), int(n)) if 0 < h <= 500 else (int(h) + 1 if h else 0, 0) for h, n in zip(self.differ, low)]
+        self.count, self.twos = (np.array(x, dtype=np.int64) for x in zip(*chosen))
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, sizes, side="right") - 1
 
     def segments(self, band: np.ndarray) -> np.ndarray:
-        """H + 1; none where only equal sets can link."""
-        h = self.differ[np.maximum(band, 0)]
-        return np.where((band >= 0) & (h > 0), h + 1, 0)
+        """None where only equal sets can link."""
+        return np.where(band >= 0, self.count[np.maximum(band, 0)], 0)
 
     def roles(self, sizes: np.ndarray) -> list[np.ndarray]:
         """The bands under which sets are indexed: their own and the one below (-1: none)."""
@@ -110,42 +134,25 @@ def segment_sums(elements: np.ndarray, row: np.ndarray, bands: Bands, role: np.n
 
 
 def signatures(elements: np.ndarray, ends: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per set its class, and its signatures in all roles one after the other (values, ends)."""
+    """Per set its class, and its signatures in all roles (values, ends)."""
     sizes = np.diff(ends, prepend=0)
     row = np.repeat(np.arange(len(sizes)), sizes)
     prints = np.zeros((2, len(sizes)), dtype=np.uint64)
     for k in range(2):
         np.add.at(prints[k], row, mix(elements, 4 + k))
     classes = mix(prints[0] ^ mix(prints[1] ^ mix(sizes.astype(np.uint64), 6), 7), 8)
-    parts, counts = [], []
-    for role in bands.roles(sizes):
-        first, _, sums, names = segment_sums(elements, row, bands, role)
-        parts.append(mix(sums + names, 9))
-        counts.append(np.diff(first))
-    total = np.concatenate(([0], np.cumsum(sum(counts))))
-    values = np.zeros(total[-1], dtype=np.uint64)
-    at = total[:-1].copy()
-    for part, count in zip(parts, counts):
-        first = np.concatenate(([0], np.cumsum(count)))[:-1]
-        values[np.repeat(at - first, count) + np.arange(len(part))] = part
-        at += count
-    return classes, values, total[1:]
-
-
-def neighbourhoods(elements: np.ndarray, ends: np.ndarray, bands: Bands, twos: set[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of every set with one element left out, in the (band, segment) pairs of ``twos``."""
-    sizes = np.diff(ends, prepend=0)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    allowed = {b: np.array(sorted(s for k, s in twos if k == b)) for b in {k for k, _ in twos}}
-    out_row, out = [], []
+    owners, parts = [], []
     for role in bands.roles(sizes):
         first, slot, sums, names = segment_sums(elements, row, bands, role)
-        for band, segments in allowed.items():
-            pick = (slot >= 0) & (role[row] == band)
-            pick[pick] = np.isin(slot[pick] - first[row[pick]], segments)
-            out_row.append(row[pick])
-            out.append(mix(sums[slot[pick]] - mix(elements[pick], 2) + names[slot[pick]], 9))
-    return np.concatenate(out_row or [np.zeros(0, np.int64)]), np.concatenate(out or [np.zeros(0, np.uint64)])
+        owners.append(np.repeat(np.arange(len(sizes)), np.diff(first)))
+        parts.append(mix(sums + names, 9))
+        # The one-deletion neighbourhoods of the first segments of a band, as many as have allotment 2.
+        near = (slot >= 0) & (slot - first[row] < bands.twos[np.maximum(role, 0)][row])
+        owners.append(row[near])
+        parts.append(mix(sums[slot[near]] - mix(elements[near], 2) + names[slot[near]], 9))
+    owner, value = np.concatenate(owners), np.concatenate(parts)
+    order = np.argsort(owner, kind="stable")
+    return classes, value[order], np.cumsum(np.bincount(owner, minlength=len(sizes)))
 
 
 def flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,9 +171,8 @@ def sliced(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         at = to
 
 
-def index(docs: DataFrame, percent: int, size: int = SHINGLE) -> DataFrame:
+def index(docs: DataFrame, bands: Bands, size: int = SHINGLE) -> DataFrame:
     """(doc_id, row, n, cls, sigs): set size, class and signatures of each document; ``row`` stands for its id and text."""
-    bands = Bands(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -188,167 +194,121 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row")
 
 
-def _sets_of(docs: DataFrame, indexed: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """(cls, n, set) for the wanted classes (cls), read again from one document of each."""
-    ids = indexed.join(classes, "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.min("row").alias("row"))
-    ids = stored(ids, "wanted")
-    texts = docs.select(row_key(), "text")
-    picked = texts.join(broadcast_below(ids, ids.count(), BROADCAST_ROWS), "row").dropDuplicates(["cls"])
-    return picked.select("cls", "n", shingles(F.col("text"), size).alias("set"))
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the ``pairs`` (a, b) whose sets reach the threshold."""
-    left, right = (sets.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("set").alias(f"s{c}")) for c in "ab")
-    both = pairs.join(right, "b").join(left, "a")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(let(common, lambda i: i * 100 >= (F.col("na") + F.col("nb") - i) * percent)).select("a", "b")
-
-
-def allocate(costs: dict[int, float], segments: int, sets: int, length: float) -> dict[int, int]:
-    """For the segments of one band, the number of elements (plus one) by which each may differ: {segment: 0 or 2}; others 1.
-
-    ``costs`` has the candidate pairs that each segment would bring, ``sets`` and ``length`` the
-    sets and their elements for each segment. Pairs off the dearest segment against the cheapest
-    while that saves more than the one-deletion signatures cost. The sum never changes.
-    """
-    order = sorted(range(segments), key=lambda s: (costs.get(s, 0.0), s))
-    out: dict[int, int] = {}
-    i, j = 0, len(order) - 1
-    while i < j:
-        cheap, dear = order[i], order[j]
-        if PAIR_COST * costs.get(dear, 0.0) <= sets * length + 2 * PAIR_COST * costs.get(cheap, 0.0):
-            break
-        out[cheap], out[dear] = 2, 0
-        i, j = i + 1, j - 1
-    return out
-
-
-def links(docs: DataFrame, indexed: DataFrame, percent: int = PERCENT, size: int = SHINGLE, allocation=allocate) -> DataFrame:
-    """(id, component) of classes with links to others; joins all that are connected."""
-    spark, bands = docs.sparkSession, Bands(percent)
+def families(indexed: DataFrame) -> DataFrame:
+    """(id, component) of the classes that share signatures with others, directly or by way of others."""
     # Copies are taken out before their signatures are: one row of each class goes on.
     many = indexed.groupBy("cls").agg(F.count(F.lit(1)).alias("c"), F.min("row").alias("first")).where("c > 1").select("cls", "first")
     many = stored(many, "copied")
     one = (
         indexed.join(broadcast_below(many, many.count(), BROADCAST_ROWS), "cls", "left")
         .where("first is null or row = first")
-        .select("cls", "n", F.posexplode("sigs").alias("pos", "sig"))
-    )
-    shared = one.groupBy("sig").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("sig")
-    members = stored(one.join(shared, "sig").distinct(), "members")
-    if members.isEmpty():
-        return spark.createDataFrame([], "id long, component long")
-    sets = stored(_sets_of(docs, indexed, members.select("cls").distinct(), size), "sets")
-
-    def joined(found: DataFrame) -> DataFrame:
-        return stored(components(found), "components")
-
-    def with_component(rows: DataFrame, known: DataFrame) -> DataFrame:
-        named = rows.join(known.select(F.col("id").alias("cls"), "component"), "cls", "left")
-        return named.withColumn("component", F.coalesce("component", "cls"))
-
-    def open_groups(rows: DataFrame, known: DataFrame) -> DataFrame:
-        """Members of the groups that hold more than one component so far."""
-        named = with_component(rows, known)
-        split = named.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
-        return named.join(split, "sig")
-
-    found, known, rows = None, None, members
-    for turn in range(2):
-        # Each set against the leader of each of its groups; the same few leaders come up in most groups.
-        leader = rows.groupBy("sig").agg(F.min_by("cls", F.struct(F.xxhash64("cls", F.lit(turn)), "cls")).alias("a"))
-        pairs = rows.join(leader, "sig").where("a <> cls").select("a", F.col("cls").alias("b")).distinct()
-        if turn:
-            pairs = pairs.join(known.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(
-                known.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left"
-            ).where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-        new = stored(verified(pairs, sets, percent), "links")
-        found = new if found is None else found.unionByName(new)
-        known = joined(found)
-        rows = stored(open_groups(members, known).select("sig", "cls", "n", "pos"), "open")
-        if rows.isEmpty():
-            return known
-
-    def cross(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Sets outside the largest component of their group, and all sets of such groups."""
-        groups = with_component(rows, known)
-        sizes = groups.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("c"))
-        largest = sizes.groupBy("sig").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("all"))
-        marked = groups.join(largest, "sig")
-        return marked.where("component <> main"), marked
-
-    # What it would cost to hold all unconnected sets of a group against each other, by band and segment.
-    few, _ = cross(rows)
-    low, per = list(map(int, bands.low)), [int(x) for x in bands.segments(np.arange(len(bands.low) - 1))]
-    band_of = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in low]), lambda x: x <= F.col("n"))) - 1
-    own = F.element_at(F.array(*[F.lit(p) for p in per]), F.col("band") + 1)
-    placed = few.withColumn("band", band_of).select(
-        F.when(F.col("pos") < own, F.col("band")).otherwise(F.col("band") - 1).alias("k"),
-        F.when(F.col("pos") < own, F.col("pos")).otherwise(F.col("pos") - own).alias("segment"), "all", "cls",
-    )
-    costs: dict[int, dict[int, float]] = {}
-    # One row per band and segment with open groups: bounded by the segments of all bands, some ten times the largest H.
-    for r in placed.groupBy("k", "segment").agg(F.sum("all").alias("cost")).collect():
-        costs.setdefault(r["k"], {})[r["segment"]] = float(r["cost"])
-    counted = dict(tuple(r) for r in indexed.withColumn("band", band_of).groupBy("band").agg(F.count(F.lit(1))).collect())
-    chosen = {
-        (k, s): v
-        for k, by in costs.items()
-        for s, v in allocation(by, per[k], counted.get(k, 0) + counted.get(k + 1, 0), low[k] / max(1, per[k])).items()
-    }
-    rest = members
-    if chosen:
-        rest = _reallocated(docs, indexed, members, placed, chosen, bands, size, band_of, own)
-        extra = rest.select("cls").distinct().join(sets.select("cls"), "cls", "left_anti")
-        sets = sets.unionByName(_sets_of(docs, indexed, extra, size))
-    few, every = cross(open_groups(rest, known).select("sig", "cls", "n"))
-    a = few.select("sig", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    b = every.select("sig", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), "main")
-    pairs = a.join(b, "sig").where(
-        (F.col("ca") != F.col("cb"))
-        & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b")))
-        & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+        .select("cls", F.explode("sigs").alias("sig"))
     )
-    last = stored(verified(pairs.select("a", "b").distinct(), sets, percent), "links")
-    return joined(found.unionByName(last))
+    # One shuffle finds each signature's least class; all that share it link to that one only.
+    least = F.min("cls").over(Window.partitionBy("sig"))
+    stars = one.withColumn("least", least).where("least <> cls").select(F.col("least").alias("a"), F.col("cls").alias("b"))
+    return stored(components(stars.distinct()), "families")
+
+
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of ``a`` has in common with each of ``b``."""
+    if len(a) * len(b) <= 64:
+        return np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in b] for x in a])
+    values = np.concatenate(a + b)
+    row = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in a + b])
+    _, code = np.unique(values, return_inverse=True)
+    left = row < len(a)
+    # Only elements that both sides have can be common.
+    both = (np.bincount(code[left], minlength=code.max() + 1) > 0) & (np.bincount(code[~left], minlength=code.max() + 1) > 0)
+    column = np.cumsum(both) - 1
+    pick = both[code]
+    row, code = row[pick], column[code[pick]]
+    out = np.zeros((len(a), len(b)), dtype=np.float32)
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    for start in range(0, int(both.sum()), COLUMNS):
+        lo, hi = np.searchsorted(code, (start, start + COLUMNS))
+        dense = np.zeros((len(a) + len(b), COLUMNS), dtype=np.float32)
+        dense[row[lo:hi], code[lo:hi] - start] = 1
+        out += dense[: len(a)] @ dense[len(a) :].T
+    return np.rint(out).astype(np.int64)
+
+
+def spanning_links(a: list[int], b: list[int], common: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that connect whatever pairs over the threshold connect."""
+    over = common * 100 >= (na[:, None] + nb[None, :] - common) * percent
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(over)):
+        x, y = a[i], b[j]
+        if x != y and root(x) != root(y):
+            parent[root(x)] = root(y)
+            out.append((x, y))
+    return out
 
 
-def _reallocated(docs, indexed, members, placed, chosen, bands, size, band_of, own) -> DataFrame:
-    """(sig, cls, n) after allocation: without segments of 0, with the neighbourhoods of segments of 2."""
-    spark = docs.sparkSession
-    # One row per reallocated segment; bounded like the costs.
-    plan = spark.createDataFrame([(k, s, v) for (k, s), v in chosen.items()], "k int, segment int, v int")
-    twos = {ks for ks, v in chosen.items() if v == 2}
-    touched = sorted({k for k, _ in chosen} | {k + 1 for k, _ in chosen})
-    one = indexed.groupBy("cls").agg(F.first("n").alias("n")).withColumn("band", band_of).where(F.col("band").isin(touched))
-    sets = _sets_of(docs, indexed, one.select("cls"), size)
+def links(docs: DataFrame, indexed: DataFrame, percent: int, size: int) -> DataFrame:
+    """(id, component) of the classes with links to others; joins all that are connected by links."""
+    known = families(indexed).select(F.col("id").alias("cls"), F.col("component").alias("family"))
+    reps = indexed.groupBy("cls").agg(F.first("n").alias("n"), F.min("row").alias("row"))
+    near = stored(reps.join(known, "cls"), "near")
+    chunks = F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK_SETS, F.sum("n") / CHUNK_ELEMENTS)).cast("int")
+    sized = near.groupBy("family").agg(chunks.alias("chunks"))
+    wanted = near.join(sized, "family").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
+    picked = docs.select(row_key(), "text").join(broadcast_below(wanted, near.count(), BROADCAST_ROWS), "row").dropDuplicates(["cls"])
+    # A set goes to the block of its chunk and each chunk of its family.
+    with_other = picked.select("family", "cls", "chunk", F.array_sort(shingles(F.col("text"), size)).alias("set"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    block = ["family", "i", "j"]
+    placed = with_other.select("family", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "cls", "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in sliced(whole, "set"):
-                elements, ends = flat(batch.column("set"))
-                row, sig = neighbourhoods(elements, ends.astype(np.int64), bands, twos)
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), batch.column("cls").take(at), batch.column("n").take(at)], ["sig", "cls", "n"])
-
-    near = sets.mapInArrow(run, "sig long, cls long, n long")
-    every = indexed.select("cls", "n", F.posexplode("sigs").alias("pos", "sig")).withColumn("band", band_of)
-    named = every.select(
-        "sig", "cls", "n",
-        F.when(F.col("pos") < own, F.col("band")).otherwise(F.col("band") - 1).alias("k"),
-        F.when(F.col("pos") < own, F.col("pos")).otherwise(F.col("pos") - own).alias("segment"),
-    )
-    held = named.join(F.broadcast(plan), ["k", "segment"], "left").where("coalesce(v, 1) > 0").select("sig", "cls", "n")
-    sigs = held.unionByName(near).distinct()
-    shared = sigs.groupBy("sig").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("sig")
-    return stored(sigs.join(shared, "sig"), "members")
-
-
-def groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, allocation=allocate) -> DataFrame:
+        now, ids, sets, chunk_of = None, [], [], []
+
+        def out() -> pa.RecordBatch:
+            i, j = now[1:]
+            first = [k for k, c in enumerate(chunk_of) if c == i]
+            second = first if i == j else [k for k, c in enumerate(chunk_of) if c == j]
+            a, b = [sets[k] for k in first], [sets[k] for k in second]
+            found = []
+            if a and b and len(ids) > 1:
+                sizes = [np.array([len(x) for x in side]) for side in (a, b)]
+                found = spanning_links([ids[k] for k in first], [ids[k] for k in second], _common(a, b), *sizes, percent)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"]
+            )
+
+        for batch in batches:
+            values, ends = flat(batch.column("set"))
+            starts = np.concatenate(([0], ends[:-1]))
+            keys = zip(*(batch.column(c).to_pylist() for c in block))
+            for key, cls, chunk, lo, hi in zip(keys, batch.column("cls").to_pylist(), batch.column("chunk").to_pylist(), starts, ends):
+                if key != now:
+                    if now:
+                        yield out()
+                    now, ids, sets, chunk_of = key, [], [], []
+                ids.append(cls)
+                sets.append(values[lo:hi].view(np.int64).copy())
+                chunk_of.append(chunk)
+        if now:
+            yield out()
+
+    ordered = placed.repartition(*block).sortWithinPartitions(*block)
+    found = stored(ordered.mapInArrow(run, "a long, b long"), "links")
+    return stored(components(found), "components")
+
+
+def groups(
+    docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, allot: Callable[[int, int], tuple[int, int]] = allotment
+) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every document: the least id reachable by links of ``percent`` or more."""
-    indexed = stored(index(docs, percent, size), "index")
-    known = links(docs, indexed, percent, size, allocation)
+    indexed = stored(index(docs, Bands(percent, allot=allot), size), "index")
+    known = links(docs, indexed, percent, size)
     named = indexed.join(known.withColumnRenamed("id", "cls"), "cls", "left").select(
         "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "cls")).alias("component")
     )

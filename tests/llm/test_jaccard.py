@@ -71,28 +71,37 @@ def test_near_copies_against_all_pairs(docs, percent, size):
     assert collected(jaccard.groups(docs(*rows), percent, size)) == want
 
 
-def test_reallocated_segments_lose_no_pair(docs):
-    """Whatever is allocated, the pigeonhole principle finds all links."""
+@pytest.mark.parametrize("twos", [0, 1, 3, 99])
+def test_whatever_the_allotments_no_pair_is_lost(docs, twos):
+    """The pigeonhole principle finds all links, with one-deletion neighbourhoods or without."""
 
-    def swap(costs, segments, sets, length):
-        order = sorted(range(segments), key=lambda s: costs.get(s, 0))
-        return {s: 2 if i < segments // 2 else 0 for i, s in enumerate(order)} if segments % 2 == 0 else {}
+    def allot(differ, size):
+        some = min(twos, (differ + 1) // 2)
+        return differ + 1 - some, some
 
     rows = near_copies(11, 120, words=40, edits=4)
-    assert collected(jaccard.groups(docs(*rows), 50, 2, allocation=swap)) == plain(rows, 50, 2)
-
-
-def test_allocations_always_sum_to_the_segments():
-    rng = random.Random(0)
-    changed = 0
-    for _ in range(200):
-        n = rng.randint(1, 30)
-        costs = {s: rng.choice([0.0, 1.0, 1e6]) for s in range(n) if rng.random() < 0.8}
-        out = jaccard.allocate(costs, n, 1000, 10.0)
-        changed += bool(out)
-        assert sum(out.get(s, 1) for s in range(n)) == n
-        assert all(costs.get(s, 0) >= 1e6 for s, v in out.items() if v == 0)
-    assert changed
+    assert collected(jaccard.groups(docs(*rows), 50, 2, allot=allot)) == plain(rows, 50, 2)
+
+
+def test_a_family_in_several_chunks(docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK_SETS", 6)
+    monkeypatch.setattr(jaccard, "COLUMNS", 16)
+    rows = near_copies(3, 120, words=50, edits=3)
+    assert collected(jaccard.groups(docs(*rows), 70, 2)) == plain(rows, 70, 2)
+
+
+def test_allotments_sum_to_what_the_pigeonhole_needs():
+    chosen = {(h, n): jaccard.allotment(h, n) for h, n in ((1, 10), (2, 20), (3, 30), (18, 170), (105, 1000))}
+    assert all(segments + twos == h + 1 and twos <= segments for (h, _), (segments, twos) in chosen.items())
+    assert chosen[1, 10][1] == 1 and chosen[105, 1000][1] == 0
+
+
+def test_matrix_products_count_common_elements():
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(-(1 << 62), 1 << 62, 5).repeat(1)) for _ in range(3)]
+    sets += [np.unique(rng.integers(0, 300, rng.integers(1, 200))) for _ in range(30)]
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in sets[:20]] for a in sets]
+    assert (jaccard._common(sets, sets[:20]) == np.array(want)).all()
 
 
 def test_bands_cover_all_sizes_and_differences():
