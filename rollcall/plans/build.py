@@ -31,7 +31,8 @@ def build(
     out: dict[str, DataFrame] = {}
 
     def keep(name: str, df: DataFrame, kind: str = "table", partition_by: Sequence[str] = ()) -> DataFrame:
-        out[name] = materialise(df, name, kind, store, partition_by)
+        # The session is not the build's own, so its views carry a prefix that no user's view has.
+        out[name] = materialise(df, f"rollcall_{name}" if kind == "view" else name, kind, store, partition_by)
         return out[name]
 
     def keep_together(*tables: tuple) -> list[DataFrame]:

@@ -56,7 +56,8 @@ def materialise(df: DataFrame, name: str, kind: str, store: str | None = None,
     """A staging model becomes a temporary view, a mart a Parquet table under ``store``."""
     if kind == "table" and store:
         df = write_curated(df, f"{store}/{name}", partition_by)
-    df.createOrReplaceTempView(name)
+    if kind == "view":
+        df.createOrReplaceTempView(name)
     return df
 
 

@@ -3,8 +3,8 @@
 A Structured Streaming file source remembers which files it has handed out; the
 checkpoint makes each run pick up only new ones. Every batch is written to its own
 folder by overwriting, so a batch that is repeated after a failure replaces itself.
-Beside the votes lies a manifest, one row per loaded file: it answers which files are done and
-how many rows there are, so no run reads the votes again. If the checkpoint is lost,
+Beside the votes lies a manifest, one row per loaded accession: it answers which files are done and
+how many rows there are, so no run reads the votes of earlier ones. If the checkpoint is lost,
 files whose accession is in the manifest are skipped.
 """
 
@@ -36,7 +36,7 @@ def _target_schema():
 
 
 def loaded(spark: SparkSession, target: str) -> DataFrame:
-    """The manifest: accession, batch and rows of the batch, for every file that has been loaded."""
+    """The manifest: accession, batch and rows of the batch, for every accession with votes."""
     path = f"{target}/{MANIFEST}"
     if not _has_data(spark, path):
         return spark.createDataFrame([], _LOADED)
@@ -70,16 +70,15 @@ def ingest_available(
         own = f"{session.sparkContext.getLocalProperty('sql.streaming.queryId')}-{batch_id}"
         offered = files.select("path", F.regexp_extract("path", accession_pattern, 1).alias("accession"))
         offered = skip_done(offered, loaded(session, target).filter(F.col(BATCH) != own))
-        wanted = offered.select("path", "accession").collect()
-        if not wanted:
+        paths = [row["path"] for row in offered.select("path").collect()]
+        if not paths:
             return
-        paths = [row["path"] for row in wanted]
         rows = read_text_csv(session, paths, V.VOTE_COLUMNS)
         place = f"{target}/{BATCH}={own}"
         written, sent = write_counted(rows, place)
-        # Only what is fully written is listed; a batch that fails before comes again under its own name.
-        listed = session.createDataFrame([(row["accession"], sent) for row in wanted], "accession string, batch_rows long")
-        listed.coalesce(1).write.mode("overwrite").parquet(f"{target}/{MANIFEST}/{BATCH}={own}")
+        # What is listed is fully written; a batch that fails before this comes again under its own name.
+        listed = written.select("accession").distinct().withColumn("batch_rows", F.lit(sent).cast("long"))
+        listed.write.mode("overwrite").parquet(f"{target}/{MANIFEST}/{BATCH}={own}")
         if audit:
             audit_written(written, sent, own, F.current_timestamp()).write.mode("append").parquet(audit)
         counts["new_vote_files"] += len(paths)
