@@ -33,7 +33,7 @@ MAGIC = b"BPK1"
 # Ids after which a chunk is closed; a longer document makes a longer chunk.
 CHUNK_IDS = 1 << 18
 # A worker's memo of encoded words is emptied at this size; only speed depends on it.
-MEMO_WORDS, MEMO_CHARS = 500_000, 64
+MEMO_WORDS, MEMO_CHARS = 800_000, 64
 SPACE = "\u0120"  # how byte-level vocabularies write a space
 WORD_AND_TAIL = re.compile(r"([^\W\d_]+)((?:[.,;:!?)]+\n?|\n)[^\W\d_]*)")
 
@@ -44,7 +44,12 @@ def bits_for(vocabulary: int) -> int:
     return max(1, (vocabulary - 1).bit_length())
 
 
+WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}  # widths that numpy stores as they are
+
+
 def pack_block(ids: np.ndarray, bits: int) -> bytes:
+    if bits in WHOLE:
+        return ids.astype(WHOLE[bits]).tobytes()
     n = len(ids)
     lanes = np.zeros((-(-n // 8), 8), dtype=np.uint64)
     lanes.reshape(-1)[:n] = ids
@@ -58,6 +63,8 @@ def pack_block(ids: np.ndarray, bits: int) -> bytes:
 
 
 def unpack_block(data: bytes, n: int, bits: int) -> np.ndarray:
+    if bits in WHOLE:
+        return np.frombuffer(data, WHOLE[bits], n).astype(np.uint32)
     rows = -(-n // 8)
     raw = np.zeros(rows * bits, dtype=np.uint8)
     raw[: len(data)] = np.frombuffer(data, dtype=np.uint8)
@@ -141,15 +148,19 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     cut = [t.split(" ") for t in texts]
     heads = [ws.pop(0) for ws in cut]
     new = set().union(*cut).difference(memo)
-    beside = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
+    odd = [w for w in new if not w.isalpha()]
+    beside = {w for w in odd if not w or w[0].isspace() or w[-1].isspace()}
     whole = [i for i, h in enumerate(heads) if (not h and cut[i]) or h[-1:].isspace() or not beside.isdisjoint(cut[i])]
-    ended = {w: m.groups() for w in new - beside if (m := WORD_AND_TAIL.fullmatch(w))}
-    tail_new = [t for t in {t for _, t in ended.values()} if t not in tails]
+    ended = [m.groups() for m in map(WORD_AND_TAIL.fullmatch, odd) if m and m.group() not in beside]
+    new.difference_update(beside)
+    new.difference_update([a + b for a, b in ended])
+    new.update([a for a, _ in ended if a not in memo])
+    tail_new = list({b for _, b in ended}.difference(tails))
     tails.update(zip(tail_new, ids_of(tail_new)))
-    plain = list((new - beside - ended.keys()).union(w for w, _ in ended.values() if w not in memo))
+    plain = list(new)
     if plain:
         memo.update(zip(plain, encode_words(plain, state)))
-    memo.update((w, memo[a] + tails[b]) for w, (a, b) in ended.items())
+    memo.update([(a + b, memo[a] + tails[b]) for a, b in ended])
     direct, first = dict(zip(whole, ids_of([texts[i] for i in whole]))), ids_of(heads)
     out = [direct[i] if i in direct else first[i] + b"".join(map(memo.__getitem__, ws)) for i, ws in enumerate(cut)]
     for w in plain:
