@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from rollcall.llm.common import stored
+from rollcall.llm.common import discard, stored
 
 
 def _by_least(edges: DataFrame, both: bool) -> DataFrame:
@@ -26,10 +26,11 @@ def components(links: DataFrame) -> DataFrame:
     shorten by a constant factor in each. Null ends and links to oneself are left out.
     """
     ends = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    # A round's edges are stored, so a lost executor costs one round at most.
-    edges, seen = ends, None
+    # A round's edges are stored, so a lost executor costs one round at most, and what finds the links runs once.
+    edges, seen = stored(ends, "ends"), None
     while True:
-        edges = stored(_by_least(_by_least(edges, both=True), both=False), "stars")
+        last, edges = edges, stored(_by_least(_by_least(edges, both=True), both=False), "stars")
+        discard(last)
         now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).first())
         if now == seen or not now[0]:
             break

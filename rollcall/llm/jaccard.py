@@ -4,15 +4,18 @@ The set of a text is its distinct word shingles, each a 64-bit hash. Sets are pu
 size; two sets over the threshold are in the same or in neighbouring bands, and differ in at
 most H elements, H fixed by the band. All possible elements are hashed into segments, and each
 segment is allowed so many differences, less than one (allotment 1) or less than two (allotment 2). The
-allotments of a band sum to H + 1, so two sets over the threshold keep within them on one segment at
-least. A segment of allotment 1 is indexed by a hash of what the set has in it, one of allotment 2 also by its one-deletion
-neighbourhood. Which segments get 2 is a matter of cost: deletions make more signatures, but longer segments make fewer
+allotments of a band sum to more than H, so two sets over the threshold keep within them on some segments, with the
+excess to spare. A segment of allotment 1 is indexed by a hash of what the set has in it, one of allotment 2 also by its one-deletion
+neighbourhood. Empty segments of allotment 1 would make unlike sets meet; but sets that keep to none but such
+segments have as many of them in common as the excess, so only every choice of so many empty ones is indexed. Which segments get 2 is a matter of cost: deletions make more signatures, but longer segments make fewer
 false candidates. Each set is indexed for its own band and for the band below.
 
-Sets that share a signature are candidates. Candidates are gathered into families (chains of shared
-signatures), and a family is verified exactly, in blocks of bounded size: every two chunks of a family meet in one
-task, which counts common elements by matrix products and gives the links that connect what it saw. So the
-work of a family of F sets that are alike but not linked grows with F squared over the square of a chunk.
+Sets that share a signature are candidates. Candidates are gathered into groups (chains of shared
+signatures, band by band). In a group, sets that agree on fewer segments than the excess demands
+cannot be linked, whatever they share; that is seen from one number for each segment, and what is left falls
+into families. A family is verified exactly. Both steps go in blocks of bounded size: every two chunks of a group
+or family meet in one task, which compares segments, or counts common elements by matrix products, and gives the links
+that connect what it saw. So the work of F sets that are alike but not linked grows with F squared over the square of a chunk.
 
 Equal sets are one class from the start, by a 64-bit hash of size and contents.
 
@@ -24,15 +27,17 @@ id is its least id that is not null. Other columns play no part.
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rollcall.llm.common import broadcast_below, let, lower_ascii, places, stored
+from rollcall.llm.common import broadcast_below, discard, let, lower_ascii, places, stored
 from rollcall.llm.components import components
 
 SHINGLE = 3
@@ -41,8 +46,12 @@ PERCENT = 90
 BROADCAST_ROWS = 1_000_000
 # Elements that a Python worker works on at a time.
 SLICE = 500_000
-# What a false candidate costs, in signatures written and shuffled, and the share of a family's elements that a copy keeps.
-CANDIDATE_COST, KEPT = 40.0, 0.85
+# What a false candidate costs, in signatures shuffled, and the share of a family's elements that a copy keeps.
+CANDIDATE_COST, KEPT = 400.0, 0.85
+STRANGERS = 2e4  # sets of a band that a set must not meet for nothing
+# Sets over the threshold agree on so many segments at most, by choice.
+MOST_AGREE = 6
+LONG = 9  # elements that a segment has to have on average for its deletions to be indexed
 # A family is cut into chunks of so many sets or elements.
 CHUNK_SETS, CHUNK_ELEMENTS = 512, 250_000
 COLUMNS = 4096  # elements that a matrix product takes at a time
@@ -63,21 +72,30 @@ def shingles(text: Column, size: int = SHINGLE) -> Column:
 
 
 def allotment(differ: int, size: int) -> tuple[int, int]:
-    """Number of segments, and how many of them get 2: the cheapest choice with a sum of ``differ`` + 1 for sets of a size.
+    """Number of segments, and how many of them get 2: the cheapest choice for sets of a size.
 
-    An allotment of 1 takes one signature and one of 2 one more for each element; a false
-    candidate comes about where all elements of a segment, or all but one, were kept.
+    An allotment of 1 takes one signature and one of 2 one more for each element. A false
+    candidate comes about where in any segment all elements of a family were kept, or all but
+    one; and, between sets that have nothing to do with each other, where as many segments
+    are empty in both as the sum exceeds ``differ``. A larger excess prevents that, but makes more segments,
+    and more choices of empty ones to be indexed.
     """
 
-    def cost(twos: int) -> float:
-        segments = differ + 1 - twos
+    def cost(agree: int, twos: int) -> float:
+        segments = differ + agree - twos
         length = size / segments
         whole = KEPT**length
-        near = whole * (1 + length * (1 - KEPT) / KEPT)
-        return segments + twos * length + CANDIDATE_COST * ((segments - twos) * whole + twos * near)
+        near = min(1.0, whole * (1 + length * (1 - KEPT) / KEPT))
+        false = 1 - (1 - whole) ** (segments - twos) * (1 - near) ** twos
+        ways = math.comb(segments - twos, agree)
+        strangers = min(1.0, STRANGERS * ways * math.exp(-2 * length * agree))
+        return segments + twos * length + ways * math.exp(-length * agree) + CANDIDATE_COST * (false + strangers)
 
-    twos = min(range((differ + 1) // 2 + 1), key=lambda t: (cost(t), t))
-    return differ + 1 - twos, twos
+    choices = [(agree, 0) for agree in range(1, MOST_AGREE + 1)]
+    # Deletions are for long segments; in short ones they would only spend the excess.
+    choices += [(agree, t) for agree in (1, 2) for t in range(1, (differ + agree) // 2 + 1) if size >= LONG * (differ + agree - t)]
+    agree, twos = min(choices, key=lambda c: (cost(*c), c))
+    return differ + agree - twos, twos
 
 
 class Bands:
@@ -92,9 +110,13 @@ class Bands:
         self.partner = top * 100 // percent  # largest size that can link with it
         # |r| + |s| = A and 100 I >= percent (A - I) leave at most this many elements in one set only.
         self.differ = (top + self.partner) * (100 - percent) // (100 + percent)
-        # Large bands would try many choices that all come to the same: deletions do not pay there.
-        chosen = [allot(int(h), int(n)) if 0 < h <= 500 else (int(h) + 1 if h else 0, 0) for h, n in zip(self.differ, low)]
+        # Very long texts are few, and their choices of empty segments many: there every empty one is indexed.
+        very = self.differ > 200
+        chosen = [allot(int(h), int(n)) if 0 < h <= 200 else (int(h) + MOST_AGREE if h else 0, 0) for h, n in zip(self.differ, low)]
         self.count, self.twos = (np.array(x, dtype=np.int64) for x in zip(*chosen))
+        # On how many segments, those of allotment 2 counted by what they have to spare, sets over the threshold agree.
+        self.agree = np.where(self.count > 0, self.count + self.twos - self.differ, 1)
+        self.choose = np.where(very, 1, self.agree)  # empty segments in one choice
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, sizes, side="right") - 1
@@ -133,26 +155,58 @@ def segment_sums(elements: np.ndarray, row: np.ndarray, bands: Bands, role: np.n
     return first, slot, sums, mix(name, 3)
 
 
-def signatures(elements: np.ndarray, ends: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per set its class, and its signatures in all roles (values, ends)."""
-    sizes = np.diff(ends, prepend=0)
+def classes_of(elements: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """One number for each set, the same for equal sets."""
     row = np.repeat(np.arange(len(sizes)), sizes)
     prints = np.zeros((2, len(sizes)), dtype=np.uint64)
     for k in range(2):
         np.add.at(prints[k], row, mix(elements, 4 + k))
-    classes = mix(prints[0] ^ mix(prints[1] ^ mix(sizes.astype(np.uint64), 6), 7), 8)
-    owners, parts = [], []
+    return mix(prints[0] ^ mix(prints[1] ^ mix(sizes.astype(np.uint64), 6), 7), 8)
+
+
+def nodes_of(classes: np.ndarray, role: np.ndarray) -> np.ndarray:
+    """One number for a class in a role: groups are kept apart by band."""
+    return mix(classes + mix(role.astype(np.uint64), 12), 13)
+
+
+def signatures(elements: np.ndarray, ends: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, node, signature) of every signature of every set in all roles."""
+    sizes = np.diff(ends, prepend=0)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    classes = classes_of(elements, sizes)
+    rows, nodes, values = [], [], []
     for role in bands.roles(sizes):
         first, slot, sums, names = segment_sums(elements, row, bands, role)
-        owners.append(np.repeat(np.arange(len(sizes)), np.diff(first)))
-        parts.append(mix(sums + names, 9))
+        owner = np.repeat(np.arange(len(sizes)), np.diff(first))
+        twos = bands.twos[np.maximum(role, 0)]
+        single = np.arange(first[-1]) - first[owner] >= twos[owner]
+        held = np.zeros(first[-1], dtype=bool)
+        held[slot[slot >= 0]] = True
+        exact = held | ~single
         # The one-deletion neighbourhoods of the first segments of a band, as many as have allotment 2.
-        near = (slot >= 0) & (slot - first[row] < bands.twos[np.maximum(role, 0)][row])
-        owners.append(row[near])
-        parts.append(mix(sums[slot[near]] - mix(elements[near], 2) + names[slot[near]], 9))
-    owner, value = np.concatenate(owners), np.concatenate(parts)
-    order = np.argsort(owner, kind="stable")
-    return classes, value[order], np.cumsum(np.bincount(owner, minlength=len(sizes)))
+        near = (slot >= 0) & (slot - first[row] < twos[row])
+        who, choice = empty_choices(owner, names, single & ~held, bands.choose[np.maximum(role, 0)])
+        mine = np.concatenate((owner[exact], row[near], who))
+        rows.append(mine)
+        nodes.append(nodes_of(classes, role)[mine])
+        values += [mix(sums + names, 9)[exact], mix(sums[slot[near]] - mix(elements[near], 2) + names[slot[near]], 9), choice]
+    return np.concatenate(rows), np.concatenate(nodes), np.concatenate(values)
+
+
+def empty_choices(owner: np.ndarray, names: np.ndarray, empty: np.ndarray, agree: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, signature) of every choice of as many empty segments of a set as its band has to agree on."""
+    at = np.flatnonzero(empty)
+    rows, starts, counts = np.unique(owner[at], return_index=True, return_counts=True)
+    who, value = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for n, k in sorted(set(zip(counts.tolist(), agree[rows].tolist()))):
+        if n >= k:
+            same = (counts == n) & (agree[rows] == k)
+            choices = np.array(list(combinations(range(n), k)))
+            # One row for each set with n empty segments, one column for each choice.
+            slots = at[starts[same][:, None] + np.arange(n)]
+            value.append(mix(mix(names[slots], 10)[:, choices].sum(axis=2, dtype=np.uint64), 11).ravel())
+            who.append(np.repeat(rows[same], len(choices)))
+    return np.concatenate(who), np.concatenate(value)
 
 
 def flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,43 +225,137 @@ def sliced(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         at = to
 
 
-def index(docs: DataFrame, bands: Bands, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, row, n, cls, sigs): set size, class and signatures of each document; ``row`` stands for its id and text."""
+def index(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(doc_id, row, n, cls): set size and class of each document; ``row`` stands for its id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in sliced(whole, "set"):
                 elements, ends = flat(batch.column("set"))
-                ends = ends.astype(np.int64)
-                classes, values, last = signatures(elements, ends, bands)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], last)), pa.int32()), pa.array(values.view(np.int64)))
+                sizes = np.diff(ends.astype(np.int64), prepend=0)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("row"), pa.array(np.diff(ends, prepend=0)), pa.array(classes.view(np.int64)), lists],
-                    ["doc_id", "row", "n", "cls", "sigs"],
+                    [batch.column("doc_id"), batch.column("row"), pa.array(sizes), pa.array(classes_of(elements, sizes).view(np.int64))],
+                    ["doc_id", "row", "n", "cls"],
                 )
 
     sets = docs.select(F.col("doc_id").cast("long"), row_key(), shingles(F.col("text"), size).alias("set"))
-    return sets.mapInArrow(run, "doc_id long, row long, n long, cls long, sigs array<long>")
+    return sets.mapInArrow(run, "doc_id long, row long, n long, cls long")
+
+
+def signed(docs: DataFrame, bands: Bands, size: int) -> DataFrame:
+    """(sig, node): every signature of every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in sliced(whole, "set"):
+                elements, ends = flat(batch.column("set"))
+                _, nodes, values = signatures(elements, ends.astype(np.int64), bands)
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(nodes.view(np.int64))], ["sig", "node"])
+
+    return docs.select(shingles(F.col("text"), size).alias("set")).mapInArrow(run, "sig long, node long")
+
+
+def sketched(docs: DataFrame, bands: Bands, size: int) -> DataFrame:
+    """(node, cls, band, sketch): for every document and role, one 32-bit number for each segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in sliced(whole, "set"):
+                elements, ends = flat(batch.column("set"))
+                sizes = np.diff(ends.astype(np.int64), prepend=0)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                classes = classes_of(elements, sizes)
+                for role in bands.roles(sizes):
+                    first, _, sums, _ = segment_sums(elements, row, bands, role)
+                    small = (mix(sums, 14) >> np.uint64(32)).astype("<u4")
+                    some = np.flatnonzero(np.diff(first))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(nodes_of(classes, role)[some].view(np.int64)),
+                            pa.array(classes[some].view(np.int64)),
+                            pa.array(role[some]),
+                            pa.array([small[first[i] : first[i + 1]].tobytes() for i in some], pa.binary()),
+                        ],
+                        ["node", "cls", "band", "sketch"],
+                    )
+
+    return docs.select(shingles(F.col("text"), size).alias("set")).mapInArrow(run, "node long, cls long, band long, sketch binary")
 
 
 def row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row")
 
 
-def families(indexed: DataFrame) -> DataFrame:
-    """(id, component) of the classes that share signatures with others, directly or by way of others."""
-    # Copies are taken out before their signatures are: one row of each class goes on.
-    many = indexed.groupBy("cls").agg(F.count(F.lit(1)).alias("c"), F.min("row").alias("first")).where("c > 1").select("cls", "first")
-    many = stored(many, "copied")
-    one = (
-        indexed.join(broadcast_below(many, many.count(), BROADCAST_ROWS), "cls", "left")
-        .where("first is null or row = first")
-        .select("cls", F.explode("sigs").alias("sig"))
+def chunked(members: DataFrame, group: str, sets: Column, key: str) -> DataFrame:
+    """``members`` with their ``chunk``, repeated for every other chunk of their group: a row for each block (``i``, ``j``) it is in."""
+    sized = members.groupBy(group).agg(F.ceil(sets).cast("int").alias("chunks"))
+    own = members.join(sized, group).withColumn("chunk", F.pmod(F.xxhash64(key), F.col("chunks")).cast("int"))
+    return own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
+        *members.columns, "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")
     )
-    # One shuffle finds each signature's least class; all that share it link to that one only.
-    least = F.min("cls").over(Window.partitionBy("sig"))
-    stars = one.withColumn("least", least).where("least <> cls").select(F.col("least").alias("a"), F.col("cls").alias("b"))
-    return stored(components(stars.distinct()), "families")
+
+
+def in_blocks(placed: DataFrame, group: str, found: Callable[[list[dict], list[dict]], list[tuple[int, int]]]) -> DataFrame:
+    """(a, b): what ``found`` says of the two chunks of every block. Blocks pass one by one; a task holds one at a time."""
+    key = (group, "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+
+        def out() -> pa.RecordBatch:
+            first = [r for r in rows if r["chunk"] == now[1]]
+            second = first if now[1] == now[2] else [r for r in rows if r["chunk"] == now[2]]
+            pairs = found(first, second) if first and second and len(rows) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            columns = {c: batch.column(c) for c in batch.schema.names}
+            lists = {c: flat(v) for c, v in columns.items() if pa.types.is_list(v.type)}
+            plain = {c: v.to_pylist() for c, v in columns.items() if c not in lists}
+            for k in range(batch.num_rows):
+                row = {c: v[k] for c, v in plain.items()}
+                for c, (values, ends) in lists.items():
+                    row[c] = values[ends[k - 1] if k else 0 : ends[k]].copy()
+                this = tuple(row[c] for c in key)
+                if this != now:
+                    if rows:
+                        yield out()
+                    now, rows = this, []
+                rows.append(row)
+        if rows:
+            yield out()
+
+    return placed.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
+
+
+def families(docs: DataFrame, indexed: DataFrame, bands: Bands, size: int) -> DataFrame:
+    """(id, component) of the classes that may have links, joined with all they may be connected to.
+
+    The sets are worked out again here rather than stored: they are larger than the texts.
+    """
+    # Copies are taken out before their signatures are: one row of each class goes on.
+    first = indexed.groupBy("cls").agg(F.count_distinct("row").alias("c"), F.min("row").alias("first")).where("c > 1")
+    skipped = stored(indexed.join(first, "cls").where("row <> first").select("row").distinct(), "skipped")
+    rows = docs.select(row_key(), "text").join(broadcast_below(skipped, skipped.count(), BROADCAST_ROWS), "row", "left_anti")
+    # One shuffle finds each signature's least node; all that share it link to that one only.
+    least = F.min("node").over(Window.partitionBy("sig"))
+    stars = signed(rows, bands, size).withColumn("least", least).where("least <> node").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    group = components(stars).select(F.col("id").alias("node"), F.col("component").alias("family"))
+    members = stored(sketched(rows, bands, size).join(group, "node").dropDuplicates(["node"]), "sketches")
+    needed = (bands.agree - bands.twos).tolist()
+
+    def agreeing(a: list[dict], b: list[dict]) -> list[tuple[int, int]]:
+        left, right = (np.array([np.frombuffer(r["sketch"], "<u4") for r in side]) for side in (a, b))
+        same = np.zeros((len(a), len(b)), dtype=np.int32)
+        for x, y in zip(left.T, right.T):
+            same += x[:, None] == y[None, :]
+        # A segment of allotment 2 that is not the same may still be near.
+        return spanning([r["cls"] for r in a], [r["cls"] for r in b], same >= needed[a[0]["band"]])
+
+    found = in_blocks(chunked(members, "family", F.count(F.lit(1)) / CHUNK_SETS, "node"), "family", agreeing)
+    out = stored(components(found), "families")
+    discard(members, skipped)
+    return out
 
 
 def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -234,9 +382,8 @@ def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
-def spanning_links(a: list[int], b: list[int], common: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that connect whatever pairs over the threshold connect."""
-    over = common * 100 >= (na[:, None] + nb[None, :] - common) * percent
+def spanning(a: list[int], b: list[int], linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect whatever the linked pairs connect."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -245,7 +392,7 @@ def spanning_links(a: list[int], b: list[int], common: np.ndarray, na: np.ndarra
         return x
 
     out = []
-    for i, j in zip(*np.nonzero(over)):
+    for i, j in zip(*np.nonzero(linked)):
         x, y = a[i], b[j]
         if x != y and root(x) != root(y):
             parent[root(x)] = root(y)
@@ -253,62 +400,31 @@ def spanning_links(a: list[int], b: list[int], common: np.ndarray, na: np.ndarra
     return out
 
 
-def links(docs: DataFrame, indexed: DataFrame, percent: int, size: int) -> DataFrame:
+def links(docs: DataFrame, indexed: DataFrame, bands: Bands, percent: int, size: int) -> DataFrame:
     """(id, component) of the classes with links to others; joins all that are connected by links."""
-    known = families(indexed).select(F.col("id").alias("cls"), F.col("component").alias("family"))
+    known = families(docs, indexed, bands, size).select(F.col("id").alias("cls"), F.col("component").alias("family"))
     reps = indexed.groupBy("cls").agg(F.first("n").alias("n"), F.min("row").alias("row"))
     near = stored(reps.join(known, "cls"), "near")
-    chunks = F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK_SETS, F.sum("n") / CHUNK_ELEMENTS)).cast("int")
-    sized = near.groupBy("family").agg(chunks.alias("chunks"))
-    wanted = near.join(sized, "family").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
-    picked = docs.select(row_key(), "text").join(broadcast_below(wanted, near.count(), BROADCAST_ROWS), "row").dropDuplicates(["cls"])
-    # A set goes to the block of its chunk and each chunk of its family.
-    with_other = picked.select("family", "cls", "chunk", F.array_sort(shingles(F.col("text"), size)).alias("set"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    block = ["family", "i", "j"]
-    placed = with_other.select("family", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "cls", "set")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, sets, chunk_of = None, [], [], []
-
-        def out() -> pa.RecordBatch:
-            i, j = now[1:]
-            first = [k for k, c in enumerate(chunk_of) if c == i]
-            second = first if i == j else [k for k, c in enumerate(chunk_of) if c == j]
-            a, b = [sets[k] for k in first], [sets[k] for k in second]
-            found = []
-            if a and b and len(ids) > 1:
-                sizes = [np.array([len(x) for x in side]) for side in (a, b)]
-                found = spanning_links([ids[k] for k in first], [ids[k] for k in second], _common(a, b), *sizes, percent)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"]
-            )
+    chunks = F.greatest(F.count(F.lit(1)) / CHUNK_SETS, F.sum("n") / CHUNK_ELEMENTS)
+    texts = docs.select(row_key(), "text").join(broadcast_below(near.select("row", "cls"), near.count(), BROADCAST_ROWS), "row").dropDuplicates(["cls"])
+    sets = texts.select("cls", F.array_sort(shingles(F.col("text"), size)).alias("set"))
+    placed = chunked(near.drop("row"), "family", chunks, "cls").join(sets, "cls")
 
-        for batch in batches:
-            values, ends = flat(batch.column("set"))
-            starts = np.concatenate(([0], ends[:-1]))
-            keys = zip(*(batch.column(c).to_pylist() for c in block))
-            for key, cls, chunk, lo, hi in zip(keys, batch.column("cls").to_pylist(), batch.column("chunk").to_pylist(), starts, ends):
-                if key != now:
-                    if now:
-                        yield out()
-                    now, ids, sets, chunk_of = key, [], [], []
-                ids.append(cls)
-                sets.append(values[lo:hi].view(np.int64).copy())
-                chunk_of.append(chunk)
-        if now:
-            yield out()
+    def over(a: list[dict], b: list[dict]) -> list[tuple[int, int]]:
+        x, y = ([r["set"] for r in side] for side in (a, b))
+        common, nx, ny = _common(x, y), np.array([len(s) for s in x]), np.array([len(s) for s in y])
+        linked = common * 100 >= (nx[:, None] + ny[None, :] - common) * percent
+        return spanning([r["cls"] for r in a], [r["cls"] for r in b], linked)
 
-    ordered = placed.repartition(*block).sortWithinPartitions(*block)
-    found = stored(ordered.mapInArrow(run, "a long, b long"), "links")
-    return stored(components(found), "components")
+    return stored(components(in_blocks(placed, "family", over)), "components")
 
 
 def groups(
     docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, allot: Callable[[int, int], tuple[int, int]] = allotment
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every document: the least id reachable by links of ``percent`` or more."""
-    indexed = stored(index(docs, Bands(percent, allot=allot), size), "index")
-    known = links(docs, indexed, percent, size)
+    indexed = stored(index(docs, size), "index")
+    known = links(docs, indexed, Bands(percent, allot=allot), percent, size)
     named = indexed.join(known.withColumnRenamed("id", "cls"), "cls", "left").select(
         "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "cls")).alias("component")
     )

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rollcall.llm.common import broadcast_below, stored
+from rollcall.llm.common import broadcast_below, discard, stored
 
 # Words with an entry of their own; with the shapes they stay below 2 ** 16.
 WORDS = 60_000
@@ -106,6 +106,7 @@ def vocabulary(flags: DataFrame) -> tuple[list[str], list[int]]:
     kinds = dict(tuple(r) for r in counts.select("word").mapInPandas(run, "shape int").groupBy("shape").agg(F.count(F.lit(1))).collect())
     for w in words:
         kinds[shape(w)] -= 1
+    discard(counts)
     return words, [kinds.get(s, 0) for s in range(SHAPES)]
 
 
@@ -358,7 +359,9 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     counts = stored(counted(counted(part, ["shard", "turn"]).drop("turn"), ["shard"]), "counts")
     model = statistics(counts, words, kinds)
     block = flags.mapInArrow(into_blocks, BLOCK)
-    return stored(scored(block, looked_up(questions, counts, n_blocks), model), "scores")
+    scores = stored(scored(block, looked_up(questions, counts, n_blocks), model), "scores")
+    discard(questions, counts)
+    return scores
 
 
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:

@@ -76,8 +76,8 @@ def test_whatever_the_allotments_no_pair_is_lost(docs, twos):
     """The pigeonhole principle finds all links, with one-deletion neighbourhoods or without."""
 
     def allot(differ, size):
-        some = min(twos, (differ + 1) // 2)
-        return differ + 1 - some, some
+        some = min(twos, (differ + 3) // 2)
+        return differ + 3 - some, some
 
     rows = near_copies(11, 120, words=40, edits=4)
     assert collected(jaccard.groups(docs(*rows), 50, 2, allot=allot)) == plain(rows, 50, 2)
@@ -92,8 +92,34 @@ def test_a_family_in_several_chunks(docs, monkeypatch):
 
 def test_allotments_sum_to_what_the_pigeonhole_needs():
     chosen = {(h, n): jaccard.allotment(h, n) for h, n in ((1, 10), (2, 20), (3, 30), (18, 170), (105, 1000))}
-    assert all(segments + twos == h + 1 and twos <= segments for (h, _), (segments, twos) in chosen.items())
-    assert chosen[1, 10][1] == 1 and chosen[105, 1000][1] == 0
+    assert all(segments + twos > h and twos <= segments for (h, _), (segments, twos) in chosen.items())
+    assert chosen[1, 10][1] > 0 and chosen[105, 1000][1] == 0
+
+
+@pytest.mark.parametrize("percent, twos, agree", [(90, 0, 4), (80, 0, 4), (60, 0, 4), (60, 2, 4), (50, 0, 2), (80, 99, 1), (70, 1, 1), (80, None, None), (60, None, None)])
+def test_every_pair_over_the_threshold_shares_a_signature(percent, twos, agree):
+    """The promise that the rest relies on, with small sets, where most segments are empty."""
+    rng = np.random.default_rng(percent)
+
+    def allot(differ, size):
+        if twos is None:
+            return jaccard.allotment(differ, size)
+        some = min(twos, (differ + agree) // 2)
+        return differ + agree - some, some
+
+    bands = jaccard.Bands(percent, 1000, allot)
+    met = 0
+    for _ in range(1500):
+        n = int(rng.integers(1, 40))
+        base = rng.integers(0, 1 << 60, n + 12).astype(np.uint64)
+        a, b = base[:n], np.concatenate((base[int(rng.integers(0, 1 + n // 4)) : n], base[n : n + int(rng.integers(0, 1 + n // 4))]))
+        x, y = set(a.tolist()), set(b.tolist())
+        if x == y or not y or 100 * len(x & y) < percent * len(x | y):
+            continue
+        met += 1
+        row, _, values = jaccard.signatures(np.concatenate((a, b)), np.array([len(a), len(a) + len(b)]), bands)
+        assert set(values[row == 0].tolist()) & set(values[row == 1].tolist())
+    assert met > 100
 
 
 def test_matrix_products_count_common_elements():
