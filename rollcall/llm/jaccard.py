@@ -45,7 +45,7 @@ PERCENT = 90
 # Rows of single ids that may be broadcast (16 MB); beyond, Spark joins by shuffle.
 BROADCAST_ROWS = 1_000_000
 # Elements that a Python worker works on at a time.
-SLICE = 500_000
+SLICE = 150_000
 # What a false candidate costs, in signatures shuffled, and the share of a family's elements that a copy keeps.
 CANDIDATE_COST, KEPT = 400.0, 0.85
 STRANGERS = 2e4  # sets of a band that a set must not meet for nothing
