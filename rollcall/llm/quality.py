@@ -1,11 +1,11 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney bigram model of trusted text.
 
-Tokens are words between white space, as written. The WORDS most frequent words of the
-trusted text are told apart, all others stand for their shape (case, marks, length) and share its
-probability. The counts of all trusted word pairs are kept in shards by a hash of the pair.
-Documents travel to them in blocks: a block asks each shard once for each pair that it
-holds, however often, and gets the counts back; the rest of the model has one entry for each
-word and goes to every task. A document is rejected if its perplexity lies above a quantile of
+Tokens are words between white space, as written. Every word of the trusted text is told apart and
+has a number; a word that it does not hold stands for its shape (case, marks, length). The numbers,
+the counts of all trusted word pairs and the statistics of each word are kept in shards by a hash.
+Documents travel to them in blocks: a block asks each shard once for each word and each pair that it
+holds, however often, and gets the numbers and counts back. Only a few sums over the whole model go to
+every task. A document is rejected if its perplexity lies above a quantile of
 that of trusted documents in its language which the model was not trained on.
 
 Defined results: documents without tokens (null, empty or blank) have no perplexity and are
@@ -19,18 +19,20 @@ from __future__ import annotations
 
 import sys
 import zlib
-from collections.abc import Callable, Iterator
+from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rollcall.llm.common import broadcast_below, discard, stored
+from rollcall.operators.ranking import with_position
 
-# Words with an entry of their own; with the shapes they stay below 2 ** 16.
-WORDS = 60_000
+# Words with a number of their own, the most frequent ones; None is all of them.
+WORDS: int | None = None
 SHARDS = 64
 # Characters in a block of documents; a longer document is a block of its own.
 BLOCK_CHARS = 12_000_000
@@ -42,11 +44,18 @@ ENOUGH = 50
 # Short texts are drawn to the mean of trusted text by so many tokens.
 PRIOR_TOKENS = 10
 BROADCAST_ROWS = 1_000_000
-START = 0  # stands before the first token; words follow, then shapes
 
 CASES, MARKS, LENGTHS = 5, 3, 4
 SHAPES = CASES * MARKS * LENGTHS
 
+# Numbers: START stands before the first token; in the place of a pair's second word stand the names of
+# what is told of its first; shapes and words follow. A pair is one number, the first word in its high half.
+START, TOTAL, ONES, TWOS, MORE, LEFT = range(6)
+STATISTICS = np.arange(TOTAL, LEFT + 1, dtype=np.int64)
+FIRST_SHAPE = LEFT + 1
+FIRST_WORD = FIRST_SHAPE + SHAPES
+HALF, LOW = np.int64(32), np.int64(0xFFFFFFFF)
+
 Batches = Iterator[pa.RecordBatch]
 BLOCK = "block long, doc_ids array<long>, langs array<string>, roles array<int>, counts array<int>, ids binary"
 
@@ -60,17 +69,50 @@ def shape(word: str) -> int:
     return (case * MARKS + marks) * LENGTHS + sum(len(word) > n for n in (4, 9, 16))
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``stored``; the shuffles behind the table go at once, as nothing reads them again."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        return stored(df, name)
+    finally:
+        spark.conf.set(key, before)
+
+
+def word_shard(word: str) -> int:
+    return zlib.crc32(word.encode()) % SHARDS
+
+
 def pair_shard(keys: np.ndarray) -> np.ndarray:
-    x = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    """Pairs are dealt by both words, the statistics of a word by that word."""
+    dealt = np.where((keys & LOW) < FIRST_SHAPE, keys >> HALF, keys)
+    x = dealt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return ((x >> np.uint64(40)) % np.uint64(SHARDS)).astype(np.int64)
 
 
 def squeezed(values: np.ndarray) -> bytes:
-    return zlib.compress(values.astype("<u4").tobytes(), 1)
+    """Numbers from 0, all their lowest bytes first, then the next ones: the high bytes are mostly alike."""
+    whole = np.ascontiguousarray(values, dtype="<i8")
+    width = max(1, (int(whole.max()).bit_length() + 7) // 8) if len(whole) else 1
+    planes = whole.view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + zlib.compress(planes.tobytes(), 1)
 
 
 def spread_out(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), dtype="<u4")
+    planes = np.frombuffer(zlib.decompress(data[1:]), dtype=np.uint8).reshape(data[0], -1)
+    whole = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    whole[:, : data[0]] = planes.T
+    return whole.view("<i8").ravel()
+
+
+def squeezed_words(words: list[str]) -> bytes:
+    # Tokens hold no white space.
+    return zlib.compress("\n".join(words).encode(), 1)
+
+
+def words_of(data: bytes) -> list[str]:
+    return zlib.decompress(data).decode().split("\n")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -88,109 +130,189 @@ def flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def tokens(text: Column) -> Column:
-    return F.array_remove(F.split(text, r"[\s\x1C-\x1F\x85\xA0]+"), "")
+    """As ``str.split`` has them."""
+    return F.array_remove(F.split(text, r"[\s\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"), "")
 
 
-def vocabulary(flags: DataFrame) -> tuple[list[str], list[int]]:
-    """The most frequent words of the training text, and for each shape the number of its words that are not among them."""
-    counts = stored(
+def vocabulary(flags: DataFrame) -> tuple[DataFrame, int, list[int]]:
+    """(word, number) of the words of the training text, how many there are, and for each shape the number of its words without a number.
+
+    The most frequent words have the least numbers.
+    """
+    counts = written(
         flags.where("role = 1").select(F.explode(tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words"
     )
-    # Bounded by WORDS, whatever the size of the corpus.
-    words = [r[0] for r in counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
+    order = [F.desc("n"), F.asc("word")]
+    most = counts if WORDS is None else counts.orderBy(*order).limit(WORDS)
+    numbers = written(with_position(most, order).select("word", (F.col("position") + (FIRST_WORD - 1)).alias("number")), "numbers")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"shape": [shape(w) for w in batch["word"]]})
 
-    kinds = dict(tuple(r) for r in counts.select("word").mapInPandas(run, "shape int").groupBy("shape").agg(F.count(F.lit(1))).collect())
-    for w in words:
-        kinds[shape(w)] -= 1
+    kinds = {}
+    if WORDS is not None:
+        others = counts.join(numbers, "word", "left_anti").select("word")
+        kinds = dict(tuple(r) for r in others.mapInPandas(run, "shape int").groupBy("shape").agg(F.count(F.lit(1))).collect())
+    n = numbers.count()
     discard(counts)
-    return words, [kinds.get(s, 0) for s in range(SHAPES)]
+    return numbers, n, [kinds.get(s, 0) for s in range(SHAPES)]
+
+
+def cut_in_blocks(batches: Batches) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, np.ndarray, list[str]]]:
+    """Flagged documents, many to a block: its number, rows, tokens per document, tokens as places in its list of words, and that list."""
+    from pyspark import TaskContext
+
+    seq = 0
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        at = 0
+        while at < len(texts):
+            to, chars = at, 0
+            while to < len(texts) and (to == at or chars + len(texts[to]) <= BLOCK_CHARS):
+                chars += len(texts[to])
+                to += 1
+            held: dict[str, int] = defaultdict()
+            held.default_factory = held.__len__
+            ids = [np.fromiter(map(held.__getitem__, said), np.int64, len(said)) for said in (t.split() for t in texts[at:to])]
+            counts = np.array([len(x) for x in ids], dtype=np.int64)
+            yield (TaskContext.get().partitionId() << 32) | seq, batch.slice(at, to - at), counts, np.concatenate(ids), list(held)
+            at, seq = to, seq + 1
+
+
+def into_blocks(batches: Batches) -> Batches:
+    """Rows of BLOCK; tokens are places in the block's own list of words."""
+    for block, part, counts, ids, _ in cut_in_blocks(batches):
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([block], pa.int64()),
+                *(pa.array([part.column(c).to_pylist()], pa.list_(t)) for c, t in (("doc_id", pa.int64()), ("lang", pa.string()), ("role", pa.int32()))),
+                pa.array([counts.tolist()], pa.list_(pa.int32())),
+                pa.array([squeezed(ids)], pa.binary()),
+            ],
+            ["block", "doc_ids", "langs", "roles", "counts", "ids"],
+        )
+
 
+def words_asked(batches: Batches) -> Batches:
+    """What a block asks each shard of words: block, shard, places, words."""
+    for block, _, _, _, words in cut_in_blocks(batches):
+        shard = np.array([word_shard(w) for w in words], dtype=np.int64)
+        parts = [p for p in (np.flatnonzero(shard == s) for s in range(SHARDS)) if len(p)]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([block] * len(parts), pa.int64()),
+                pa.array([shard[p[0]] for p in parts], pa.int32()),
+                pa.array([squeezed(np.diff(p, prepend=0)) for p in parts], pa.binary()),
+                pa.array([squeezed_words([words[i] for i in p]) for p in parts], pa.binary()),
+            ],
+            ["block", "shard", "places", "words"],
+        )
 
-def blocks_by(spark: SparkSession, words: list[str]) -> Callable[[Batches], Batches]:
-    """What turns flagged documents into token numbers, many to a row: block, doc_ids, langs, roles, counts, ids."""
-    held = spark.sparkContext.broadcast({w: i + 1 for i, w in enumerate(words)})  # bounded by WORDS
-    first_shape = len(words) + 1
 
-    def run(batches: Batches) -> Batches:
-        from pyspark import TaskContext
+def turns_for(n_blocks: int) -> int:
+    return max(1, -(-n_blocks // BLOCKS_A_TASK))
+
+
+def turn(turns: int) -> Column:
+    return F.pmod(F.xxhash64("block"), F.lit(turns)).cast("int").alias("turn")
 
-        known, seq = held.value, 0
 
-        def encode(text: str) -> np.ndarray:
-            said = text.split()
-            got = list(map(known.get, said))
-            if None in got:
-                got = [first_shape + shape(w) if g is None else g for g, w in zip(got, said)]
-            return np.array(got, dtype=np.uint16)
+def every_turn(turns: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn")
 
+
+def met(ask: DataFrame, tell: DataFrame) -> DataFrame:
+    """Both by shard and turn, sorted so that what a shard tells comes before the blocks that ask: it is held, the blocks pass by."""
+    both = ask.unionByName(tell, allowMissingColumns=True)
+    return both.repartition("shard", "turn").sortWithinPartitions("shard", "turn", F.col("block").asc_nulls_first())
+
+
+def numbered(questions: DataFrame, numbers: DataFrame, turns: int) -> DataFrame:
+    """(block, places, numbers): the numbers of the words each block asked for; a word without one has that of its shape."""
+
+    def pack(batches: Batches) -> Batches:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            at = 0
-            while at < len(texts):
-                to, chars = at, 0
-                while to < len(texts) and (to == at or chars + len(texts[to]) <= BLOCK_CHARS):
-                    chars += len(texts[to])
-                    to += 1
-                ids = [encode(t) for t in texts[at:to]]
-                part = batch.slice(at, to - at)
+            for s, rows in batch.to_pandas().groupby("shard"):
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([(TaskContext.get().partitionId() << 32) | seq], pa.int64()),
-                        *(pa.array([part.column(c).to_pylist()], pa.list_(t)) for c, t in (("doc_id", pa.int64()), ("lang", pa.string()), ("role", pa.int32()))),
-                        pa.array([[len(x) for x in ids]], pa.list_(pa.int32())),
-                        pa.array([zlib.compress(np.concatenate(ids).astype("<u2").tobytes(), 1)], pa.binary()),
-                    ],
-                    ["block", "doc_ids", "langs", "roles", "counts", "ids"],
+                    [pa.array([s], pa.int32()), pa.array([squeezed_words(list(rows["word"]))], pa.binary()), pa.array([squeezed(rows["number"].to_numpy())], pa.binary())],
+                    ["shard", "words", "numbers"],
                 )
-                at, seq = to, seq + 1
 
-    return run
+    shard = (F.crc32(F.col("word").cast("binary")) % SHARDS).cast("int").alias("shard")
+    packed = numbers.select(shard, "word", "number").repartition("shard").sortWithinPartitions("shard").mapInArrow(pack, "shard int, words binary, numbers binary")
+    ask = questions.select("shard", turn(turns), "block", "places", "words")
+    tell = packed.select("shard", every_turn(turns), F.lit(None).cast("long").alias("block"), "words", "numbers")
+
+    def run(batches: Batches) -> Batches:
+        known, now = {}, None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["shard"] != now:
+                    known, now = {}, row["shard"]
+                words = words_of(row["words"])
+                if row["block"] is None:
+                    known.update(zip(words, spread_out(row["numbers"]).tolist()))
+                    continue
+                got = [FIRST_SHAPE + shape(w) if n is None else n for w, n in zip(words, map(known.get, words))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["block"]]), pa.array([row["places"]], pa.binary()), pa.array([squeezed(np.array(got))], pa.binary())], ["block", "places", "numbers"]
+                )
+
+    return met(ask, tell).mapInArrow(run, "block long, places binary, numbers binary")
+
+
+def told_apart(ids: bytes, answers: pd.DataFrame) -> np.ndarray:
+    """The tokens of a block as numbers of the whole model."""
+    own = spread_out(ids)
+    table = np.zeros(int(own.max()) + 1 if len(own) else 0, dtype=np.int64)
+    for places, numbers in zip(answers["places"], answers["numbers"]):
+        table[np.cumsum(spread_out(places))] = spread_out(numbers)
+    return table[own]
 
 
-def pairs_of(ids: bytes, counts: np.ndarray) -> np.ndarray:
+def pairs_of(now: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Every token with the one before it, as one number."""
-    now = np.frombuffer(zlib.decompress(ids), dtype="<u2").astype(np.uint32)
-    before = np.concatenate((now[:1], now[:-1])) if len(now) else now
-    starts = (np.cumsum(counts) - counts)[counts > 0]
-    before[starts] = START
-    return (before << np.uint32(16)) | now
+    before = np.concatenate((now[:1], now[:-1]))
+    before[(np.cumsum(counts) - counts)[counts > 0]] = START
+    return (before << HALF) | now
 
 
-def asked(flags: DataFrame, into_blocks: Callable[[Batches], Batches]) -> DataFrame:
-    """What a block asks and tells each shard: block, shard, keys (its distinct pairs), train (how often its training documents hold them)."""
+def wanted(ids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a block wants to know, in order, and the order by shard: its pairs, and the statistics of its words."""
+    words = np.unique(np.concatenate((np.array([START]), ids)))
+    every = np.sort(np.concatenate((keys, ((words << HALF)[:, None] | STATISTICS).ravel())))
+    return every, np.argsort(pair_shard(every), kind="stable")
 
-    def run(batches: Batches) -> Batches:
-        # In the same worker as the blocks are made: a second one beside it would double the memory.
-        for batch in into_blocks(batches):
-            for row in batch.select(["block", "roles", "counts", "ids"]).to_pylist():
-                counts = np.array(row["counts"], dtype=np.int64)
-                pairs = pairs_of(row["ids"], counts)
-                keys, at = np.unique(pairs, return_inverse=True)
-                training = np.repeat(np.array(row["roles"]) == 1, counts)
-                train = np.bincount(at[training], minlength=len(keys))
-                shard = pair_shard(keys)
-                order = np.argsort(shard, kind="stable")
-                cuts = np.searchsorted(shard[order], np.arange(SHARDS + 1))
-                parts = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row["block"]] * SHARDS, pa.int64()),
-                        pa.array(range(SHARDS), pa.int32()),
-                        pa.array([squeezed(np.diff(keys[p], prepend=np.uint32(0))) for p in parts], pa.binary()),
-                        pa.array([squeezed(train[p]) for p in parts], pa.binary()),
-                    ],
-                    ["block", "shard", "keys", "train"],
-                )
 
-    return flags.mapInArrow(run, "block long, shard int, keys binary, train binary")
+def asked(block: DataFrame, numbers: DataFrame) -> DataFrame:
+    """What a block asks and tells each shard: block, shard, keys (what it wants to know), train (how often its training documents hold them)."""
+
+    def run(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        row = rows.iloc[0]
+        counts = np.array(row["counts"], dtype=np.int64)
+        ids = told_apart(row["ids"], answers)
+        keys, at = np.unique(pairs_of(ids, counts), return_inverse=True)
+        every, order = wanted(ids, keys)
+        train = np.zeros(len(every), dtype=np.int64)
+        training = np.repeat(np.array(row["roles"]) == 1, counts)
+        train[np.searchsorted(every, keys)] = np.bincount(at[training], minlength=len(keys))
+        cuts = np.searchsorted(pair_shard(every)[order], np.arange(SHARDS + 1))
+        parts = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        return pd.DataFrame(
+            {
+                "block": row["block"],
+                "shard": np.arange(SHARDS, dtype=np.int32),
+                "keys": [squeezed(np.diff(every[p], prepend=0)) for p in parts],
+                "train": [squeezed(train[p]) for p in parts],
+            }
+        )
+
+    return block.groupBy("block").cogroup(numbers.groupBy("block")).applyInPandas(run, "block long, shard int, keys binary, train binary")
 
 
 def keys_of(data: bytes) -> np.ndarray:
-    return np.cumsum(spread_out(data), dtype=np.uint32)
+    return np.cumsum(spread_out(data))
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -198,6 +320,18 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(at, weights=np.concatenate([c for _, c in parts]).astype(np.float64), minlength=len(keys)).astype(np.int64)
 
 
+def trained(batches: Batches) -> Batches:
+    """Rows of (shard, turn, keys, train) with the keys of training documents alone."""
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            keys, n = keys_of(row["keys"]), spread_out(row["train"])
+            if n.any():
+                out.append({**row, "keys": squeezed(np.diff(keys[n > 0], prepend=0)), "train": squeezed(n[n > 0])})
+        if out:
+            yield pa.RecordBatch.from_pylist(out, batch.schema)
+
+
 def counted(rows: DataFrame, by: list[str]) -> DataFrame:
     """Sums of (keys, train) for each value of ``by``, read as a stream: a task holds the pairs of one shard, not its blocks."""
 
@@ -207,7 +341,7 @@ def counted(rows: DataFrame, by: list[str]) -> DataFrame:
         def out() -> pa.RecordBatch:
             keys, n = _merged(parts)
             return pa.RecordBatch.from_arrays(
-                [*(pa.array([x], pa.int32()) for x in now), pa.array([squeezed(np.diff(keys, prepend=np.uint32(0)))], pa.binary()), pa.array([squeezed(n)], pa.binary())],
+                [*(pa.array([x], pa.int32()) for x in now), pa.array([squeezed(np.diff(keys, prepend=0))], pa.binary()), pa.array([squeezed(n)], pa.binary())],
                 [*names, "keys", "train"],
             )
 
@@ -219,7 +353,7 @@ def counted(rows: DataFrame, by: list[str]) -> DataFrame:
                         yield out()
                     now, parts, size = group, [], 0
                 keys, n = keys_of(row["keys"]), spread_out(row["train"])
-                parts.append((keys[n > 0], n[n > 0].astype(np.int64)))
+                parts.append((keys[n > 0], n[n > 0]))
                 size += len(parts[-1][0])
                 if size > 4 * len(parts[0][0]) + 1_000_000:
                     parts = [_merged(parts)]
@@ -231,27 +365,58 @@ def counted(rows: DataFrame, by: list[str]) -> DataFrame:
     return ordered.mapInArrow(run, ", ".join(f"{c} int" for c in by) + ", keys binary, train binary")
 
 
+def statistics(counts: DataFrame) -> DataFrame:
+    """(shard, keys, train): for each word v its pairs (v, .), how many of them occur once, twice, more often, and the kinds of pairs (., v)."""
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            for row in batch.to_pylist():
+                keys, n = keys_of(row["keys"]), spread_out(row["train"])
+                if not len(keys):
+                    continue
+                # Sorted by the first word, so its pairs are a run.
+                before = keys >> HALF
+                first = np.flatnonzero(np.diff(before, prepend=-1))
+                now, kinds = np.unique(keys & LOW, return_counts=True)
+                parts = [((before[first] << HALF) | code, np.add.reduceat(x.astype(np.int64), first)) for code, x in ((TOTAL, n), (ONES, n == 1), (TWOS, n == 2), (MORE, n > 2))]
+                parts.append(((now << HALF) | LEFT, kinds))
+                every, told = _merged(parts)
+                order = np.argsort(pair_shard(every), kind="stable")
+                cuts = np.searchsorted(pair_shard(every)[order], np.arange(SHARDS + 1))
+                pieces = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(range(SHARDS), pa.int32()),
+                        pa.array([squeezed(np.diff(every[p], prepend=0)) for p in pieces], pa.binary()),
+                        pa.array([squeezed(told[p]) for p in pieces], pa.binary()),
+                    ],
+                    ["shard", "keys", "train"],
+                )
+
+    return counted(counts.select("keys", "train").mapInArrow(run, "shard int, keys binary, train binary"), ["shard"])
+
+
 class Model:
-    """What Kneser-Ney needs beside the counts of the pairs: an entry for each word."""
-
-    def __init__(self, totals: np.ndarray, ones: np.ndarray, twos: np.ndarray, more: np.ndarray, left: np.ndarray, of_counts: np.ndarray, within: np.ndarray):
-        """For each word v: its pairs (v, .), how many of them occur once, twice, more often, and the kinds of pairs (., v); ``within``: the share of each number's own words."""
-        self.discounts = discounts(of_counts)
-        lower = discounts(np.bincount(np.minimum(left, 5).astype(np.int64), minlength=6)[1:5])
-        kinds, entries = max(1, int(left.sum())), len(left) - 1
-        cut = discounted(left, lower)
-        freed = 1.0 - cut.sum() / kinds
-        uniform = np.full(len(left), 1.0 / max(1, entries))
-        self.base = (cut / kinds + freed * uniform) * within
-        self.within, self.totals = within, totals
-        with np.errstate(invalid="ignore", divide="ignore"):
-            rest = (self.discounts[0] * ones + self.discounts[1] * twos + self.discounts[2] * more) / totals
-        self.rest = np.where(totals > 0, rest, 1.0)
-
-    def log_probability(self, pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        before, now = (pairs >> np.uint32(16)).astype(np.int64), (pairs & np.uint32(0xFFFF)).astype(np.int64)
-        seen = discounted(counts, self.discounts) / np.maximum(1, self.totals[before]) * self.within[now]
-        return np.log(seen + self.rest[before] * self.base[now])
+    """What Kneser-Ney needs beside the counts of the pairs and the statistics of the words: a few sums."""
+
+    def __init__(self, of_counts: np.ndarray, of_left: np.ndarray, n_words: int, kinds: list[int]):
+        """How many pairs occur once to five times or more, how many words have one to five or more kinds of pairs (., v), and for each shape its words without a number."""
+        self.discounts, self.lower = discounts(of_counts), discounts(of_left)
+        self.pairs = max(1, int(of_counts.sum()))
+        at_least_3 = float(of_left[2:].sum())
+        taken = self.lower[0] * of_left[0] + self.lower[1] * of_left[1] + self.lower[2] * at_least_3
+        self.uniform = (taken if of_counts.sum() else 1.0) / self.pairs / max(1, n_words + SHAPES)
+        self.within = 1.0 / (np.array(kinds) + 1.0)
+
+    def log_probability(self, now: np.ndarray, counts: np.ndarray, total: np.ndarray, ones: np.ndarray, twos: np.ndarray, more: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Of the word ``now`` after one with ``total`` pairs; ``left`` is of ``now``, the others of the word before."""
+        within = np.ones(len(now))
+        is_shape = now < FIRST_WORD
+        within[is_shape] = self.within[now[is_shape] - FIRST_SHAPE]
+        base = (discounted(left, self.lower) / self.pairs + self.uniform) * within
+        rest = (self.discounts[0] * ones + self.discounts[1] * twos + self.discounts[2] * more) / np.maximum(1, total)
+        seen = discounted(counts, self.discounts) / np.maximum(1, total) * within
+        return np.log(seen + np.where(total > 0, rest, 1.0) * base)
 
 
 def discounts(of_counts: np.ndarray) -> tuple[float, float, float]:
@@ -268,73 +433,68 @@ def discounted(counts: np.ndarray, by: tuple[float, float, float]) -> np.ndarray
     return np.maximum(counts - np.array([0.0, *by])[np.minimum(counts, 3).astype(np.int64)], 0.0)
 
 
-def statistics(counts: DataFrame, words: list[str], kinds: list[int]) -> Model:
-    """The entries of all words, added up over the shards."""
-    size = len(words) + 1 + SHAPES
+def model_of(counts: DataFrame, words: DataFrame, n_words: int, kinds: list[int]) -> Model:
+    """The sums over all shards of pairs and of statistics."""
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
             for row in batch.to_pylist():
-                keys, n = keys_of(row["keys"]), spread_out(row["train"]).astype(np.int64)
-                before, now = (keys >> np.uint32(16)).astype(np.int64), (keys & np.uint32(0xFFFF)).astype(np.int64)
-                tables = [np.bincount(before, weights=n, minlength=size)]
-                tables += [np.bincount(before[pick], minlength=size) for pick in (n == 1, n == 2, n > 2)]
-                tables += [np.bincount(now, minlength=size), np.bincount(np.minimum(n, 5), minlength=6)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([zlib.compress(np.concatenate(tables).astype("<i8").tobytes(), 1)], pa.binary())], ["tables"]
-                )
-
-    sums = np.zeros(5 * size + 6, dtype=np.int64)
-    # One row per shard, each with a few numbers for each word: bounded by SHARDS * WORDS.
-    for r in counts.select("keys", "train").mapInArrow(run, "tables binary").toLocalIterator():
-        sums += np.frombuffer(zlib.decompress(r[0]), dtype="<i8")
-    within = np.concatenate((np.ones(len(words) + 1), 1.0 / (np.array(kinds) + 1.0)))
-    return Model(*sums[: 5 * size].reshape(5, size), sums[5 * size + 1 : 5 * size + 5], within)
+                keys, n = keys_of(row["keys"]), spread_out(row["train"])
+                code = keys & LOW
+                tables = [np.bincount(np.minimum(n[pick], 5), minlength=6)[1:] for pick in (code >= FIRST_SHAPE, code == LEFT)]
+                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(tables).tolist()], pa.list_(pa.int64()))], ["sums"])
 
+    sums = np.zeros(10, dtype=np.int64)
+    # Two rows per shard.
+    for r in counts.unionByName(words).select("keys", "train").mapInArrow(run, "sums array<long>").toLocalIterator():
+        sums += np.array(r[0])
+    return Model(sums[:5], sums[5:], n_words, kinds)
 
-def looked_up(questions: DataFrame, counts: DataFrame, n_blocks: int) -> DataFrame:
-    """(block, shard, found): the training counts of the keys each block asked for, in their order.
 
-    Sorted so that a shard's counts come before the blocks that ask; they are held, the blocks pass by.
-    """
-    turns = max(1, -(-n_blocks // BLOCKS_A_TASK))
-    ask = questions.select("shard", F.pmod(F.xxhash64("block"), F.lit(turns)).cast("int").alias("turn"), "block", "keys", F.lit(None).cast("binary").alias("n"))
-    tell = counts.select(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"), F.lit(None).cast("long").alias("block"), "keys", F.col("train").alias("n")
-    )
+def looked_up(questions: DataFrame, counts: DataFrame, turns: int) -> DataFrame:
+    """(block, shard, found): the training counts of the keys each block asked for, in their order."""
+    ask = questions.select("shard", turn(turns), "block", "keys")
+    tell = counts.select("shard", every_turn(turns), F.lit(None).cast("long").alias("block"), "keys", F.col("train").alias("n"))
 
     def run(batches: Batches) -> Batches:
-        keys, n, now = np.zeros(0, np.uint32), np.zeros(0, np.int64), None
+        keys, n, now = np.zeros(0, np.int64), np.zeros(0, np.int64), None
         for batch in batches:
             for row in batch.to_pylist():
+                if now != row["shard"]:
+                    keys, n, now = np.zeros(0, np.int64), np.zeros(0, np.int64), row["shard"]
                 if row["block"] is None:
-                    keys, n, now = keys_of(row["keys"]), spread_out(row["n"]), row["shard"]
+                    # Of a shard's pairs and statistics each come once, or again for a further turn.
+                    keys, at = np.unique(np.concatenate((keys, keys_of(row["keys"]))), return_index=True)
+                    n = np.concatenate((n, spread_out(row["n"])))[at]
                     continue
                 want = keys_of(row["keys"])
-                if now != row["shard"] or not len(keys):
-                    found = np.zeros(len(want))
-                else:
+                found = np.zeros(len(want), dtype=np.int64)
+                if len(keys):
                     at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
                     found = np.where(keys[at] == want, n[at], 0)
                 yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([row["shard"]], pa.int32()), pa.array([squeezed(found)], pa.binary())], ["block", "shard", "found"])
 
-    both = ask.unionByName(tell).repartition("shard", "turn").sortWithinPartitions("shard", "turn", F.col("block").asc_nulls_first())
-    return both.mapInArrow(run, "block long, shard int, found binary")
+    return met(ask, tell).mapInArrow(run, "block long, shard int, found binary")
 
 
 def scored(block: DataFrame, answers: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang, role, n_tokens, log_probability) of every document."""
-    held = block.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS
+    """(doc_id, lang, role, n_tokens, log_probability) of every document; ``answers`` are the numbers and the counts that its block asked for."""
+    held = block.sparkSession.sparkContext.broadcast(model)  # a few sums
 
-    def run(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         row, model = rows.iloc[0], held.value
         counts = np.array(row["counts"], dtype=np.int64)
-        pairs = pairs_of(row["ids"], counts)
-        keys, at = np.unique(pairs, return_inverse=True)
-        order = np.argsort(pair_shard(keys), kind="stable")
-        n = np.zeros(len(keys), dtype=np.int64)
-        n[order] = np.concatenate([spread_out(x) for x in found.sort_values("shard")["found"]])
-        logs = np.concatenate(([0.0], np.cumsum(model.log_probability(keys, n)[at])))
+        is_word = answers["shard"].isna()
+        ids = told_apart(row["ids"], answers[is_word])
+        keys, at = np.unique(pairs_of(ids, counts), return_inverse=True)
+        every, order = wanted(ids, keys)
+        n = np.zeros(len(every), dtype=np.int64)
+        n[order] = np.concatenate([spread_out(x) for x in answers[~is_word].sort_values("shard")["found"]])
+        before, now = keys >> HALF, keys & LOW
+        context = np.searchsorted(every, (before << HALF) | TOTAL)
+        left = n[np.searchsorted(every, (now << HALF) | LEFT)]
+        each = model.log_probability(now, n[np.searchsorted(every, keys)], *(n[context + k] for k in range(4)), left)
+        logs = np.concatenate(([0.0], np.cumsum(each[at])))
         ends = np.cumsum(counts)
         return pd.DataFrame(
             {"doc_id": pd.array(list(row["doc_ids"]), dtype="Int64"), "lang": list(row["langs"]), "role": list(row["roles"]), "n_tokens": counts, "log_probability": logs[ends] - logs[ends - counts]}
@@ -348,19 +508,22 @@ def scored(block: DataFrame, answers: DataFrame, model: Model) -> DataFrame:
 def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, lang, role, n_tokens, log_probability) of every document under the model of the trusted ones."""
     flags = flagged(docs, labels)
-    words, kinds = vocabulary(flags)
-    # Blocks are made twice, once to ask and once to score, rather than stored; a block is a task's
-    # batch of rows, so both times the same. Were they not, the answers would not fit and the job fail.
-    into_blocks = blocks_by(docs.sparkSession, words)
-    questions = stored(asked(flags, into_blocks), "questions")
-    n_blocks = questions.where("shard = 0").count()
-    turns = max(1, -(-n_blocks // BLOCKS_A_TASK))
-    part = questions.select("shard", F.pmod(F.xxhash64("block"), F.lit(turns)).cast("int").alias("turn"), "keys", "train")
-    counts = stored(counted(counted(part, ["shard", "turn"]).drop("turn"), ["shard"]), "counts")
-    model = statistics(counts, words, kinds)
+    vocab, n_words, kinds = vocabulary(flags)
+    # Blocks are made each time they are needed rather than stored; a block is a task's
+    # batch of rows, so always the same. Were it not, the answers would not fit and the job fail.
     block = flags.mapInArrow(into_blocks, BLOCK)
-    scores = stored(scored(block, looked_up(questions, counts, n_blocks), model), "scores")
-    discard(questions, counts)
+    words = written(flags.mapInArrow(words_asked, "block long, shard int, places binary, words binary"), "asked")
+    turns = turns_for(words.select("block").distinct().count())
+    numbers = written(numbered(words, vocab, turns), "numbered")
+    discard(words, vocab)
+    questions = written(asked(block, numbers), "questions")
+    part = questions.select("shard", turn(turns), "keys", "train").mapInArrow(trained, "shard int, turn int, keys binary, train binary")
+    counts = written(counted(counted(part, ["shard", "turn"]).drop("turn"), ["shard"]), "counts")
+    told = written(statistics(counts), "statistics")
+    model = model_of(counts, told, n_words, kinds)
+    found = looked_up(questions, counts.unionByName(told), turns)
+    scores = written(scored(block, numbers.unionByName(found, allowMissingColumns=True), model), "scores")
+    discard(numbers, questions, counts, told)
     return scores
 
 

@@ -92,3 +92,16 @@ def test_no_labels_and_no_documents(spark, docs):
     none = spark.createDataFrame([], LABELS)
     assert {r.keep for r in quality.judge(docs((1, "some words"), (2, "more")), none).collect()} == {True}
     assert quality.judge(docs((1, "x")).where("false"), none).count() == 0
+
+
+def test_rare_trusted_words_are_told_from_random_strings_however_many_there_are(spark, docs):
+    word = lambda n: "".join("abcdefghij"[int(c)] for c in f"{n:07d}")
+    rows = [(i, " ".join(word(1000 * i + k) for k in range(1000))) for i in range(80)]
+    table = spark.createDataFrame([(i, 1, 0) for i, _ in rows], LABELS)
+    held = {r.doc_id for r in quality.trusted_ids(table).where("held").collect()}
+    assert 1000 * (80 - len(held)) > 65_000
+    last = max(i for i, _ in rows if i not in held)
+    rare, random_one, parted = word(1000 * last + 999), "jihgfed", "\u2003".join([word(1000 * last + 998)] * 2)
+    got = {r.doc_id: r for r in quality.perplexities(docs(*rows, (900, rare), (901, random_one), (902, parted)), table).collect()}
+    assert quality.shape(rare) == quality.shape(random_one)
+    assert got[900].log_probability > got[901].log_probability and got[902].n_tokens == 2
