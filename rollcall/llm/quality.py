@@ -5,14 +5,14 @@ has a number; a word that it does not hold stands for its shape (case, marks, le
 the counts of all trusted word pairs and the statistics of each word are kept in shards by a hash.
 Documents travel to them in blocks: a block asks each shard once for each word and each pair that it
 holds, however often, and gets the numbers and counts back. Only a few sums over the whole model go to
-every task. A document is rejected if its perplexity lies above a quantile of
-that of trusted documents in its language which the model was not trained on.
+every task. A document is rejected if its perplexity lies above a quantile of that of all trusted documents in
+its language: those which the model was not trained on, and the others under the model without their own counts.
 
 Defined results: documents without tokens (null, empty or blank) have no perplexity and are
 not kept. A document with several labels is trusted if all of them say so. Null languages
-are one language. A language with fewer than ENOUGH held-out documents takes the quantile over all languages; without
-any held-out document all documents with tokens are kept. Rows that repeat a doc_id are scored each, and
-the id is kept if all of them are. Other columns play no part.
+are one language. Every language has a threshold of its own, however few its trusted documents (the largest of their perplexities below
+200); of a language without any, all documents with tokens are kept, and the threshold is infinite. Rows that repeat a doc_id are scored
+each, and the id is kept if all of them are. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -40,7 +40,6 @@ BLOCK_CHARS = 12_000_000
 BLOCKS_A_TASK = 256
 HELD_OUT = 10  # one trusted document in so many
 QUANTILE = 0.995
-ENOUGH = 50
 # Short texts are drawn to the mean of trusted text by so many tokens.
 PRIOR_TOKENS = 10
 BROADCAST_ROWS = 1_000_000
@@ -477,8 +476,32 @@ def looked_up(questions: DataFrame, counts: DataFrame, turns: int) -> DataFrame:
     return met(ask, tell).mapInArrow(run, "block long, shard int, found binary")
 
 
+def without_own(model: Model, keys: np.ndarray, at: np.ndarray, n: np.ndarray, told: np.ndarray, left: np.ndarray, counts: np.ndarray, training: np.ndarray) -> np.ndarray:
+    """Log probability of each training document under the model less the document's own pairs; the sums over the whole model stay. 0 for the others.
+
+    ``n`` counts the pairs ``keys``, ``told`` has the four statistics of their first words, ``left`` that of their second; ``at`` are the tokens' pairs.
+    """
+    pick = np.repeat(training, counts)
+    if not pick.any():
+        return np.zeros(len(counts))
+    doc = np.repeat(np.arange(len(counts)), counts)[pick]
+    pairs, own = np.unique(doc * len(keys) + at[pick], return_counts=True)
+    doc, pairs = np.divmod(pairs, len(keys))
+    before, now = keys[pairs] >> HALF, keys[pairs] & LOW
+    was, rest = n[pairs], n[pairs] - own
+    # A document's pairs are sorted, so those with the same first word are a run.
+    starts = (np.diff(before, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0)
+    first, run = np.flatnonzero(starts), np.cumsum(starts) - 1
+    changes = (-own, *((rest == k).astype(np.int64) - (was == k) for k in (1, 2)), (rest > 2).astype(np.int64) - (was > 2))
+    told = [told[k][pairs] + np.add.reduceat(c, first)[run] for k, c in enumerate(changes)]
+    _, same = np.unique(doc * (int(now.max()) + 1) + now, return_inverse=True)
+    gone = np.bincount(same, weights=rest == 0).astype(np.int64)
+    logs = model.log_probability(now, rest, *told, left[pairs] - gone[same])
+    return np.bincount(doc, weights=own * logs, minlength=len(counts))
+
+
 def scored(block: DataFrame, answers: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang, role, n_tokens, log_probability) of every document; ``answers`` are the numbers and the counts that its block asked for."""
+    """(doc_id, lang, role, n_tokens, log_probability, left_out) of every document; ``answers`` are the numbers and the counts that its block asked for."""
     held = block.sparkSession.sparkContext.broadcast(model)  # a few sums
 
     def run(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
@@ -493,20 +516,26 @@ def scored(block: DataFrame, answers: DataFrame, model: Model) -> DataFrame:
         before, now = keys >> HALF, keys & LOW
         context = np.searchsorted(every, (before << HALF) | TOTAL)
         left = n[np.searchsorted(every, (now << HALF) | LEFT)]
-        each = model.log_probability(now, n[np.searchsorted(every, keys)], *(n[context + k] for k in range(4)), left)
+        told, of_pairs = np.stack([n[context + k] for k in range(4)]), n[np.searchsorted(every, keys)]
+        each = model.log_probability(now, of_pairs, *told, left)
         logs = np.concatenate(([0.0], np.cumsum(each[at])))
-        ends = np.cumsum(counts)
+        ends, roles = np.cumsum(counts), np.array(row["roles"])
+        log_probability = logs[ends] - logs[ends - counts]
+        unseen = np.where(roles == 1, without_own(model, keys, at, of_pairs, told, left, counts, roles == 1), log_probability)
         return pd.DataFrame(
-            {"doc_id": pd.array(list(row["doc_ids"]), dtype="Int64"), "lang": list(row["langs"]), "role": list(row["roles"]), "n_tokens": counts, "log_probability": logs[ends] - logs[ends - counts]}
+            {
+                "doc_id": pd.array(list(row["doc_ids"]), dtype="Int64"), "lang": list(row["langs"]), "role": roles, "n_tokens": counts,
+                "log_probability": log_probability, "left_out": np.where(roles == 0, np.nan, unseen),
+            }
         )
 
     return block.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
-        run, "doc_id long, lang string, role int, n_tokens long, log_probability double"
+        run, "doc_id long, lang string, role int, n_tokens long, log_probability double, left_out double"
     )
 
 
 def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, lang, role, n_tokens, log_probability) of every document under the model of the trusted ones."""
+    """(doc_id, lang, role, n_tokens, log_probability) of every document under the model of the trusted ones; ``left_out`` is that of a trusted one if it does not train."""
     flags = flagged(docs, labels)
     vocab, n_words, kinds = vocabulary(flags)
     # Blocks are made each time they are needed rather than stored; a block is a task's
@@ -532,14 +561,11 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Dat
     scores = perplexities(docs, labels)
     trusted = F.sum(F.when(F.col("role") == 1, F.col("log_probability"))) / F.sum(F.when(F.col("role") == 1, F.col("n_tokens")))
     mean = scores.agg(F.coalesce(trusted, F.lit(0.0))).first()[0]
-    drawn = (F.col("log_probability") + mean * PRIOR_TOKENS) / (F.col("n_tokens") + PRIOR_TOKENS)
-    each = scores.withColumn("perplexity", F.when(F.col("n_tokens") > 0, F.exp(-drawn)))
-    held = each.where("role = 2 and n_tokens > 0")
-    at = F.percentile_approx("perplexity", quantile, 10_000).alias("threshold")
-    everywhere = held.agg(at.alias("overall"))
-    own = held.groupBy("lang").agg(at, F.count(F.lit(1)).alias("held")).where(F.col("held") >= ENOUGH).select("lang", "threshold")
-    named = each.join(own, "lang", "left").withColumn("threshold", F.coalesce("threshold", everywhere.scalar()))
-    keep = F.coalesce(F.col("perplexity") <= F.coalesce("threshold", F.lit(float("inf"))), F.lit(False))
+    drawn = lambda of: F.exp(-(F.col(of) + mean * PRIOR_TOKENS) / (F.col("n_tokens") + PRIOR_TOKENS))
+    each = scores.withColumn("perplexity", F.when(F.col("n_tokens") > 0, drawn("log_probability")))
+    own = scores.where("role > 0 and n_tokens > 0").groupBy("lang").agg(F.percentile_approx(drawn("left_out"), quantile, 10_000).alias("threshold"))
+    named = each.join(own, "lang", "left").withColumn("threshold", F.coalesce("threshold", F.lit(float("inf"))))
+    keep = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False))
     return named.select("doc_id", "lang", "n_tokens", "perplexity", "threshold", keep.alias("keep"))
 
 

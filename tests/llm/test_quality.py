@@ -105,3 +105,37 @@ def test_rare_trusted_words_are_told_from_random_strings_however_many_there_are(
     got = {r.doc_id: r for r in quality.perplexities(docs(*rows, (900, rare), (901, random_one), (902, parted)), table).collect()}
     assert quality.shape(rare) == quality.shape(random_one)
     assert got[900].log_probability > got[901].log_probability and got[902].n_tokens == 2
+
+
+def test_every_language_has_its_own_threshold(spark, docs):
+    rows, labels = corpus()
+    rng = random.Random(4)
+    few = [(2000 + i, " ".join(rng.choice(["der", "die", "und", "haus", f"wort{i}{k}"]) for k in range(30)), "de") for i in range(12)]
+    none = [(3000 + i, f"nunca visto {i} texto ajeno", "es") for i in range(5)]
+    table = spark.createDataFrame(labels + [(i, 1, 0) for i, _, _ in few], LABELS)
+    held = {r.doc_id for r in quality.trusted_ids(table).where("held").collect()}
+    scores = {r.doc_id: r for r in quality.perplexities(docs(*rows, *few, *none), table).collect()}
+    got = {r.doc_id: r for r in quality.judge(docs(*rows, *few, *none), table).collect()}
+    assert all(got[i].keep and math.isinf(got[i].threshold) for i, _, _ in none)
+    assert got[2000].threshold != got[0].threshold and all(got[i].keep for i, _, _ in few)
+
+    # A training document under the counts of all others, with the whole model's sums.
+    texts = {i: [None] + t.split() for i, t, _ in rows + few}
+    trusted = {i for i, q, _ in labels if q == 1} | {i for i, _, _ in few}
+    count = lambda ids: Counter(p for i in ids for p in zip(texts[i], texts[i][1:]))
+    whole = count(trusted - held)
+    left = Counter(w for _, w in whole)
+    many = lambda c: np.array([sum(n == k for n in c.values()) for k in (1, 2, 3, 4)])
+    d, low = quality.discounts(many(whole)), quality.discounts(many(left))
+    cut = lambda n, by: max(0.0, n - (0, *by)[min(n, 3)])
+    freed = 1 - sum(cut(n, low) for n in left.values()) / len(whole)
+    for i in [x for x in (0, 1, 2, 2000, 2001, 2005) if x not in held]:
+        others = count(trusted - held - {i})
+        kinds = Counter(w for _, w in others)
+        want = 0.0
+        for v, w in zip(texts[i], texts[i][1:]):
+            after = [n for (x, _), n in others.items() if x == v]
+            base = cut(kinds[w], low) / len(whole) + freed / (len(left) + quality.SHAPES)
+            rest = sum(d[min(n, 3) - 1] for n in after) / sum(after) if after else 1.0
+            want += math.log((cut(others[v, w], d) / sum(after) if after else 0.0) + rest * base)
+        assert math.isclose(scores[i].left_out, want, rel_tol=1e-9)
