@@ -9,7 +9,7 @@ every task. A document is rejected if its perplexity lies above a quantile of th
 its language: those which the model was not trained on, and the others under the model without their own counts.
 
 Defined results: documents without tokens (null, empty or blank) have no perplexity and are
-not kept. A document with several labels is trusted if all of them say so. Null languages
+not kept. A document is trusted if all of its labels say quality 1 and none says toxic 1. Null languages
 are one language. Every language has a threshold of its own, however few its trusted documents (the largest of their perplexities below
 200); of a language without any, all documents with tokens are kept, and the threshold is infinite. Rows that repeat a doc_id are scored
 each, and the id is kept if all of them are. Other columns play no part.
@@ -115,8 +115,9 @@ def words_of(data: bytes) -> list[str]:
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    """(doc_id, held): documents that all their labels call good; ``held`` are kept out of training."""
-    good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("q")).where("q = 1")
+    """(doc_id, held): documents that all their labels call good and none calls toxic; ``held`` are kept out of training."""
+    toxic = F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("t")
+    good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"), toxic).where("q = 1 and not t")
     return good.select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0).alias("held"))
 
 

@@ -139,3 +139,8 @@ def test_every_language_has_its_own_threshold(spark, docs):
             rest = sum(d[min(n, 3) - 1] for n in after) / sum(after) if after else 1.0
             want += math.log((cut(others[v, w], d) / sum(after) if after else 0.0) + rest * base)
         assert math.isclose(scores[i].left_out, want, rel_tol=1e-9)
+
+
+def test_toxic_documents_are_not_trusted(spark):
+    table = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 1, None), (4, 1, 0), (4, 1, 1), (5, 0, 0)], LABELS)
+    assert {r.doc_id for r in quality.trusted_ids(table).collect()} == {1, 3}
