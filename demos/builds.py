@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollcall import values as V
 from rollcall.operators import aggregates as A
 from rollcall.operators import checks as K
 from rollcall.operators import profile as P
@@ -432,6 +433,98 @@ def declared_checks(t):
     return K.run({name: every[name] for name in wanted})
 
 
+def broken(t: Tables) -> dict[str, DataFrame]:
+    """Tables that break every declared rule, in places that the given columns tell."""
+    ok, odd = lambda col, good, when, key: f"if({when}, concat('odd', {key} % 3), '{good}') AS {col}", "o_orderkey % 41 = 0"
+    line = "l_orderkey % 43 = 0"
+    fund = "CASE s_suppkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'twice' ELSE concat('S', s_suppkey) END AS fund_id"
+    return {
+        "filings": t.orders.selectExpr(
+            "CASE WHEN o_orderkey % 31 = 0 THEN NULL WHEN o_orderkey % 37 = 0 THEN 'twice' ELSE concat('A', o_orderkey) END AS filing_id",
+            ok("filer_kind", "fund", odd, "o_orderkey"), ok("report_kind", "voting", odd, "o_custkey"),
+        ),
+        "series": t.orders.selectExpr(
+            "if(o_orderkey % 29 = 0, NULL, concat('A', o_orderkey)) AS filing_id", "if(o_orderkey % 23 = 0, NULL, 'S') AS fund_id"
+        ),
+        "votes": t.lineitem.selectExpr(
+            "if(l_orderkey % 19 = 0, NULL, concat('A', l_orderkey)) AS filing_id", ok("vote", "FOR", line, "l_partkey"),
+            ok("versus_management", "WITH", line, "l_suppkey"), ok("proposed_by", "company", line, "l_linenumber"),
+        ),
+        "quality_summary": t.lineitem.selectExpr("100.0D * count_if(l_linenumber = 4) / count(*) AS pct_vote_unrecognised"),
+        "funds": t.supplier.selectExpr(fund, "if(s_suppkey % 3 = 0, NULL, true) AS is_esg_named"),
+        "fund_es_votes": t.lineitem.selectExpr(
+            "l_orderkey AS filing_id", "l_suppkey % 2 AS fund_id", "l_linenumber % 2 AS proposal_key", ok("vote", "FOR", line, "l_partkey")
+        ),
+        "sibling_comparison": t.orders.selectExpr(ok("outcome", V.SIBLING_OUTCOMES[0], odd, "o_orderkey")),
+        "proposal_labels": t.orders.selectExpr(
+            "if(o_orderkey % 17 = 0, NULL, o_orderkey) AS proposal_id", ok("direction", V.SUPPORTS, odd, "o_orderkey"),
+            ok("basis", V.BY_REFERENCE, odd, "o_custkey"),
+        ),
+        "topic_trends": t.customer.selectExpr(
+            "c_nationkey AS report_year", "c_mktsegment AS topic", "c_custkey % 2 AS proposed_by",
+            "c_custkey % 103 AS pct_for", "c_custkey % 107 - 3 AS pct_with_management",
+        ),
+        "fund_scorecard": t.supplier.selectExpr(fund, "2L AS votes", "if(s_suppkey % 4 = 0, 101, 50) AS pct_backing_pro_esg"),
+        "fund_year_topic": t.supplier.selectExpr("concat('S', s_suppkey) AS fund_id", "2L AS votes"),
+        "house_gap": t.customer.selectExpr("c_nationkey % 5 AS fund_house", "c_custkey % 20 AS report_year", "c_custkey % 111 - 5 AS gap_points"),
+    }
+
+
+def _counts(**rules: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS \"check\", ({sql})::bigint AS violations" for name, sql in rules.items())
+
+
+def _rows(table: str, when: str) -> str:
+    return f"SELECT count(*) FROM {table} WHERE {when}"
+
+
+def _odd(table: str, when: str, key: str) -> str:
+    return f"SELECT count(DISTINCT {key} % 3) FROM {table} WHERE {when}"
+
+
+def _copies(table: str, keys: str, when: str = "true") -> str:
+    return f"SELECT count(*) FROM (SELECT 1 FROM {table} WHERE {when} GROUP BY {keys} HAVING count(*) > 1)"
+
+
+_O, _L = ("orders", "o_orderkey % 41 = 0"), ("lineitem", "l_orderkey % 43 = 0")
+
+
+@query(_counts(**{
+    "filings.filing_id unique": _copies("orders", "o_orderkey % 37 = 0", "o_orderkey % 31 <> 0 AND o_orderkey % 37 = 0"),
+    "filings.filing_id not null": _rows("orders", "o_orderkey % 31 = 0"),
+    "filings.filer_kind accepted": _odd(*_O, "o_orderkey"),
+    "filings.report_kind accepted": _odd(*_O, "o_custkey"),
+    "series.filing_id not null": _rows("orders", "o_orderkey % 29 = 0"),
+    "series.filing_id has filing": _rows("orders", "o_orderkey % 29 <> 0 AND (o_orderkey % 31 = 0 OR o_orderkey % 37 = 0)"),
+    "series.fund_id not null": _rows("orders", "o_orderkey % 23 = 0"),
+    "votes.filing_id not null": _rows("lineitem", "l_orderkey % 19 = 0"),
+    "votes.vote accepted": _odd(*_L, "l_partkey"),
+    "votes.versus_management accepted": _odd(*_L, "l_suppkey"),
+    "votes.proposed_by accepted": _odd(*_L, "l_linenumber"),
+    "quality.unrecognised at most 1%": "SELECT (100.0 * count(*) FILTER (WHERE l_linenumber = 4) / count(*) > 1)::integer FROM lineitem",
+    "funds.fund_id unique": _copies("supplier", "s_suppkey % 5", "s_suppkey % 5 = 1"),
+    "funds.fund_id not null": _rows("supplier", "s_suppkey % 5 = 0"),
+    "funds.is_esg_named not null": _rows("supplier", "s_suppkey % 3 = 0"),
+    "fact.grain": _copies("lineitem", "l_orderkey, l_suppkey % 2, l_linenumber % 2"),
+    "fact.vote accepted": _odd(*_L, "l_partkey"),
+    "siblings.outcome accepted": _odd(*_O, "o_orderkey"),
+    "labels.proposal_id not null": _rows("orders", "o_orderkey % 17 = 0"),
+    "labels.direction accepted": _odd(*_O, "o_orderkey"),
+    "labels.basis accepted": _odd(*_O, "o_custkey"),
+    "trends.grain": _copies("customer", "c_nationkey, c_mktsegment, c_custkey % 2"),
+    "trends.pct_for in range": _rows("customer", "c_custkey % 103 > 100"),
+    "trends.pct_with_management in range": _rows("customer", "c_custkey % 107 NOT BETWEEN 3 AND 103"),
+    "scorecard.fund_id unique": _copies("supplier", "s_suppkey % 5", "s_suppkey % 5 = 1"),
+    "scorecard.fund_id not null": _rows("supplier", "s_suppkey % 5 = 0"),
+    "scorecard.pct_backing_pro_esg in range": _rows("supplier", "s_suppkey % 4 = 0"),
+    "gap.grain": _copies("customer", "c_nationkey % 5, c_custkey % 20"),
+    "gap.gap_points in range": _rows("customer", "c_custkey % 111 > 105"),
+    "scorecard matches its sources": "SELECT (count(*) <> count(*) FILTER (WHERE s_suppkey % 5 > 1))::integer FROM supplier",
+}))
+def every_declared_check(t):
+    return K.run(reports.declared_checks(broken(t)))
+
+
 @query(expected("""
 SELECT (SELECT count(*) FROM funds) + 1 AS funds_report, (SELECT count(*) FROM funds) AS funds_source,
   (SELECT sum(votes)::bigint FROM topics) AS votes_report, (SELECT sum(votes)::bigint FROM topics) AS votes_source"""))

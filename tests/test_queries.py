@@ -83,3 +83,12 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = QUERIES["semi_join_total"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(c_mktsegment,BUILDING)" in plan
     assert "ReadSchema: struct<c_custkey:bigint,c_mktsegment:string>" in plan
+
+
+def test_every_declared_rule_finds_violations(spark):
+    from demos.registry import Tables
+    from rollcall.plans import reports
+
+    got = {r["check"]: r["violations"] for r in QUERIES["every_declared_check"](spark, FOLDER).collect()}
+    assert set(got) == set(reports.declared_checks(builds.broken(Tables(spark, FOLDER)))) and len(got) == 30
+    assert all(n > 0 for n in got.values()), got
