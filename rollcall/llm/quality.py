@@ -551,9 +551,10 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     counts = written(counted(counted(part, ["shard", "turn"]).drop("turn"), ["shard"]), "counts")
     told = written(statistics(counts), "statistics")
     model = model_of(counts, told, n_words, kinds)
-    found = looked_up(questions, counts.unionByName(told), turns)
+    found = written(looked_up(questions, counts.unionByName(told), turns), "found")
+    discard(questions, counts, told)
     scores = written(scored(block, numbers.unionByName(found, allowMissingColumns=True), model), "scores")
-    discard(numbers, questions, counts, told)
+    discard(numbers, found)
     return scores
 
 
