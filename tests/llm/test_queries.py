@@ -15,13 +15,13 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the given tab
 
 def test_all_are_registered():
     names = entry_points.queries()
-    assert "pipeline" in names and [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in names)] == []
+    assert "pipeline" in names and [n for n in range(1, 14) if not any(q.startswith(f"op{n}_") for q in names)] == []
 
 
 @pytest.mark.parametrize("name", list(ORACLES))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "pages"):
+    for table in ("documents", "benchmark", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     result = con.execute(ORACLES[name])
     columns = [c[0] for c in result.description]
