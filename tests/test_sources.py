@@ -192,3 +192,55 @@ def test_refresh_logs_every_run(spark, tmp_path):
         ingest.refresh(spark, *args, then=fail)
     log = spark.read.schema(ingest.RUN_SCHEMA).json(args[3]).orderBy("run_at").collect()
     assert [(r["status"], r["new_votes"], r["total_votes"]) for r in log] == [("ok", 3, 3), ("failed", 0, 3)]
+
+
+def table_xml(name, tag="p:proxyTable"):
+    return f"<{tag}><p:issuerName>{name}</p:issuerName><p:vote><p:voteRecord><p:howVoted>FOR</p:howVoted></p:voteRecord></p:vote></{tag.split()[0]}>"
+
+
+VOTE_PAGES = {
+    # filing: (pages, issuers that are read, whether all of it could be read)
+    "whole": ([f"<?xml version='1.0'?>\n<!-- a --><p:votes xmlns:p='u'>\n{table_xml('A')} <!-- b -->\n{table_xml('B')}</p:votes>\n<!-- c -->"], "AB", True),
+    "plain": ([f"<votes>{table_xml('A', 'proxyTable')}<other><x>1</x></other>{table_xml('B', 'proxyTable')}</votes>"], "AB", True),
+    "attributes": ([f"<p:votes xmlns:p='u'>{table_xml('A', 'p:proxyTable id=\"1\"')}\n<p:note/>{table_xml('B', 'p:proxyTable id=\"2\"')}</p:votes>"], "AB", True),
+    "blank": (["<p:votes xmlns:p='u'><p:proxyTable/><p:proxyTable id='1' /><p:proxyTable></p:proxyTable></p:votes>"], ["", "", ""], True),
+    "none": (["<p:votes xmlns:p='u'/>", "<p:votes xmlns:p='u'></p:votes>"], "", True),
+    "cut": ([f"<p:votes xmlns:p='u'>{table_xml('A')}{table_xml('B')[:40]}"], "A", False),
+    "cut-behind": ([f"<p:votes xmlns:p='u'>{table_xml('A')}{table_xml('B')}"], "AB", False),
+    "cut-name": ([f"<p:votes xmlns:p='u'>{table_xml('A')}</p:vot"], "A", False),
+    "mangled": ([f"<p:votes xmlns:p='u'>{table_xml('A')}{table_xml('B & C')}{table_xml('D')}</p:votes>"], "A", False),
+    "crossed": ([f"<p:votes xmlns:p='u'>{table_xml('A')}<p:proxyTable><p:cusip></p:isin></p:proxyTable>{table_xml('D')}</p:votes>"], "A", False),
+    "one-of-two": ([f"<p:votes xmlns:p='u'>{table_xml('A')}</p:votes>", ""], "A", False),
+    "no-xml": (["no votes here"], "", False),
+    "notice": ([f"<p:votes xmlns:p='u'>{table_xml('A')}</p:votes>"], None, None),
+}
+
+
+@pytest.mark.parametrize("split", [None, "64"])
+def test_vote_files_and_how_their_reading_ended(spark, tmp_path, split):
+    for name, (pages, *_) in VOTE_PAGES.items():
+        (tmp_path / name).mkdir()
+        for i, page in enumerate(pages):
+            (tmp_path / name / f"{i}.xml").write_text(page)
+    covers = spark.createDataFrame([(n, "notice" if n == "notice" else "Fund Voting Report") for n in VOTE_PAGES], "accession string, report_type string")
+    if split:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        votes, readings = filing_documents.read_votes(spark, f"{tmp_path}/*/*.xml", covers)
+        rows = votes.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = {n: sorted(r["issuer_name"] for r in rows if r["accession"] == n) for n in VOTE_PAGES}
+    assert got == {n: sorted(issuers or []) for n, (_, issuers, _) in VOTE_PAGES.items()}
+    status = {r["accession"]: r["status"] for r in readings.collect()}
+    assert status == {n: filing_documents.READ if fine else filing_documents.UNREAD for n, (_, _, fine) in VOTE_PAGES.items() if fine is not None}
+
+
+def test_reading_status_reaches_the_filings(spark):
+    index = spark.createDataFrame([(n, "N-PX", "1", "c", "d") for n in ("a", "b", "c")], "accession string, form_type string, cik string, company string, date_filed string")
+    covers = filing_documents.parse_cover(filing_documents.cover_xml(spark.createDataFrame(
+        [(n, "RMIC", "FUND VOTING REPORT", "06/30/2025", "2025", [("S1", "A & B")]) for n in ("a", "b")],
+        "accession string, registrant_type string, report_type string, period_of_report string, report_year string, series array<struct<series_id:string,series_name:string>>")))
+    readings = spark.createDataFrame([("a", filing_documents.READ), ("b", filing_documents.UNREAD)], "accession string, status string")
+    rows = {r["accession"]: r["status"] for r in filing_documents.raw_filings(index, covers, readings).collect()}
+    assert rows == {"a": "ok", "b": "a table could not be read", "c": "no cover page"}
