@@ -244,3 +244,24 @@ def test_reading_status_reaches_the_filings(spark):
     readings = spark.createDataFrame([("a", filing_documents.READ), ("b", filing_documents.UNREAD)], "accession string, status string")
     rows = {r["accession"]: r["status"] for r in filing_documents.raw_filings(index, covers, readings).collect()}
     assert rows == {"a": "ok", "b": "a table could not be read", "c": "no cover page"}
+
+
+def test_headers_are_read_without_the_rest_of_a_file(spark, tmp_path):
+    (tmp_path / "a b.csv").write_text(csv_text(["accession", "series_id"], [["1", "x" * 90]] * 60_000))
+    with gzip.open(tmp_path / "long.csv.gz", "wt", newline="") as handle:
+        handle.write(csv_text(["series_id", "accession"], [["x" * 90, "1"]] * 60_000))
+    (tmp_path / "open.csv").write_text('accession,"series_id\n')
+    (tmp_path / "late.csv").write_text(' \n\n"two ""quoted""\nlines",accession\n1,2\n')
+    (tmp_path / "empty.csv").write_text("")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("headers", "headers")
+    try:
+        found = text_tables.headers(spark, str(tmp_path))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not tracker.getJobIdsForGroup("headers")  # no scan of any file
+    assert {f.rsplit("/", 1)[1]: h for f, h in found.items()} == {
+        "a%20b.csv": "accession,series_id", "long.csv.gz": "series_id,accession", "open.csv": 'accession,"series_id', "late.csv": '"two ""quoted""\nlines",accession',
+    }
+    both = [str(tmp_path / "a b.csv"), str(tmp_path / "long.csv.gz")]
+    assert text_tables.read_text_csv(spark, both, V.SERIES_COLUMNS).filter("accession = '1'").count() == 120_000
