@@ -13,7 +13,7 @@ from rollcall.operators import ranking as R
 from rollcall.plans import labelling, marts, reports, staging
 
 from .filings_analogue import WINDOW, built, expected, half_up, pct, raw, raw_filings, raw_series, raw_votes
-from .registry import Tables, query
+from .registry import ORACLES, Tables, query
 
 
 def staged(t: Tables) -> dict[str, DataFrame]:
@@ -421,18 +421,6 @@ def shape_profile(t):
     return P.shape_profile(raw_votes(t), "meeting_date")
 
 
-@query(expected(f"""
-SELECT unnest(['{"', '".join(sorted([
-    "filings.filing_id unique", "votes.vote accepted", "votes.proposed_by accepted", "fact.grain",
-    "scorecard matches its sources", "trends.pct_for in range"]))}']) AS "check", 0::bigint AS violations"""))
-def declared_checks(t):
-    tables = built(t)
-    wanted = ["filings.filing_id unique", "votes.vote accepted", "votes.proposed_by accepted", "fact.grain",
-              "scorecard matches its sources", "trends.pct_for in range"]
-    every = reports.declared_checks(tables)
-    return K.run({name: every[name] for name in wanted})
-
-
 def broken(t: Tables) -> dict[str, DataFrame]:
     """Tables that break every declared rule, in places that the given columns tell."""
     ok, odd = lambda col, good, when, key: f"if({when}, concat('odd', {key} % 3), '{good}') AS {col}", "o_orderkey % 41 = 0"
@@ -522,7 +510,54 @@ _O, _L = ("orders", "o_orderkey % 41 = 0"), ("lineitem", "l_orderkey % 43 = 0")
     "scorecard matches its sources": "SELECT (count(*) <> count(*) FILTER (WHERE s_suppkey % 5 > 1))::integer FROM supplier",
 }))
 def every_declared_check(t):
-    return K.run(reports.declared_checks(broken(t)))
+    return K.run_rules(broken(t), reports.declared_rules())
+
+
+def _outside(table: str, col: str, values) -> str:
+    said = "', '".join(values)
+    return f"SELECT count(DISTINCT {col}) FROM {table} WHERE {col} NOT IN ('{said}')"
+
+
+def _report(name: str) -> str:
+    return f"({ORACLES[name]})"
+
+
+@query(expected(_counts(**{
+    "filings.filing_id unique": _copies("filings", "filing_id", "filing_id IS NOT NULL"),
+    "filings.filing_id not null": _rows("filings", "filing_id IS NULL"),
+    "filings.filer_kind accepted": _outside("filings", "filer_kind", ["fund", "manager", "unknown"]),
+    "filings.report_kind accepted": _outside("filings", "report_kind", ["voting", "notice", "combination", "unknown"]),
+    "series.filing_id not null": _rows("named", "filing_id IS NULL"),
+    "series.filing_id has filing": _rows("named", "filing_id NOT IN (SELECT filing_id FROM filings)"),
+    "series.fund_id not null": _rows("named", "fund_id IS NULL"),
+    "votes.filing_id not null": _rows("votes", "filing_id IS NULL"),
+    "votes.vote accepted": _outside("votes", "vote", V.STANDARD_ANSWERS),
+    "votes.versus_management accepted": _outside("votes", "versus_management", ["WITH", "AGAINST", "NONE"]),
+    "votes.proposed_by accepted": _outside("votes", "proposed_by", ["company", "shareholder", "unknown"]),
+    "quality.unrecognised at most 1%": f"SELECT ({pct("count(*) FILTER (WHERE vote = 'OTHER')", 'count(*)', 3)} > 1)::integer FROM votes",
+    "funds.fund_id unique": _copies("funds", "fund_id"),
+    "funds.fund_id not null": _rows("funds", "fund_id IS NULL"),
+    "funds.is_esg_named not null": _rows("funds", "is_esg_named IS NULL"),
+    "fact.grain": _copies("fact", "filing_id, fund_id, proposal_key"),
+    "fact.vote accepted": _outside("fact", "vote", V.DECIDED_ANSWERS),
+    "siblings.outcome accepted": _outside("compared", "outcome", V.SIBLING_OUTCOMES),
+    "labels.proposal_id not null": _rows("matched", "proposal_id IS NULL"),
+    "labels.direction accepted": _outside("groups", "direction", [V.SUPPORTS, V.OPPOSES, V.SPLIT, V.UNCLEAR]),
+    "labels.basis accepted": _outside("groups", "basis", [V.BY_REFERENCE, V.BY_WORDING]),
+    "trends.grain": _copies(_report("topic_trends"), "report_year, topic, proposed_by"),
+    "trends.pct_for in range": _rows(_report("topic_trends"), "pct_for NOT BETWEEN 0 AND 100"),
+    "trends.pct_with_management in range": _rows(_report("topic_trends"), "pct_with_management NOT BETWEEN 0 AND 100"),
+    "scorecard.fund_id unique": _copies(_report("fund_scorecard"), "fund_id"),
+    "scorecard.fund_id not null": _rows(_report("fund_scorecard"), "fund_id IS NULL"),
+    "scorecard.pct_backing_pro_esg in range": _rows(_report("fund_scorecard"), "pct_backing_pro_esg NOT BETWEEN 0 AND 100"),
+    "gap.grain": _copies(_report("house_gap"), "fund_house, report_year"),
+    "gap.gap_points in range": _rows(_report("house_gap"), "gap_points NOT BETWEEN -100 AND 100"),
+    "scorecard matches its sources": f"SELECT ((SELECT coalesce(sum(votes), 0) FROM {_report('fund_scorecard')}) <> (SELECT coalesce(sum(votes), 0)"
+    f" FROM topics WHERE fund_id IN (SELECT fund_id FROM funds)) OR (SELECT count(*) FROM {_report('fund_scorecard')}) <> (SELECT count(*) FROM funds))::integer",
+})))
+def declared_checks(t):
+    """All thirty rules on the build."""
+    return K.run_rules(built(t), reports.declared_rules())
 
 
 @query(expected("""
@@ -538,9 +573,40 @@ def reconcile_totals(t):
     })
 
 
-@query()
+# What a random row shows is told from the raw columns; the draw itself is keyed, so SQL can repeat it.
+DRAWN = """(SELECT md5('42|' || l_orderkey || '|' || l_linenumber || '|' || l_suppkey || '|' || l_partkey) AS drawn, l.*,
+  c_mktsegment || (CASE WHEN k % 2 = 0 THEN ' Holdings, Inc.' ELSE ' Inc' END) AS company,
+  CASE WHEN k % 13 = 0 THEN 'N/A' ELSE ' 00000' || lower(substr(c_mktsegment, 1, 4)) END AS code
+  FROM lineitem l JOIN (SELECT o_orderkey AS k, c_mktsegment FROM orders JOIN customer ON c_custkey = o_custkey) ON k = l_orderkey)"""
+
+
+def _drawn(t) -> DataFrame:
+    """Raw votes beside the keys of their line items."""
+    return raw_votes(t, keep=["l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"])
+
+
+DRAW_KEYS = ["l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"]
+
+
+@query(f"""
+SELECT company AS issuer_name, code AS cusip, l_orderkey, l_linenumber FROM {DRAWN} ORDER BY drawn LIMIT 12""")
 def random_rows(t):
-    """Random rows have no expected value; the row count is checked."""
-    return R.sample_rows(raw_votes(t).select("issuer_name", "cusip", "vote_description", "how_voted"), 12)
+    """Twelve random votes, the same in every run."""
+    return reports.raw_profile(raw_filings(t), raw_series(t), _drawn(t), key=DRAW_KEYS)["random_rows"].select(
+        "issuer_name", "cusip", "l_orderkey", "l_linenumber"
+    )
 
 
+@query(f"""
+SELECT company AS issuer_name, l_orderkey, l_linenumber, length(title) AS chars FROM (
+  SELECT *, CASE l_orderkey % 4 WHEN 1 THEN 'Shareholder Proposal Regarding ' || t WHEN 2 THEN t || ' (' || l_linenumber || ')'
+    WHEN 3 THEN t || ' ' || split_part(p_name, ' ', 1) ELSE t END AS title
+  FROM {DRAWN} JOIN part ON p_partkey = l_partkey JOIN (VALUES ('ECONOMY', 'Report on climate transition plan'),
+    ('MEDIUM', 'Human rights due diligence'), ('LARGE', 'Report on lobbying expenditure'), ('SMALL', 'Revisit plastics packaging goals'),
+    ('PROMO', 'Independent chair policy'), ('STANDARD', 'Report on risks of esg goals')) AS x(p_type, t) USING (p_type)
+  WHERE p_type NOT IN ('LARGE', 'MEDIUM')) ORDER BY drawn LIMIT 15""")
+def topical_sample(t):
+    """Fifteen random votes on environmental and social proposals, the same in every run."""
+    return reports.raw_profile(raw_filings(t), raw_series(t), _drawn(t), key=DRAW_KEYS)["topical_sample"].select(
+        "issuer_name", "l_orderkey", "l_linenumber", F.length("description").cast("long").alias("chars")
+    )

@@ -9,6 +9,8 @@ recovered them.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 
 from rollcall.plans.build import build
@@ -71,7 +73,8 @@ def _written(fmt: str) -> str:
     return f"date_format(trunc(o_orderdate, 'quarter'), '{fmt}')"
 
 
-def raw_votes(t: Tables) -> DataFrame:
+def raw_votes(t: Tables, keep: Sequence[str] = ()) -> DataFrame:
+    """Line items as raw votes; ``keep`` names columns of theirs that stay beside."""
     lines = t.lineitem
     proposals = t.part.selectExpr("p_partkey", TITLE, CATEGORIES, "substring_index(p_name, ' ', 1) AS colour")
     filed = _filings(t).selectExpr(
@@ -111,6 +114,7 @@ def raw_votes(t: Tables) -> DataFrame:
         " ELSE ' FOR ' END AS management_recommendation",
         SERIES_ID,
         "'' AS other_info",
+        *keep,
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -259,8 +261,13 @@ def _top(df: DataFrame, *cols: str, name: str = "votes", k: int | None = None) -
     return counts if k is None else counts.limit(k)
 
 
-def raw_profile(filings: DataFrame, series: DataFrame, votes: DataFrame, seed: int = 42) -> dict[str, DataFrame]:
-    """The seventeen sections of the profile of the raw tables."""
+def raw_profile(
+    filings: DataFrame, series: DataFrame, votes: DataFrame, seed: int = 42, key: Sequence[str] = ()
+) -> dict[str, DataFrame]:
+    """The seventeen sections of the profile of the raw tables.
+
+    ``key`` names columns of the votes that tell rows apart: they draw the random rows, and are shown with them.
+    """
     parents = filings.select("accession", "registrant_type", "company", "report_year")
     # Counts per filing first: the vote table meets its filings as one row per filing.
     per_filing = votes.groupBy("accession").agg(A.count_all().alias("votes")).join(parents, "accession", "left")
@@ -304,16 +311,16 @@ def raw_profile(filings: DataFrame, series: DataFrame, votes: DataFrame, seed: i
         "topical_sample": R.sample_rows(
             topical.select(
                 "issuer_name", "vote_source", "how_voted", "management_recommendation",
-                F.left("vote_description", F.lit(150)).alias("description"),
+                F.left("vote_description", F.lit(150)).alias("description"), *key,
             ),
-            15, seed,
+            15, seed, key,
         ),
         "random_rows": R.sample_rows(
             votes.select(
                 "issuer_name", "cusip", "meeting_date", F.left("vote_description", F.lit(90)).alias("description"),
-                "categories", "how_voted", "management_recommendation", "series_id",
+                "categories", "how_voted", "management_recommendation", "series_id", *key,
             ),
-            12, seed,
+            12, seed, key,
         ),
     }
 
@@ -321,52 +328,54 @@ def raw_profile(filings: DataFrame, series: DataFrame, votes: DataFrame, seed: i
 # Checks ------------------------------------------------------------------------
 
 
-def declared_checks(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Every declared rule on the built tables; each entry holds the violating rows."""
+def declared_rules() -> dict[str, K.Rule]:
+    """Every declared rule on the built tables."""
     return {
-        "filings.filing_id unique": K.unique(t["filings"], "filing_id"),
-        "filings.filing_id not null": K.not_null(t["filings"], "filing_id"),
-        "filings.filer_kind accepted": K.accepted_values(t["filings"], "filer_kind", ["fund", "manager", "unknown"]),
-        "filings.report_kind accepted": K.accepted_values(
-            t["filings"], "report_kind", ["voting", "notice", "combination", "unknown"]
-        ),
-        "series.filing_id not null": K.not_null(t["series"], "filing_id"),
-        "series.filing_id has filing": K.relationships(t["series"], "filing_id", t["filings"], "filing_id"),
-        "series.fund_id not null": K.not_null(t["series"], "fund_id"),
-        "votes.filing_id not null": K.not_null(t["votes"], "filing_id"),
-        "votes.vote accepted": K.accepted_values(t["votes"], "vote", V.STANDARD_ANSWERS),
-        "votes.versus_management accepted": K.accepted_values(
-            t["votes"], "versus_management", ["WITH", "AGAINST", "NONE"]
-        ),
-        "votes.proposed_by accepted": K.accepted_values(
-            t["votes"], "proposed_by", ["company", "shareholder", "unknown"]
+        "filings.filing_id unique": K.rule_unique("filings", "filing_id"),
+        "filings.filing_id not null": K.rule_not_null("filings", "filing_id"),
+        "filings.filer_kind accepted": K.rule_accepted("filings", "filer_kind", ["fund", "manager", "unknown"]),
+        "filings.report_kind accepted": K.rule_accepted("filings", "report_kind", ["voting", "notice", "combination", "unknown"]),
+        "series.filing_id not null": K.rule_not_null("series", "filing_id"),
+        "series.filing_id has filing": K.rule_relationship("series", "filing_id", "filings", "filing_id"),
+        "series.fund_id not null": K.rule_not_null("series", "fund_id"),
+        "votes.filing_id not null": K.rule_not_null("votes", "filing_id"),
+        "votes.vote accepted": K.rule_accepted("votes", "vote", V.STANDARD_ANSWERS),
+        "votes.versus_management accepted": K.rule_accepted("votes", "versus_management", ["WITH", "AGAINST", "NONE"]),
+        "votes.proposed_by accepted": K.rule_accepted("votes", "proposed_by", ["company", "shareholder", "unknown"]),
+        "quality.unrecognised at most 1%": K.rule_at_most("quality_summary", "pct_vote_unrecognised", V.MAX_UNRECOGNISED_PCT),
+        "funds.fund_id unique": K.rule_unique("funds", "fund_id"),
+        "funds.fund_id not null": K.rule_not_null("funds", "fund_id"),
+        "funds.is_esg_named not null": K.rule_not_null("funds", "is_esg_named"),
+        "fact.grain": K.rule_grain("fund_es_votes", ["filing_id", "fund_id", "proposal_key"]),
+        "fact.vote accepted": K.rule_accepted("fund_es_votes", "vote", V.DECIDED_ANSWERS),
+        "siblings.outcome accepted": K.rule_accepted("sibling_comparison", "outcome", V.SIBLING_OUTCOMES),
+        "labels.proposal_id not null": K.rule_not_null("proposal_labels", "proposal_id"),
+        "labels.direction accepted": K.rule_accepted("proposal_labels", "direction", [V.SUPPORTS, V.OPPOSES, V.SPLIT, V.UNCLEAR]),
+        "labels.basis accepted": K.rule_accepted("proposal_labels", "basis", [V.BY_REFERENCE, V.BY_WORDING]),
+        "trends.grain": K.rule_grain("topic_trends", ["report_year", "topic", "proposed_by"]),
+        "trends.pct_for in range": K.rule_between("topic_trends", "pct_for", 0, 100),
+        "trends.pct_with_management in range": K.rule_between("topic_trends", "pct_with_management", 0, 100),
+        "scorecard.fund_id unique": K.rule_unique("fund_scorecard", "fund_id"),
+        "scorecard.fund_id not null": K.rule_not_null("fund_scorecard", "fund_id"),
+        "scorecard.pct_backing_pro_esg in range": K.rule_between("fund_scorecard", "pct_backing_pro_esg", 0, 100),
+        "gap.grain": K.rule_grain("house_gap", ["fund_house", "report_year"]),
+        "gap.gap_points in range": K.rule_between("house_gap", "gap_points", -100, 100),
+        "scorecard matches its sources": K.rule_balance(
+            lambda t: scorecard_matches(t["fund_scorecard"], t["funds"], t["fund_year_topic"]),
+            ("fund_scorecard", {"part": "funds", "left": 1}),
+            ("funds", {"part": "funds", "right": 1, "parent": True}),
+            ("fund_scorecard", {"part": "votes", "left": "votes"}),
+            ("fund_year_topic", {"part": "votes", "key": ["fund_id"], "right": "votes"}),
+            ("funds", {"part": "votes", "key": ["fund_id"], "parent": True, "when": lambda: F.col("fund_id").isNotNull()}),
         ),
-        "quality.unrecognised at most 1%": K.metric_at_most(
-            t["quality_summary"], "pct_vote_unrecognised", V.MAX_UNRECOGNISED_PCT
-        ),
-        "funds.fund_id unique": K.unique(t["funds"], "fund_id"),
-        "funds.fund_id not null": K.not_null(t["funds"], "fund_id"),
-        "funds.is_esg_named not null": K.not_null(t["funds"], "is_esg_named"),
-        "fact.grain": K.unique_combination(t["fund_es_votes"], ["filing_id", "fund_id", "proposal_key"]),
-        "fact.vote accepted": K.accepted_values(t["fund_es_votes"], "vote", V.DECIDED_ANSWERS),
-        "siblings.outcome accepted": K.accepted_values(t["sibling_comparison"], "outcome", V.SIBLING_OUTCOMES),
-        "labels.proposal_id not null": K.not_null(t["proposal_labels"], "proposal_id"),
-        "labels.direction accepted": K.accepted_values(
-            t["proposal_labels"], "direction", [V.SUPPORTS, V.OPPOSES, V.SPLIT, V.UNCLEAR]
-        ),
-        "labels.basis accepted": K.accepted_values(t["proposal_labels"], "basis", [V.BY_REFERENCE, V.BY_WORDING]),
-        "trends.grain": K.unique_combination(t["topic_trends"], ["report_year", "topic", "proposed_by"]),
-        "trends.pct_for in range": K.between(t["topic_trends"], "pct_for", 0, 100),
-        "trends.pct_with_management in range": K.between(t["topic_trends"], "pct_with_management", 0, 100),
-        "scorecard.fund_id unique": K.unique(t["fund_scorecard"], "fund_id"),
-        "scorecard.fund_id not null": K.not_null(t["fund_scorecard"], "fund_id"),
-        "scorecard.pct_backing_pro_esg in range": K.between(t["fund_scorecard"], "pct_backing_pro_esg", 0, 100),
-        "gap.grain": K.unique_combination(t["house_gap"], ["fund_house", "report_year"]),
-        "gap.gap_points in range": K.between(t["house_gap"], "gap_points", -100, 100),
-        "scorecard matches its sources": scorecard_matches(t["fund_scorecard"], t["funds"], t["fund_year_topic"]),
     }
 
 
+def declared_checks(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The rows that break each declared rule. :func:`checks.run_rules` counts them all in one scan of each table."""
+    return {name: rule.violations(t) for name, rule in declared_rules().items()}
+
+
 def publish_checks(audit: DataFrame, now: Column) -> dict[str, DataFrame]:
     """Rules on the publish audit: the latest publish is complete and recent enough."""
     return {
