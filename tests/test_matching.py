@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rollcall import values as V
+from rollcall.operators import matching
 from rollcall.operators.matching import leader_cluster
 from rollcall.operators.ranking import every_nth, to_batches, trial_sample, with_position
 
@@ -60,6 +61,47 @@ def test_rows_without_a_block_are_a_block(spark):
     assert {r["key"]: r["proposal_id"] for r in got.collect()} == loop(rows, 0.5)
 
 
+def test_a_block_of_unlike_sets_costs_what_its_candidates_cost(spark):
+    """Sets that share a common word, but no key, are never scored; rounds grow with the logarithm of the block."""
+    rng = random.Random(1)
+    rows = [(f"k{i:05d}", "b", 0, sorted({"the", "report", f"a{i}", f"b{i}", f"c{i}", f"d{i}"})) for i in range(3000)]
+    rows += [(f"x{i:05d}", "b", 0, sorted({"the", f"a{j}", f"b{j}", f"c{j}", f"d{j}", f"e{i}"})) for i, j in enumerate(rng.sample(range(3000), 300))]
+    df = spark.createDataFrame(rows, "key string, block string, votes long, words array<string>")
+    nodes = df.select(F.col("block").alias("_block"), F.col("key").alias("_node"), "words", F.col("key").alias("first"), F.col("key").alias("last"))
+    keyed = matching._keyed(nodes, 0.5)
+    assert keyed.filter(F.array_contains("keys", "the")).count() == 0
+    pairs = matching._matches(keyed, keyed, 0.5)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in plan and "Cross" not in plan
+    assert pairs.filter("_node <> o__node").count() == 600
+    got = leader_cluster(df, "block", "words", [-F.col("votes"), F.col("key")], 0.5, chunk=64)
+    assert {r["key"]: r["proposal_id"] for r in got.collect()} == loop_by_key(rows, 0.5)
+
+
+def loop_by_key(rows, threshold):
+    """The sequential expectation where every set of x words matches its one twin among the k words, which come first."""
+    number = {}
+    for n, (key, _, _, words) in enumerate(r for r in rows if r[0][0] == "k"):
+        number[next(w for w in words if w[0] == "a")] = n + 1
+    return {key: f"b|{number[next(w for w in words if w[0] == 'a')]}" for key, _, _, words in rows}
+
+
+def test_keys_never_miss_a_match(spark):
+    for threshold in (0.3, 0.5, 0.62, 0.9):
+        rows = made_up_rows(11, 120, 1, 7)
+        nodes = spark.createDataFrame(rows, "key string, block string, votes long, words array<string>").selectExpr(
+            "'b' AS _block", "key AS _node", "words", "key AS first")
+        keyed = matching._keyed(nodes, threshold)
+        got = {(r["_node"], r["o__node"]) for r in matching._matches(keyed, keyed, threshold).collect()}
+        want = set()
+        for a, _, _, x in rows:
+            for b, _, _, y in rows:
+                shared, small = len({*x} & {*y}), min(len(x), len(y))
+                if small and max(shared / len({*x} | {*y}), V.OVERLAP_WEIGHT * shared / small if small >= 2 else 0) >= threshold and shared:
+                    want.add((a, b))
+        assert got == want
+
+
 def test_positions_number_the_whole_table_and_groups(spark):
     df = spark.range(0, 1000, numPartitions=7).select(
         (F.col("id") * 7919 % 1000).alias("v"), F.when(F.col("id") % 3 < 2, "hot").otherwise(F.lit(None)).alias("g"))

@@ -246,6 +246,7 @@ def test_whole_build(spark, tmp_path):
         assert len(sibling) == 1 and sibling[0]["support_gap"] == 1.0
     broken = {r["check"]: r["violations"] for r in K.run(reports.declared_checks(stored)).collect()}
     assert len(broken) == 30 and set(broken.values()) == {0}
+    assert {r["check"]: r["violations"] for r in K.run_rules(stored, reports.declared_rules()).collect()} == broken
     assert sum(r["votes"] for r in reports.votes_by_year_and_kind(stored["votes"]).collect()) == 7
     for name, df in {**reports.results(stored), **reports.esg_report(stored), **reports.quality_report(stored["votes"])}.items():
         assert df.columns and df.collect() is not None, name

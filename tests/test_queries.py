@@ -10,6 +10,7 @@ import pytest
 import __spark_entry__ as entry_points
 from demos import builds
 from demos.relations import TABLES
+from rollcall.operators import checks as K
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
@@ -92,3 +93,8 @@ def test_every_declared_rule_finds_violations(spark):
     got = {r["check"]: r["violations"] for r in QUERIES["every_declared_check"](spark, FOLDER).collect()}
     assert set(got) == set(reports.declared_checks(builds.broken(Tables(spark, FOLDER)))) and len(got) == 30
     assert all(n > 0 for n in got.values()), got
+    tables = builds.broken(Tables(spark, FOLDER))
+    assert {r["check"]: r["violations"] for r in K.run(reports.declared_checks(tables)).collect()} == got
+    counted = K.run_rules(tables, reports.declared_rules())
+    # One scan for each of the twelve tables.
+    assert counted._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == len(tables) == 12
