@@ -3,8 +3,9 @@
 A conversation becomes one or more windows, each a formatted text with the spans under the
 loss mask. Prefix sums of the turns' tokens choose turn-aligned spans of new turns; every
 window keeps the leading system turn, repeats as much of the turns before as the history allowance holds,
-and masks what it repeats, so each assistant turn is a target exactly once. A turn is never cut: one
-that exceeds the budget alone has a window of its own.
+and masks what it repeats, so each assistant turn is a target exactly once. The history gives way where the system turn and the
+first new turn need the room, so no window exceeds the budget but one: a turn is never cut, and one that exceeds the budget with the
+system turn has a window with that turn alone.
 
 The template puts ``<|start|>role``, a line break, the text and ``<|end|>`` with a line break around every turn. Inside
 texts and roles a backslash stands before every backslash and inside every ``<|``, so control strings
@@ -61,8 +62,9 @@ def window_starts(turns: Column, system: Column, budget: int, history: int) -> C
         total = F.size(sums) - 1
 
         def window(first: Column) -> Column:
-            # sums[i] is what turns 1..i take; the history is the longest run of turns before the first that fits.
-            back = F.size(F.filter(sums, lambda s: sums[first - 1] - s > history)) + 1
+            # sums[i] is what turns 1..i take; the history is the longest run of turns before the first that fits its own
+            # allowance, and the budget beside the system turn and the first new turn. There is none where that turn does not fit itself.
+            back = F.size(F.filter(sums, lambda s: (sums[first - 1] - s > history) | (sums[first] - s + fixed > budget))) + 1
 
             def last_of(back: Column) -> Column:
                 fit = F.size(F.filter(sums, lambda s: s - sums[back - 1] + fixed <= budget)) - 1

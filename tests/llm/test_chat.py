@@ -40,27 +40,41 @@ def test_read_back_from_the_windows(spark, clashing):
         assert got == {c: plain(t) for c, t in by.items()}
 
 
+def windows_by_hand(cost, system, budget, history):
+    """(first, last, back) of each window, places from 0 after the system turn."""
+    out, at, total = [], 0, len(cost)
+    while at < total:
+        back = at
+        while back > 0 and sum(cost[back - 1 : at]) <= history and system + sum(cost[back - 1 : at + 1]) <= budget:
+            back -= 1
+        last = at
+        while last + 1 < total and system + sum(cost[back : last + 2]) <= budget:
+            last += 1
+        out.append((at, last, back))
+        at = last + 1
+    return out
+
+
 def test_windows_keep_budget_system_turn_and_history(spark):
     from pyspark.sql import functions as F
 
-    rows = conversations()
-    w = chat.windows(spark.createDataFrame(rows, SHAPE), 120, 40).where("conv_id = 4").orderBy("window").collect()
-    turns = [(r or "", t or "") for c, _, r, t in rows if c == 4]
-    cost = {t: n for t, n in spark.createDataFrame(turns, "role string, text string").select("text", text_tokens(F.col("text")) + chat.TURN_TOKENS).collect()}
-    at = 0
-    for x in w:
-        parsed = x.text.split("<|end|>\n")[:-1]
-        new = len(parsed) - x.repeated
-        history = turns[at - x.repeated : at]
-        assert sum(cost[t] for _, t in history) <= 40
-        assert at - x.repeated == 0 or sum(cost[t] for _, t in turns[at - x.repeated - 1 : at]) > 40
-        total = sum(cost[t] for _, t in turns[at - x.repeated : at + new])
-        assert total <= 120 or new == 1
-        at += new
-        assert at == len(turns) or total + cost[turns[at][1]] > 120
-    assert at == len(turns)
-    tricky = chat.windows(spark.createDataFrame(rows, SHAPE), 500, 100).where("conv_id = 1").collect()
-    assert len(tricky) > 2 and all(x.text.startswith("<|start|>system\n") for x in tricky)
+    rows = conversations() + [(5, 0, "system", "s " * 100), (5, 1, "user", "u " * 240), (5, 2, "assistant", "a " * 900), (5, 3, "user", "b " * 1300), (5, 4, "assistant", "c")]
+    for budget, history in ((120, 40), (1024, 256), (1200, 600), (60, 0), (300, 1000)):
+        by = {}
+        for w in chat.windows(spark.createDataFrame(rows, SHAPE), budget, history).collect():
+            by.setdefault(w.conv_id, []).append(w)
+        for conv in (1, 4, 5):
+            turns = [(r or "", t or "") for c, _, r, t in rows if c == conv]
+            costs = [r.n for r in spark.createDataFrame([(i, t) for i, (_, t) in enumerate(turns)], "i int, t string").orderBy("i").select((text_tokens(F.col("t")) + chat.TURN_TOKENS).alias("n")).collect()]
+            head = 1 if turns[0][0] == "system" else 0
+            want = windows_by_hand(costs[head:], sum(costs[:head]), budget, history)
+            got = sorted(by[conv], key=lambda w: w.window)
+            assert len(got) == len(want)
+            for w, (first, last, back) in zip(got, want):
+                said = [p.split("\n", 1)[1] for p in w.text.removeprefix("<|start|>").split("<|end|>\n<|start|>")]
+                assert len(said) == head + last - back + 1 and w.repeated == first - back + (head if first else 0)
+                total = sum(costs[:head]) + sum(costs[head + back : head + last + 1])
+                assert total <= budget or (first == last == back and total == sum(costs[:head]) + costs[head + first])
 
 
 def test_control_strings_cannot_occur_inside(spark):
