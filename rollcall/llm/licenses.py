@@ -22,15 +22,21 @@ from rollcall.llm.decontaminate import window_key, word_keys
 K = 3
 # A label needs so much of a template; neighbouring diagonals are up to so many words apart.
 ENOUGH, APART = 0.6, 4
+# How far the diagonals of one span may lie apart in all, as a share of the template.
+DRIFT = 0.2
 
 # The base phrases, and templates of the licenses looked for.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
     ("mit", "released under the mit license"),
     ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("bsd-3-clause", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages"),
     ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
     ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl-3", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
     ("gpl-3", "licensed under the gnu general public license version 3"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-nc", "creative commons attribution noncommercial 4 0 international"),
@@ -61,16 +67,23 @@ def hit_places(ws: Column, keys: list[int]) -> Column:
 
 
 def coverage(diagonals: Column, template: int, grams: int) -> Column:
-    """The largest share of a template's k-grams on diagonals that lie together."""
+    """The largest share of a template's k-grams in one aligned span."""
     own = F.array_sort(F.filter(diagonals, lambda d: d["template"] == template))
-    zero = F.struct(F.lit(0.0).alias("best"), F.lit(0.0).alias("votes"), F.lit(None).cast("int").alias("last"))
+    none = F.array().cast("array<int>")
+    zero = F.struct(F.lit(0).alias("best"), none.alias("covered"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
 
     def step(acc: Column, d: Column) -> Column:
-        near = F.coalesce(d["diagonal"] - acc["last"] <= APART, F.lit(False))
-        votes = F.when(near, acc["votes"]).otherwise(F.lit(0.0)) + d["votes"]
-        return F.struct(F.greatest(acc["best"], votes).alias("best"), votes.alias("votes"), d["diagonal"].alias("last"))
+        near = (d["diagonal"] - acc["last"] <= APART) & (d["diagonal"] - acc["first"] <= max(APART, int(DRIFT * grams)))
+        first = F.when(F.coalesce(near, F.lit(False)), acc["first"])
+        covered = F.array_union(F.when(first.isNull(), none).otherwise(acc["covered"]), d["places"])
+        return let(
+            covered,
+            lambda covered: F.struct(
+                F.greatest(acc["best"], F.size(covered)).alias("best"), covered.alias("covered"), F.coalesce(first, d["diagonal"]).alias("first"), d["diagonal"].alias("last")
+            ),
+        )
 
-    return F.least(F.aggregate(own, zero, step)["best"] / grams, F.lit(1.0))
+    return F.aggregate(own, zero, step)["best"] / grams
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -89,13 +102,14 @@ def scan(docs: DataFrame) -> DataFrame:
         rows.join(F.broadcast(known.drop("key")), "gram", "left")
         .where("pos < 0 or template is not null")
         .groupBy("doc_id", "same", "n_words", "template", (F.col("pos") - F.col("tpos")).alias("diagonal"))
-        .agg(F.count(F.lit(1)).alias("votes"))
+        # At most as many places as a template has.
+        .agg(F.count(F.lit(1)).alias("votes"), F.array_sort(F.collect_set("tpos")).alias("places"))
     )
     each = votes.groupBy("doc_id", "same", "n_words").agg(
         F.max(F.when(F.col("template").isNull(), F.col("votes"))).alias("copies"),
-        F.collect_list(F.when(F.col("template").isNotNull(), F.struct("template", "diagonal", "votes"))).alias("found"),
+        F.collect_list(F.when(F.col("template").isNotNull(), F.struct("template", "diagonal", "votes", "places"))).alias("found"),
     )
-    own = F.transform("found", lambda d: F.struct(d["template"].alias("template"), d["diagonal"].alias("diagonal"), (d["votes"] / F.col("copies")).alias("votes")))
+    own = F.transform("found", lambda d: F.struct(d["template"].alias("template"), d["diagonal"].alias("diagonal"), (d["votes"] / F.col("copies")).alias("votes"), d["places"].alias("places")))
     all_ = templates()
     grams = {i: len(w) - K + 1 for i, _, w, _ in all_}
     phrase = [i for i, _, _, base in all_ if base]
