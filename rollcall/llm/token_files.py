@@ -17,7 +17,10 @@ import struct
 import sys
 import types
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, compress, repeat
+from operator import is_
 
 import numpy as np
 import pandas as pd
@@ -34,6 +37,7 @@ MAGIC = b"BPK1"
 CHUNK_IDS = 1 << 18
 # A worker's memo of encoded words is emptied at this size; only speed depends on it.
 MEMO_WORDS, MEMO_CHARS = 800_000, 64
+GROUP_CHARS = 4_000_000  # texts that are encoded together; a longer text alone
 SPACE = "\u0120"  # how byte-level vocabularies write a space
 WORD_AND_TAIL = re.compile(r"([^\W\d_]+)((?:[.,;:!?)]+\n?|\n)[^\W\d_]*)")
 
@@ -103,7 +107,7 @@ def unpack_ids(chunk: bytes, start: int = 0, end: int | None = None) -> np.ndarr
 
 
 def _encoder(path: str) -> dict:
-    """The tokenizer of a file, which ids start with a space, and the memos of words and of what follows them; one per worker process."""
+    """The tokenizer of a file, which ids start with a space, its added tokens, and the memos of words and of what follows them; one per worker process."""
     held = sys.modules.setdefault("_token_files_state", types.ModuleType("_token_files_state")).__dict__
     if path not in held:
         import os
@@ -112,10 +116,10 @@ def _encoder(path: str) -> dict:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         spaced = np.zeros(max(tokenizer.get_vocab().values()) + 1, dtype=bool)
         spaced[[i for t, i in tokenizer.get_vocab().items() if t.startswith(SPACE)]] = True
-        held[path] = {"tokenizer": tokenizer, "spaced": spaced, "memo": {}, "tails": {}}
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        held[path] = {"tokenizer": tokenizer, "spaced": spaced, "added": added, "memo": {}, "tails": {}}
     return held[path]
 
 
@@ -133,7 +137,7 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     A single space between two characters that are not white space always starts a new
     token, and so does the end of a run of letters before a mark or a line break. There a
     text is cut, and each piece is encoded once and looked up after that. Texts with a
-    space beside other white space are encoded in one piece.
+    space beside other white space are encoded in one piece, and so are texts that hold the string of an added token.
     """
     state = _encoder(path)
     encode, memo, tails = state["tokenizer"].encode_batch_fast, state["memo"], state["tails"]
@@ -144,29 +148,46 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     if len(memo) + len(tails) > MEMO_WORDS:
         memo.clear()
         tails.clear()
-    # After the first, words stand behind a space; the memo's keys leave it out.
+    # After the first, words stand behind a space; the memo's keys leave it out. Each word of all texts is looked up once.
     cut = [t.split(" ") for t in texts]
     heads = [ws.pop(0) for ws in cut]
-    new = set().union(*cut).difference(memo)
+    place: dict[str, int] = defaultdict()
+    place.default_factory = place.__len__
+    counts = np.array([len(ws) for ws in cut], dtype=np.int64)
+    said = np.fromiter(map(place.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+    words = list(place)
+    parts = list(map(memo.get, words))
+    new = set(compress(words, map(is_, parts, repeat(None))))
     odd = [w for w in new if not w.isalpha()]
     beside = {w for w in odd if not w or w[0].isspace() or w[-1].isspace()}
-    whole = [i for i, h in enumerate(heads) if (not h and cut[i]) or h[-1:].isspace() or not beside.isdisjoint(cut[i])]
     ended = [m.groups() for m in map(WORD_AND_TAIL.fullmatch, odd) if m and m.group() not in beside]
     new.difference_update(beside)
     new.difference_update([a + b for a, b in ended])
     new.update([a for a, _ in ended if a not in memo])
     tail_new = list({b for _, b in ended}.difference(tails))
     tails.update(zip(tail_new, ids_of(tail_new)))
-    plain = list(new)
+    marked = {i for i, t in enumerate(texts) if any(a in t for a in state["added"])}
+    # A word with the string of an added token stands in texts that are encoded whole, and is no word of its own.
+    plain = [w for w in new if not any(a in w for a in state["added"])] if marked else list(new)
     if plain:
         memo.update(zip(plain, encode_words(plain, state)))
     memo.update([(a + b, memo[a] + tails[b]) for a, b in ended])
-    direct, first = dict(zip(whole, ids_of([texts[i] for i in whole]))), ids_of(heads)
-    out = [direct[i] if i in direct else first[i] + b"".join(map(memo.__getitem__, ws)) for i, ws in enumerate(cut)]
+    whole = {i for i, h in enumerate(heads) if (not h and cut[i]) or h[-1:].isspace()} | marked
+    if beside:
+        in_text, odd_one = np.repeat(np.arange(len(texts)), counts), np.fromiter((w in beside for w in words), bool, len(words))
+        whole.update(in_text[odd_one[said]].tolist())
+    direct, first = dict(zip(sorted(whole), ids_of([texts[i] for i in sorted(whole)]))), ids_of(heads)
+    # The ids of all words in a row, then those of every word that is said.
+    parts = [memo.get(w, b"") if x is None else x for w, x in zip(words, parts)]
+    flat, sizes = np.frombuffer(b"".join(parts), dtype="<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    starts, each = (np.cumsum(sizes) - sizes)[said], sizes[said]
+    ends = np.cumsum(each)
+    data = flat[np.repeat(starts - (ends - each), each) + np.arange(int(each.sum()))].tobytes()
+    cuts = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))] * 4
     for w in plain:
         if len(w) > MEMO_CHARS:
             del memo[w]
-    return out
+    return [direct[i] if i in whole else first[i] + data[a:b] for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist()))]
 
 
 def vocabulary_size(path: str) -> int:
@@ -199,7 +220,7 @@ def write(docs: DataFrame, path: str, name: str = "tokens") -> DataFrame:
             at = 0
             while at < len(texts):
                 to, chars = at, 0
-                while to < len(texts) and chars < 1_000_000:
+                while to < len(texts) and chars < GROUP_CHARS:
                     chars += len(texts[to])
                     to += 1
                 for doc_id, got in zip(batch["doc_id"].iloc[at:to], encode_texts(texts[at:to], path)):
@@ -215,7 +236,8 @@ def write(docs: DataFrame, path: str, name: str = "tokens") -> DataFrame:
 
     ordered = (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .repartitionByRange("doc_id")
+        # By text too, so that rows that share an id, or have none, do not all go to one task.
+        .repartitionByRange("doc_id", "text")
         .sortWithinPartitions("doc_id", "text")
     )
     return stored(ordered.mapInPandas(run, "part int, base long, doc_ids array<long>, counts array<int>, data binary"), name)

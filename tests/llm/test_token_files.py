@@ -7,7 +7,7 @@ import pytest
 
 from rollcall.llm import token_files
 
-public_tokenizers = pytest.importorskip("public_tokenizers")
+public_tokenizers, tokenizers = pytest.importorskip("public_tokenizers"), pytest.importorskip("tokenizers")
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 TEXTS = [
@@ -16,9 +16,33 @@ TEXTS = [
 ]
 
 
+PLAIN = tokenizers.Tokenizer.from_file(PATH)  # not the one that the operator holds
+
+
 def whole(text):
-    tokenizer = token_files._encoder(PATH)["tokenizer"]
-    return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+    return np.array(PLAIN.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+
+def test_added_tokens_are_those_of_the_plain_call():
+    assert len(whole("a <|endoftext|> b")) == 4
+    for text in ("a <|endoftext|> b", "x<|endoftext|>", "<|endoftext|>", "one two<|endoftext|><|endoftext|> three", "a <|endof text|>"):
+        for _ in range(2):
+            assert token_files.encode_texts(["a b two", text], PATH)[1] == whole(text).tobytes()
+
+
+def test_rows_of_one_id_are_dealt_to_many_tasks(spark, docs, monkeypatch):
+    # Spark would put small partitions together again.
+    monkeypatch.setattr(token_files, "CHUNK_IDS", 100)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = [(7 if i % 3 else None, f"text {i} " * 30) for i in range(4000)]
+    try:
+        chunks = token_files.write(docs(*rows).repartition(8), PATH)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    sizes = [r.n for r in chunks.selectExpr("part", "size(doc_ids) AS n").groupBy("part").agg({"n": "sum"}).toDF("part", "n").collect()]
+    assert len(sizes) > 4 and max(sizes) < 2000 and sum(sizes) == 4000
+    got = token_files.read(chunks).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted([r[0] for r in rows], key=lambda x: (x is not None, x))
 
 
 def test_ids_are_those_of_whole_texts():
