@@ -26,9 +26,7 @@ def plain(rows, labels, held):
     """Interpolated modified Kneser-Ney with dictionaries."""
     trusted = {i for i, q, _ in labels if q == 1} - {i for i, q, _ in labels if q != 1}
     train = [t.split() for i, t, _ in rows if i in trusted and i not in held]
-    freq = Counter(w for t in train for w in t)
-    known = {w for w, _ in sorted(freq.items(), key=lambda x: (-x[1], x[0]))[: quality.WORDS]}
-    kinds = Counter(quality.shape(w) for w in freq if w not in known)
+    known = {w for t in train for w in t}
     name = lambda w: w if w in known else quality.shape(w)
     pairs = Counter(p for t in train for p in zip([None] + [name(w) for w in t], [name(w) for w in t]))
     total, ones, twos, more, left = Counter(), Counter(), Counter(), Counter(), Counter()
@@ -43,21 +41,19 @@ def plain(rows, labels, held):
     freed = 1 - sum(cut(n, low) for n in left.values()) / all_left
 
     def log_probability(v, w):
-        share = 1.0 if w in known else 1 / (kinds[w] + 1)
-        base = (cut(left[w], low) / all_left + freed / entries) * share
+        base = cut(left[w], low) / all_left + freed / entries
         if not total[v]:
             return math.log(base)
         rest = (d[0] * ones[v] + d[1] * twos[v] + d[2] * more[v]) / total[v]
-        return math.log(cut(pairs[v, w], d) / total[v] * share + rest * base)
+        return math.log(cut(pairs[v, w], d) / total[v] + rest * base)
 
     return {i: sum(log_probability(v, w) for v, w in zip([None] + [name(w) for w in t.split()], [name(w) for w in t.split()])) for i, t, _ in rows}
 
 
-@pytest.mark.parametrize("words, block, turns", [(60_000, 12_000_000, 256), (8, 500, 2)])
-def test_perplexities_against_a_plain_model(spark, docs, monkeypatch, words, block, turns):
-    monkeypatch.setattr(quality, "WORDS", words)
-    monkeypatch.setattr(quality, "BLOCK_CHARS", block)
-    monkeypatch.setattr(quality, "BLOCKS_A_TASK", turns)
+@pytest.mark.parametrize("words, tokens, block, turns, broadcast", [(100_000, 1_000_000, 12_000_000, 256, 1_000_000), (5, 300, 500, 2, 0)])
+def test_perplexities_against_a_plain_model(spark, docs, monkeypatch, words, tokens, block, turns, broadcast):
+    for name, value in (("SHARD_WORDS", words), ("SHARD_TOKENS", tokens), ("BLOCK_CHARS", block), ("BLOCKS_A_TASK", turns), ("BROADCAST_ROWS", broadcast)):
+        monkeypatch.setattr(quality, name, value)
     rows, labels = corpus()
     table = spark.createDataFrame(labels, LABELS)
     held = {r.doc_id for r in quality.trusted_ids(table).where("held").collect()}
@@ -144,3 +140,57 @@ def test_every_language_has_its_own_threshold(spark, docs):
 def test_toxic_documents_are_not_trusted(spark):
     table = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 1, None), (4, 1, 0), (4, 1, 1), (5, 0, 0)], LABELS)
     assert {r.doc_id for r in quality.trusted_ids(table).collect()} == {1, 3}
+
+
+def test_rows_in_another_order_and_repeated_blocks_give_the_same_scores(spark, docs, monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK_CHARS", 400)
+    rows, labels = corpus()
+    table = spark.createDataFrame(labels, LABELS)
+    score = lambda d: sorted((r.doc_id, round(r.log_probability, 9), round(r.left_out, 9)) for r in quality.perplexities(d, table).collect() if r.left_out is not None)
+    once = score(docs(*rows).coalesce(1))
+    assert score(docs(*rows[::-1]).repartition(5)) == once
+    # The same partition twice: its blocks have one name.
+    both = docs(*rows).coalesce(1)
+    twice = quality.perplexities(both.unionByName(both), table).collect()
+    assert len(twice) == 2 * len(rows) and len({(r.doc_id, r.log_probability) for r in twice}) == len(rows)
+
+
+def test_a_block_that_is_cut_otherwise_fails(spark, docs):
+    rows, labels = corpus()
+    flags, _ = quality.flagged(docs(*rows), spark.createDataFrame(labels, LABELS))
+    block = flags.mapInArrow(quality.into_blocks, quality.BLOCK_ROWS)
+    none = spark.createDataFrame([], "block long, places binary, told binary")
+    with pytest.raises(Exception, match="cut otherwise"):
+        quality.pairs_asked(block, none, 1, [0] * 5).collect()
+
+
+def test_rows_are_kept_by_their_own_text(spark, docs):
+    rows, labels = corpus()
+    junk = "QQQQQQ##! " * 40
+    odd = [(0, junk), (None, junk), (None, ""), (None, rows[3][1]), (7000, rows[4][1]), (7000, None)]
+    kept = {(r.doc_id, r.text) for r in quality.kept(docs(*rows, *odd), spark.createDataFrame(labels, LABELS)).collect()}
+    assert (0, rows[0][1]) in kept and (None, rows[3][1]) in kept and (7000, rows[4][1]) in kept
+    assert not {(0, junk), (None, junk), (None, ""), (7000, None)} & kept
+
+
+def test_works_from_another_folder_without_the_package_on_the_workers_path(tmp_path):
+    """As a plain cluster submit: the driver finds the package, the workers do not."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    script = tmp_path / "run.py"
+    script.write_text(f"""
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+spark.sparkContext.setCheckpointDir({str(tmp_path / "shared")!r})
+sys.path.insert(0, {str(Path(__file__).parents[2])!r})
+from rollcall.llm import quality
+docs = spark.createDataFrame([(i, "the cat and the dog " * (i + 1), "en") for i in range(20)], "doc_id long, text string, lang string")
+labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+print("rows", quality.judge(docs, labels).count())
+""")
+    env = {k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 20" in done.stdout, done.stderr[-2000:]
