@@ -419,15 +419,20 @@ def links(docs: DataFrame, indexed: DataFrame, bands: Bands, percent: int, size:
     return stored(components(in_blocks(placed, "family", over)), "components")
 
 
+def grouped(docs: DataFrame, percent: int, size: int, allot: Callable[[int, int], tuple[int, int]]) -> DataFrame:
+    """(doc_id, row, n, component): set size and group of every row; empty sets are in none."""
+    indexed = stored(index(docs, size), "index")
+    known = links(docs, indexed, Bands(percent, allot=allot), percent, size)
+    return indexed.join(known.withColumnRenamed("id", "cls"), "cls", "left").select(
+        "doc_id", "row", "n", F.when(F.col("n") > 0, F.coalesce("component", "cls")).alias("component")
+    )
+
+
 def groups(
     docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, allot: Callable[[int, int], tuple[int, int]] = allotment
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every document: the least id reachable by links of ``percent`` or more."""
-    indexed = stored(index(docs, size), "index")
-    known = links(docs, indexed, Bands(percent, allot=allot), percent, size)
-    named = indexed.join(known.withColumnRenamed("id", "cls"), "cls", "left").select(
-        "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "cls")).alias("component")
-    )
+    named = grouped(docs, percent, size, allot)
     firsts = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("first"))
     return named.join(firsts, "component", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id")
@@ -435,9 +440,21 @@ def groups(
 
 
 def without_copies(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """``docs`` with one document of each group, the one with its least id; empty texts and rows without an id all stay.
+    """``docs`` with one row of each group, the one with its least id (none is the last); rows with an empty set all stay.
 
-    Rows that repeat a doc_id stay or go together.
+    Rows are told apart by id and text. Of rows that agree in both, one stays.
     """
-    gone = stored(groups(docs, percent, size).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return docs.join(broadcast_below(gone, gone.count(), BROADCAST_ROWS), "doc_id", "left_anti").select(*docs.columns)
+    named = stored(grouped(docs, percent, size, allotment).where("component is not null"), "grouped")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    firsts = named.groupBy("component").agg(F.min(order).alias("first"))
+    gone = named.join(firsts, "component").where(F.col("row") != F.col("first.row")).select(F.col("row").alias("_row")).distinct()
+    gone = stored(gone, "copies")
+    key = row_key()
+    left = docs.join(broadcast_below(gone, gone.count(), BROADCAST_ROWS), key == F.col("_row"), "left_anti")
+    twice = stored(named.groupBy("row").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("row").alias("_row")), "twice")
+    n = twice.count()
+    if not n:
+        return left.select(*docs.columns)
+    again = broadcast_below(twice, n, BROADCAST_ROWS)
+    once = left.join(again, key == F.col("_row"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, key == F.col("_row"), "left_anti").unionByName(once).select(*docs.columns)

@@ -161,3 +161,14 @@ def test_one_document_of_each_group_stays(docs):
 
 def test_empty_table(docs):
     assert jaccard.groups(docs((1, "x")).where("false")).count() == 0
+
+
+def test_one_row_of_each_group_stays_whatever_its_id(docs, clashing):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    near, other = text + " thirteen", "quite another text that has nothing at all to do with it"
+    rows = [(5, text), (5, other), (3, near), (3, near), (3, near), (None, text), (None, "alone " * 9), (9, None), (9, ""), (9, None)]
+    table = clashing(docs(*rows))
+    left = jaccard.without_copies(table, percent=80, size=5)
+    assert left.columns == table.columns
+    got = sorted(((r.doc_id, r.text) for r in left.collect()), key=repr)
+    assert got == sorted([(5, other), (3, near), (None, "alone " * 9), (9, None), (9, ""), (9, None)], key=repr)
