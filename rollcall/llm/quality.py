@@ -241,7 +241,8 @@ def words_asked(docs: DataFrame, shards: int) -> DataFrame:
                 ["block", "shard", "places", "words"],
             )
 
-    return docs.select("row", "text").mapInArrow(run, "block long, shard int, places binary, words binary")
+    # All columns, as everywhere else: with fewer of them Spark might deal rows out otherwise.
+    return docs.mapInArrow(run, "block long, shard int, places binary, words binary")
 
 
 def entries_told(asked: DataFrame, entries: DataFrame, turns: int) -> DataFrame:
