@@ -28,6 +28,7 @@ import sys
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -42,6 +43,8 @@ from rollcall.llm.common import broadcast_below, discard, stored
 SHARD_WORDS, SHARD_TOKENS = 100_000, 1_000_000
 # Characters in a block of documents; a longer document is a block of its own.
 BLOCK_CHARS = 12_000_000
+# Documents are scored in so many parts, one after the other; what they ask and hear lies on disk for one part at a time.
+SLICES = 2
 # Blocks that one task looks up in a shard; more blocks make more tasks.
 BLOCKS_A_TASK = 256
 HELD_OUT = 10  # one trusted document in so many
@@ -68,10 +71,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def shape(word: str) -> int:
+    n = len(word)
+    length = (n > 4) + (n > 9) + (n > 16)
+    if word.isalpha() and word.islower():  # most words
+        return length
     core = word.rstrip(".,;:!?")
     case = 0 if core.islower() else 1 if core.istitle() else 2 if core.isupper() else 3 if any(c.isalpha() for c in core) else 4
-    marks = 2 if not core.isalpha() else 1 if len(word) > len(core) + 1 else 0
-    return (case * MARKS + marks) * LENGTHS + sum(len(word) > n for n in (4, 9, 16))
+    marks = 2 if not core.isalpha() else 1 if n > len(core) + 1 else 0
+    return (case * MARKS + marks) * LENGTHS + length
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -275,6 +282,8 @@ def told_apart(ids: bytes, answers: pd.DataFrame) -> tuple[np.ndarray, np.ndarra
     own = spread_out(ids)
     n = int(own.max()) + 1 if len(own) else 0
     table, seen = np.zeros((1 + len(STATISTICS), n), dtype=np.int64), 0
+    # Blocks that are the same ask the same, each for itself.
+    answers = answers.drop_duplicates("places")
     for places, told in zip(answers["places"], answers["told"]):
         at = risen(places)
         table[:, at] = spread_out(told).reshape(1 + len(STATISTICS), -1)
@@ -586,7 +595,7 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     n_words = numbers.count()
     zeros = numbers.select("shard", "word", "number", *[F.lit(0).cast("long").alias(c) for c in STATISTICS])
     plain = written(packed_entries(zeros), "plain-entries")
-    asked = written(words_asked(train, word_shards_).dropDuplicates(["block", "shard"]), "asked-in-training")
+    asked = written(words_asked(train, word_shards_), "asked-in-training")
     answers = written(entries_told(asked, plain, turns_for(asked.select("block").distinct().count())), "told-in-training")
     n_tokens = train.agg(F.coalesce(F.sum(F.size(tokens(F.col("text")))), F.lit(0))).first()[0]
     pair_shards_ = max(1, -(-n_tokens // SHARD_TOKENS))
@@ -599,16 +608,19 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = numbers.join(told, "number", "left").select("shard", "word", "number", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in STATISTICS])
     entries = written(packed_entries(known), "entries")
     discard(numbers, told)
-    asked = written(words_asked(flags, word_shards_).dropDuplicates(["block", "shard"]), "asked")
-    turns = turns_for(asked.select("block").distinct().count())
-    answers = written(entries_told(asked, entries, turns), "told")
-    discard(asked, entries)
-    block = flags.mapInArrow(into_blocks, BLOCK_ROWS)
-    found = written(looked_up(pairs_asked(block, answers, pair_shards_, start), counts, turns), "found")
-    discard(counts)
-    scores = written(scored(block, answers, found, model, pair_shards_, start), "scores")
-    discard(answers, found, *([kept_order] if kept_order is not None else []))
-    return scores
+    scores = []
+    for k in range(SLICES):
+        part = flags.where(F.pmod("row", F.lit(SLICES)) == k)
+        asked = written(words_asked(part, word_shards_), "asked")
+        turns = turns_for(asked.select("block").distinct().count())
+        answers = written(entries_told(asked, entries, turns), "told")
+        discard(asked)
+        block = part.mapInArrow(into_blocks, BLOCK_ROWS)
+        found = written(looked_up(pairs_asked(block, answers, pair_shards_, start), counts, turns), "found")
+        scores.append(written(scored(block, answers, found, model, pair_shards_, start), "scores"))
+        discard(answers, found)
+    discard(entries, counts, *([kept_order] if kept_order is not None else []))
+    return reduce(DataFrame.unionByName, scores)
 
 
 def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
