@@ -37,6 +37,7 @@ MAGIC = b"BPK1"
 CHUNK_IDS = 1 << 18
 # A worker's memo of encoded words is emptied at this size; only speed depends on it.
 MEMO_WORDS, MEMO_CHARS = 800_000, 64
+RANGE_CHARS = 24  # of a text that Spark's sample of the ranges holds
 GROUP_CHARS = 4_000_000  # texts that are encoded together; a longer text alone
 SPACE = "\u0120"  # how byte-level vocabularies write a space
 WORD_AND_TAIL = re.compile(r"([^\W\d_]+)((?:[.,;:!?)]+\n?|\n)[^\W\d_]*)")
@@ -236,8 +237,8 @@ def write(docs: DataFrame, path: str, name: str = "tokens") -> DataFrame:
 
     ordered = (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        # By text too, so that rows that share an id, or have none, do not all go to one task.
-        .repartitionByRange("doc_id", "text")
+        # By the text's beginning too, so that rows that share an id, or have none, do not all go to one task.
+        .repartitionByRange("doc_id", F.left("text", F.lit(RANGE_CHARS)))
         .sortWithinPartitions("doc_id", "text")
     )
     return stored(ordered.mapInPandas(run, "part int, base long, doc_ids array<long>, counts array<int>, data binary"), name)
