@@ -42,7 +42,7 @@ from rollcall.llm.common import broadcast_below, discard, stored
 # Trusted words of a shard of entries, and trusted tokens of a shard of pairs, on average at most: shards follow the model.
 SHARD_WORDS, SHARD_TOKENS = 100_000, 1_000_000
 # Characters in a block of documents; a longer document is a block of its own.
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 6_000_000
 # Documents are scored in so many parts, one after the other; what they ask and hear lies on disk for one part at a time.
 SLICES = 2
 # Blocks that one task looks up in a shard; more blocks make more tasks.
@@ -315,14 +315,14 @@ def worth_asking(keys: np.ndarray, numbers: np.ndarray, told: np.ndarray) -> np.
 # The model ------------------------------------------------------------------------
 
 
-def vocabulary(flags: DataFrame) -> tuple[DataFrame, int]:
-    """(word, number) of the words of the training text, and how many there are.
+def vocabulary(flags: DataFrame) -> tuple[DataFrame, int, int]:
+    """(shard, word, number) of the words of the training text, how many shards there are, and how many tokens.
 
     A word's number is its rank in its shard and the shard; so numbers are dense, and need no order of all words.
     """
     words = flags.where("role = 1").select(F.explode(tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     counts = written(words, "words")
-    n = counts.count()
+    n, n_tokens = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     shards = max(1, -(-n // SHARD_WORDS))
 
     def number(frame: pd.DataFrame) -> pd.DataFrame:
@@ -332,7 +332,7 @@ def vocabulary(flags: DataFrame) -> tuple[DataFrame, int]:
     shard = (F.crc32(F.col("word").cast("binary")) % shards).cast("int").alias("shard")
     numbers = written(counts.select(shard, "word").groupBy("shard").applyInPandas(number, "shard int, word string, number long"), "numbers")
     discard(counts)
-    return numbers, shards
+    return numbers, shards, n_tokens
 
 
 def packed_entries(entries: DataFrame) -> DataFrame:
@@ -591,13 +591,12 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, row, lang, role, n_tokens, log_probability) of every document under the model of the trusted ones; ``left_out`` is that of a trusted one if it does not train."""
     flags, kept_order = flagged(docs, labels)
     train = flags.where("role = 1")
-    numbers, word_shards_ = vocabulary(flags)
+    numbers, word_shards_, n_tokens = vocabulary(flags)
     n_words = numbers.count()
     zeros = numbers.select("shard", "word", "number", *[F.lit(0).cast("long").alias(c) for c in STATISTICS])
     plain = written(packed_entries(zeros), "plain-entries")
     asked = written(words_asked(train, word_shards_), "asked-in-training")
     answers = written(entries_told(asked, plain, turns_for(asked.select("block").distinct().count())), "told-in-training")
-    n_tokens = train.agg(F.coalesce(F.sum(F.size(tokens(F.col("text")))), F.lit(0))).first()[0]
     pair_shards_ = max(1, -(-n_tokens // SHARD_TOKENS))
     counts = written(counted(pairs_trained(train.mapInArrow(into_blocks, BLOCK_ROWS), answers, pair_shards_)), "counts")
     discard(asked, answers, plain)
