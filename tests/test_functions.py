@@ -105,6 +105,38 @@ def test_opposing_rules_win(spark):
     assert got == [V.SUPPORTS, V.OPPOSES, V.OPPOSES, V.UNCLEAR, V.OPPOSES, V.SUPPORTS]
 
 
+def test_arranged_patterns_find_what_a_flat_list_finds(spark):
+    lists = [V.OPPOSES_PATTERNS, V.SUPPORTS_PATTERNS, V.OPPOSES_PATTERNS + V.SUPPORTS_PATTERNS, [r"\bab\b", "a?b", "c", "cd"]]
+    cases = [None, "", "ab", "xab", "ab x", "b", "cd", "roi", "heroic", "the roi ", "dei", "deity", "ghg x", "h 1b"]
+    for part in {a for patterns in lists for a in text._alternatives("|".join(patterns))}:
+        said = part.replace("\\b", "").replace("?", "").replace("\\w*", "e").replace(".*", " and ")
+        said = said.replace("(", "").replace(")", "").replace("|", " ")
+        cases += [said, "x" + said, said + "x", said[1:], said[:-1]]
+    for patterns in lists:
+        arranged = apply(spark, F.col("x").rlike(text.any_of(patterns)), cases)
+        assert arranged == apply(spark, F.col("x").rlike("|".join(patterns)), cases)
+
+
+def test_titles_lose_what_the_steps_name(spark):
+    cases = [
+        None, "", "  ", "Item 4a) Report on the Al risks", "A.I. and a i (4)  ", "at the 2024 annual meeting",
+        "If properly presented at the 2024 annual meeting of Sample", "at the annual shareholder meeting",
+        "s h sh shp shareholders shareholdersx xshp", "security-holder non-binding", "a\0b", "boards' reports", "\u0661 \u00e9t\u00e9",
+    ]
+    steps = F.lower("x")
+    for pattern, replacement in V.TITLE_STEPS:
+        steps = F.regexp_replace(steps, "(?U)" + pattern, replacement)
+    got = apply(spark, text.normalise_title("x"), cases)
+    assert got == apply(spark, F.trim(F.regexp_replace(steps, " +", " ")), cases)
+    assert got[3:6] == ["ai risks", "ai ai", "at 2024 meeting"]
+
+
+def test_symbols_go_from_any_text(spark):
+    cases = ["A-b\0c", "\u00c9t\u00e9 1", "\u212aelvin", "", None, "a\tb  c"]
+    pattern = F.regexp_replace(F.lower("x"), "[^a-z0-9 ]", "#")
+    assert apply(spark, text.plain("x", "#"), cases) == apply(spark, pattern, cases)
+
+
 def test_thresholds_and_resolution(spark):
     rows = spark.createDataFrame(
         [(0, 2, 100.0), (1, 5, 60.0), (2, 5, 59.94), (3, 5, 15.0), (4, 5, 40.0), (5, 5, 59.95)], "i int, n int, pct double"
