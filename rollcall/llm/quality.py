@@ -11,9 +11,9 @@ count 0. Answers hold what is not 0. Only a few sums over the whole model go to
 perplexity lies above a quantile of that of all trusted documents in its language: those which the model was not trained on, and
 the others under the model without their own counts.
 
-A block is known by a hash of all that it holds. It is cut out of the texts each time it is needed; were it ever cut otherwise, by a
-repeated task or from rows in another order, its answers would not be there, and the job would fail rather than score wrongly.
-So rows are sorted by a hash of id and text, and a table of documents that was shuffled to find its trusted rows is stored first.
+A block is known by a hash of all that it holds. One pass over the texts writes blocks and their questions to one table, so a repeated task
+can not cut them otherwise than they asked; were a block's answers not there, the job would fail rather than score wrongly.
+Rows are sorted by a hash of id and text, and a table of documents that was shuffled to find its trusted rows is stored first.
 
 Defined results: documents without tokens (null, empty or blank) have no perplexity and are
 not kept. A document is trusted if all of its labels say quality 1 and none says toxic 1. Null languages
@@ -44,7 +44,7 @@ SHARD_WORDS, SHARD_TOKENS = 100_000, 1_000_000
 # Characters in a block of documents; a longer document is a block of its own.
 BLOCK_CHARS = 6_000_000
 # Documents are scored in so many parts, one after the other; what they ask and hear lies on disk for one part at a time.
-SLICES = 2
+SLICES = 4
 # Blocks that one task looks up in a shard; more blocks make more tasks.
 BLOCKS_A_TASK = 256
 HELD_OUT = 10  # one trusted document in so many
@@ -200,16 +200,35 @@ def blocks(batches: Batches) -> Iterator[Block]:
             at = to
 
 
-BLOCK_ROWS = "block long, row array<long>, doc_ids array<long>, langs array<string>, roles array<int>, counts array<int>, ids binary"
+CUT_ROWS = (
+    "block long, shard int, places binary, words binary, row array<long>, doc_ids array<long>, langs array<string>, roles array<int>, counts array<int>, ids binary"
+)
 
 
-def into_blocks(batches: Batches) -> Batches:
-    for b in blocks(batches):
-        columns = [pa.array([b.part.column(c).to_pylist()], pa.list_(t)) for c, t in (("row", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("role", pa.int32()))]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([b.name], pa.int64()), *columns, pa.array([b.counts.tolist()], pa.list_(pa.int32())), pa.array([squeezed(b.ids)], pa.binary())],
-            ["block", "row", "doc_ids", "langs", "roles", "counts", "ids"],
+def cut(docs: DataFrame, shards: int, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A table of blocks, written in one pass over the texts, and its two kinds of rows.
+
+    (block, row, doc_ids, langs, roles, counts, ids) of each block, and what it asks each shard of words: (block, shard, places in its list, words).
+    """
+
+    def run(batches: Batches) -> Batches:
+        schema = pa.schema(
+            [("block", pa.int64()), ("shard", pa.int32()), ("places", pa.binary()), ("words", pa.binary()), ("row", pa.list_(pa.int64())), ("doc_ids", pa.list_(pa.int64())),
+             ("langs", pa.list_(pa.string())), ("roles", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("ids", pa.binary())]
         )
+        for b in blocks(batches):
+            of = {c: b.part.column(c).to_pylist() for c in ("row", "doc_id", "lang", "role")}
+            whole = {"row": of["row"], "doc_ids": of["doc_id"], "langs": of["lang"], "roles": of["role"], "counts": b.counts.tolist(), "ids": squeezed(b.ids)}
+            parts = by_shard(word_shards(b.words, shards), shards)
+            asked = [{"shard": s, "places": rising(p), "words": squeezed_words([b.words[i] for i in p])} for s, p in parts]
+            yield pa.RecordBatch.from_pylist([{"block": b.name, **row} for row in (whole, *asked)], schema)
+
+    table = written(docs.mapInArrow(run, CUT_ROWS), name)
+    return (
+        table,
+        table.where("shard is null").select("block", "row", "doc_ids", "langs", "roles", "counts", "ids"),
+        table.where("shard is not null").select("block", "shard", "places", "words"),
+    )
 
 
 def tokens(text: Column) -> Column:
@@ -232,26 +251,6 @@ def met(ask: DataFrame, tell: DataFrame, turns: int) -> DataFrame:
     return both.repartition("shard", "turn").sortWithinPartitions("shard", "turn", F.col("block").asc_nulls_first())
 
 
-def words_asked(docs: DataFrame, shards: int) -> DataFrame:
-    """What each block asks each shard of words: block, shard, places in its list, words."""
-
-    def run(batches: Batches) -> Batches:
-        for b in blocks(batches):
-            parts = by_shard(word_shards(b.words, shards), shards)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([b.name] * len(parts), pa.int64()),
-                    pa.array([s for s, _ in parts], pa.int32()),
-                    pa.array([rising(p) for _, p in parts], pa.binary()),
-                    pa.array([squeezed_words([b.words[i] for i in p]) for _, p in parts], pa.binary()),
-                ],
-                ["block", "shard", "places", "words"],
-            )
-
-    # All columns, as everywhere else: with fewer of them Spark might deal rows out otherwise.
-    return docs.mapInArrow(run, "block long, shard int, places binary, words binary")
-
-
 def entries_told(asked: DataFrame, entries: DataFrame, turns: int) -> DataFrame:
     """(block, places, told): number and statistics of the words that each block asked for, one after the other; a word without an entry has the number of its shape."""
 
@@ -595,11 +594,11 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     n_words = numbers.count()
     zeros = numbers.select("shard", "word", "number", *[F.lit(0).cast("long").alias(c) for c in STATISTICS])
     plain = written(packed_entries(zeros), "plain-entries")
-    asked = written(words_asked(train, word_shards_), "asked-in-training")
-    answers = written(entries_told(asked, plain, turns_for(asked.select("block").distinct().count())), "told-in-training")
+    table, block, asked = cut(train, word_shards_, "blocks-of-training")
+    answers = written(entries_told(asked, plain, turns_for(block.count())), "told-in-training")
     pair_shards_ = max(1, -(-n_tokens // SHARD_TOKENS))
-    counts = written(counted(pairs_trained(train.mapInArrow(into_blocks, BLOCK_ROWS), answers, pair_shards_)), "counts")
-    discard(asked, answers, plain)
+    counts = written(counted(pairs_trained(block, answers, pair_shards_)), "counts")
+    discard(table, answers, plain)
     told = written(statistics(counts), "statistics")
     model = model_of(counts, told, n_words).plain()
     first = told.where(F.col("number") == START).select(*STATISTICS).first()
@@ -610,14 +609,12 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scores = []
     for k in range(SLICES):
         part = flags.where(F.pmod("row", F.lit(SLICES)) == k)
-        asked = written(words_asked(part, word_shards_), "asked")
-        turns = turns_for(asked.select("block").distinct().count())
+        table, block, asked = cut(part, word_shards_, "blocks")
+        turns = turns_for(block.count())
         answers = written(entries_told(asked, entries, turns), "told")
-        discard(asked)
-        block = part.mapInArrow(into_blocks, BLOCK_ROWS)
         found = written(looked_up(pairs_asked(block, answers, pair_shards_, start), counts, turns), "found")
         scores.append(written(scored(block, answers, found, model, pair_shards_, start), "scores"))
-        discard(answers, found)
+        discard(table, answers, found)
     discard(entries, counts, *([kept_order] if kept_order is not None else []))
     return reduce(DataFrame.unionByName, scores)
 

@@ -159,7 +159,7 @@ def test_rows_in_another_order_and_repeated_blocks_give_the_same_scores(spark, d
 def test_a_block_that_is_cut_otherwise_fails(spark, docs):
     rows, labels = corpus()
     flags, _ = quality.flagged(docs(*rows), spark.createDataFrame(labels, LABELS))
-    block = flags.mapInArrow(quality.into_blocks, quality.BLOCK_ROWS)
+    _, block, _ = quality.cut(flags, 1, "blocks")
     none = spark.createDataFrame([], "block long, places binary, told binary")
     with pytest.raises(Exception, match="cut otherwise"):
         quality.pairs_asked(block, none, 1, [0] * 5).collect()
