@@ -52,8 +52,10 @@ STRANGERS = 2e4  # sets of a band that a set must not meet for nothing
 # Sets over the threshold agree on so many segments at most, by choice.
 MOST_AGREE = 6
 LONG = 9  # elements that a segment has to have on average for its deletions to be indexed
-# A family is cut into chunks of so many sets or elements.
-CHUNK_SETS, CHUNK_ELEMENTS = 512, 250_000
+# A family is cut into chunks of so many sets or elements, a group into chunks of so many sketches or bytes of them.
+CHUNK_SETS, CHUNK_ELEMENTS = 1024, 500_000
+CHUNK_SKETCHES, CHUNK_BYTES = 4096, 1 << 23
+STRIP = 256  # sketches of one chunk that are held against those of another at a time
 COLUMNS = 4096  # elements that a matrix product takes at a time
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -345,14 +347,18 @@ def families(docs: DataFrame, indexed: DataFrame, bands: Bands, size: int) -> Da
     needed = (bands.agree - bands.twos).tolist()
 
     def agreeing(a: list[dict], b: list[dict]) -> list[tuple[int, int]]:
-        left, right = (np.array([np.frombuffer(r["sketch"], "<u4") for r in side]) for side in (a, b))
-        same = np.zeros((len(a), len(b)), dtype=np.int32)
-        for x, y in zip(left.T, right.T):
-            same += x[:, None] == y[None, :]
-        # A segment of allotment 2 that is not the same may still be near.
-        return spanning([r["cls"] for r in a], [r["cls"] for r in b], same >= needed[a[0]["band"]])
-
-    found = in_blocks(chunked(members, "family", F.count(F.lit(1)) / CHUNK_SETS, "node"), "family", agreeing)
+        left, right = (np.array([np.frombuffer(r["sketch"], "<u4") for r in side]).T.copy() for side in (a, b))
+        agreed = np.zeros((len(a), len(b)), dtype=bool)
+        for at in range(0, len(a), STRIP):
+            same = np.zeros((min(STRIP, len(a) - at), len(b)), dtype=np.int32)
+            for x, y in zip(left[:, at : at + STRIP], right):
+                same += x[:, None] == y[None, :]
+            # A segment of allotment 2 that is not the same may still be near.
+            agreed[at : at + STRIP] = same >= needed[a[0]["band"]]
+        return spanning([r["cls"] for r in a], [r["cls"] for r in b], agreed)
+
+    chunks = F.greatest(F.count(F.lit(1)) / CHUNK_SKETCHES, F.sum(F.length("sketch")) / CHUNK_BYTES)
+    found = in_blocks(chunked(members, "family", chunks, "node"), "family", agreeing)
     out = stored(components(found), "families")
     discard(members, skipped)
     return out
@@ -383,20 +389,24 @@ def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def spanning(a: list[int], b: list[int], linked: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect whatever the linked pairs connect."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
+    """Links that connect whatever the linked pairs connect, at most one for each set of either side.
 
+    Sets are reached from one another; each row and each column of ``linked`` is looked at once.
+    """
+    across = np.ascontiguousarray(linked.T)
+    new_a, new_b = linked.any(axis=1), linked.any(axis=0)
     out = []
-    for i, j in zip(*np.nonzero(linked)):
-        x, y = a[i], b[j]
-        if x != y and root(x) != root(y):
-            parent[root(x)] = root(y)
-            out.append((x, y))
+    for start in np.flatnonzero(new_a):
+        reached = [int(start)] if new_a[start] else []
+        new_a[start] = False
+        while reached:
+            i = reached.pop()
+            for j in np.flatnonzero(linked[i] & new_b):
+                new_b[j] = False
+                more = np.flatnonzero(across[j] & new_a)
+                new_a[more] = False
+                reached += more.tolist()
+                out += [(a[k], b[j]) for k in (i, *more.tolist()) if a[k] != b[j]]
     return out
 
 
