@@ -85,6 +85,8 @@ def test_whatever_the_allotments_no_pair_is_lost(docs, twos):
 
 def test_a_family_in_several_chunks(docs, monkeypatch):
     monkeypatch.setattr(jaccard, "CHUNK_SETS", 6)
+    monkeypatch.setattr(jaccard, "CHUNK_SKETCHES", 5)
+    monkeypatch.setattr(jaccard, "STRIP", 2)
     monkeypatch.setattr(jaccard, "COLUMNS", 16)
     rows = near_copies(3, 120, words=50, edits=3)
     assert collected(jaccard.groups(docs(*rows), 70, 2)) == plain(rows, 70, 2)
@@ -130,6 +132,27 @@ def test_matrix_products_count_common_elements():
     assert (jaccard._common(sets, sets[:20]) == np.array(want)).all()
 
 
+@pytest.mark.parametrize("share", [0.0, 0.02, 0.1, 1.0])
+@pytest.mark.parametrize("own", [True, False])
+def test_spanning_links_connect_what_the_linked_pairs_connect(share, own):
+    rng = np.random.default_rng(7)
+    linked = rng.random((40, 40 if own else 25)) < share
+    a = list(range(40))
+    b = a if own else list(range(100, 125))
+
+    def parts(pairs):
+        of = {x: {x} for x in (*a, *b)}
+        for x, y in pairs:
+            if of[x] is not of[y]:
+                both = of[x] | of[y]
+                of.update({z: both for z in both})
+        return {frozenset(p) for p in of.values()}
+
+    found = jaccard.spanning(a, b, linked)
+    assert parts(found) == parts((a[i], b[j]) for i, j in zip(*np.nonzero(linked)))
+    assert len(found) <= len(a) + len(b) and all(x != y for x, y in found)
+
+
 def test_bands_cover_all_sizes_and_differences():
     for percent in (50, 80, 90):
         bands = jaccard.Bands(percent, 3000)
@@ -156,7 +179,8 @@ def test_one_document_of_each_group_stays(docs):
     d = docs((3, "same words here again"), (1, "same words here again"), (2, "others are kept as well"), (4, None), (None, "same words here again"))
     kept = jaccard.without_copies(d)
     assert kept.columns == d.columns
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 4]
+    # One document of each group: the copy without an id goes too, the empty text stays.
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [1, 2, 4]
 
 
 def test_empty_table(docs):
