@@ -13,7 +13,7 @@ false candidates. Each set is indexed for its own band and for the band below.
 Sets that share a signature are candidates. Candidates are gathered into groups (chains of shared
 signatures, band by band). In a group, sets that agree on fewer segments than the excess demands
 cannot be linked, whatever they share; that is seen from one number for each segment, and what is left falls
-into families. A family is verified exactly. Both steps go in blocks of bounded size: every two chunks of a group
+into families, each of one band. A family is verified exactly. Both steps go in blocks of bounded size: every two chunks of a group
 or family meet in one task, which compares segments, or counts common elements by matrix products, and gives the links
 that connect what it saw. So the work of F sets that are alike but not linked grows with F squared over the square of a chunk.
 
@@ -331,8 +331,9 @@ def in_blocks(placed: DataFrame, group: str, found: Callable[[list[dict], list[d
 
 
 def families(docs: DataFrame, indexed: DataFrame, bands: Bands, size: int) -> DataFrame:
-    """(id, component) of the classes that may have links, joined with all they may be connected to.
+    """(cls, family) of the classes that may have links, joined with all they may be connected to under the same band.
 
+    A class has a row for each of its bands; linked classes share a family in a band that both are indexed for.
     The sets are worked out again here rather than stored: they are larger than the texts.
     """
     # Copies are taken out before their signatures are: one row of each class goes on.
@@ -355,11 +356,12 @@ def families(docs: DataFrame, indexed: DataFrame, bands: Bands, size: int) -> Da
                 same += x[:, None] == y[None, :]
             # A segment of allotment 2 that is not the same may still be near.
             agreed[at : at + STRIP] = same >= needed[a[0]["band"]]
-        return spanning([r["cls"] for r in a], [r["cls"] for r in b], agreed)
+        return spanning([r["node"] for r in a], [r["node"] for r in b], agreed)
 
     chunks = F.greatest(F.count(F.lit(1)) / CHUNK_SKETCHES, F.sum(F.length("sketch")) / CHUNK_BYTES)
     found = in_blocks(chunked(members, "family", chunks, "node"), "family", agreeing)
-    out = stored(components(found), "families")
+    family = components(found).select(F.col("id").alias("node"), F.col("component").alias("family"))
+    out = stored(members.select("node", "cls").join(family, "node").select("cls", "family"), "families")
     discard(members, skipped)
     return out
 
@@ -412,11 +414,12 @@ def spanning(a: list[int], b: list[int], linked: np.ndarray) -> list[tuple[int,
 
 def links(docs: DataFrame, indexed: DataFrame, bands: Bands, percent: int, size: int) -> DataFrame:
     """(id, component) of the classes with links to others; joins all that are connected by links."""
-    known = families(docs, indexed, bands, size).select(F.col("id").alias("cls"), F.col("component").alias("family"))
+    known = families(docs, indexed, bands, size)
     reps = indexed.groupBy("cls").agg(F.first("n").alias("n"), F.min("row").alias("row"))
     near = stored(reps.join(known, "cls"), "near")
+    wanted = near.select("row", "cls").distinct()
     chunks = F.greatest(F.count(F.lit(1)) / CHUNK_SETS, F.sum("n") / CHUNK_ELEMENTS)
-    texts = docs.select(row_key(), "text").join(broadcast_below(near.select("row", "cls"), near.count(), BROADCAST_ROWS), "row").dropDuplicates(["cls"])
+    texts = docs.select(row_key(), "text").join(broadcast_below(wanted, near.count(), BROADCAST_ROWS), "row").dropDuplicates(["cls"])
     sets = texts.select("cls", F.array_sort(shingles(F.col("text"), size)).alias("set"))
     placed = chunked(near.drop("row"), "family", chunks, "cls").join(sets, "cls")
 
