@@ -53,7 +53,8 @@ STRANGERS = 2e4  # sets of a band that a set must not meet for nothing
 MOST_AGREE = 6
 LONG = 9  # elements that a segment has to have on average for its deletions to be indexed
 # A family is cut into chunks of so many sets or elements, a group into chunks of so many sketches or bytes of them.
-CHUNK_SETS, CHUNK_ELEMENTS = 1024, 500_000
+CHUNK_SETS, CHUNK_ELEMENTS = 4096, 2_000_000
+TILE_SETS, TILE_ELEMENTS = 512, 250_000  # of each chunk, what is multiplied at a time
 CHUNK_SKETCHES, CHUNK_BYTES = 4096, 1 << 23
 STRIP = 256  # sketches of one chunk that are held against those of another at a time
 COLUMNS = 4096  # elements that a matrix product takes at a time
@@ -366,6 +367,17 @@ def families(docs: DataFrame, indexed: DataFrame, bands: Bands, size: int) -> Da
     return out
 
 
+def tiles(sizes: np.ndarray) -> list[slice]:
+    """Runs of some TILE_SETS sets or TILE_ELEMENTS elements, one set at least."""
+    ends = np.cumsum(sizes)
+    out, at = [], 0
+    while at < len(sizes):
+        full = int(np.searchsorted(ends, ends[at] - sizes[at] + TILE_ELEMENTS, side="right"))
+        out.append(slice(at, min(at + TILE_SETS, max(at + 1, full))))
+        at = out[-1].stop
+    return out
+
+
 def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """How many elements each set of ``a`` has in common with each of ``b``."""
     if len(a) * len(b) <= 64:
@@ -425,8 +437,12 @@ def links(docs: DataFrame, indexed: DataFrame, bands: Bands, percent: int, size:
 
     def over(a: list[dict], b: list[dict]) -> list[tuple[int, int]]:
         x, y = ([r["set"] for r in side] for side in (a, b))
-        common, nx, ny = _common(x, y), np.array([len(s) for s in x]), np.array([len(s) for s in y])
-        linked = common * 100 >= (nx[:, None] + ny[None, :] - common) * percent
+        nx, ny = np.array([len(s) for s in x]), np.array([len(s) for s in y])
+        linked = np.zeros((len(a), len(b)), dtype=bool)
+        for i in tiles(nx):
+            for j in tiles(ny):
+                common = _common(x[i], y[j])
+                linked[i, j] = common * 100 >= (nx[i, None] + ny[None, j] - common) * percent
         return spanning([r["cls"] for r in a], [r["cls"] for r in b], linked)
 
     return stored(components(in_blocks(placed, "family", over)), "components")

@@ -85,6 +85,7 @@ def test_whatever_the_allotments_no_pair_is_lost(docs, twos):
 
 def test_a_family_in_several_chunks(docs, monkeypatch):
     monkeypatch.setattr(jaccard, "CHUNK_SETS", 6)
+    monkeypatch.setattr(jaccard, "TILE_SETS", 2)
     monkeypatch.setattr(jaccard, "CHUNK_SKETCHES", 5)
     monkeypatch.setattr(jaccard, "STRIP", 2)
     monkeypatch.setattr(jaccard, "COLUMNS", 16)
@@ -132,6 +133,14 @@ def test_matrix_products_count_common_elements():
     assert (jaccard._common(sets, sets[:20]) == np.array(want)).all()
 
 
+def test_tiles_cover_all_sets_once():
+    sizes = np.array([3, 600_000, 1, 1] + [100] * 1500 + [250_000, 250_001])
+    cut = jaccard.tiles(sizes)
+    assert [k for t in cut for k in range(t.start, t.stop)] == list(range(len(sizes)))
+    assert all(t.stop - t.start <= 512 and (t.stop - t.start == 1 or sizes[t].sum() <= 250_000) for t in cut)
+    assert jaccard.tiles(sizes[:0]) == []
+
+
 @pytest.mark.parametrize("share", [0.0, 0.02, 0.1, 1.0])
 @pytest.mark.parametrize("own", [True, False])
 def test_spanning_links_connect_what_the_linked_pairs_connect(share, own):
