@@ -24,8 +24,9 @@ def staged(t: Tables) -> dict[str, DataFrame]:
 
 
 def answers(t: Tables) -> DataFrame:
-    s = staged(t)
-    return marts.fund_answers(s["votes"], s["filings"], s["funds"])
+    filings = staging.filings(raw_filings(t))
+    clean = staging.clean_votes(raw_votes(t), WINDOW)
+    return marts.fund_answers(clean, filings, marts.funds(staging.series(raw_series(t)), filings))
 
 
 # Staging -------------------------------------------------------------------------

@@ -48,7 +48,8 @@ def build(
         ("funds", marts.funds(series, filings)),
     )
 
-    answers = marts.fund_answers(votes, filings, funds)
+    # Stored votes are read back; otherwise the clean ones spare a second join to the filings.
+    answers = marts.fund_answers(votes if store else clean, filings, funds)
     # Labelling reads the answers and so does the labelled fact: settle them once.
     answers = keep("fund_answers", answers if store else cut_lineage(answers))
     if labels is None:

@@ -72,10 +72,11 @@ def qualifying_votes(votes: DataFrame, filings: DataFrame) -> DataFrame:
         & F.col("vote").isin(V.DECIDED_ANSWERS)
     ).select(
         "filing_id", "fund_id", "issuer_name", "cusip", "meeting_date", "proposal_text",
-        text.proposal_key("cusip", "issuer_name", "meeting_date", "proposal_text").alias("proposal_key"),
         "is_environment", "is_social", "vote", "voted_with_management", "shares_voted",
     )
-    return J.with_parent(wanted, parent, "filing_id")
+    # The key is made behind the join, for the votes of such filings alone, and takes no room in its shuffle.
+    key = text.proposal_key("cusip", "issuer_name", "meeting_date", "proposal_text")
+    return J.with_parent(wanted, parent, "filing_id").withColumn("proposal_key", key)
 
 
 def fund_answers(votes: DataFrame, filings: DataFrame, funds: DataFrame) -> DataFrame:
@@ -83,7 +84,8 @@ def fund_answers(votes: DataFrame, filings: DataFrame, funds: DataFrame) -> Data
 
     Split answers are settled first, which shrinks the votes to one row per proposal;
     superseded filings are dropped from that smaller table. Both steps read the same
-    qualifying votes, so a corrected filing without such votes displaces nothing.
+    qualifying votes, so a corrected filing without such votes displaces nothing. Votes need
+    not have met their filing yet: they meet it here.
     """
     answers = A.one_answer(
         qualifying_votes(votes, filings),
