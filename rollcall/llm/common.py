@@ -5,7 +5,8 @@ from __future__ import annotations
 import string
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -62,6 +63,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs meanwhile hands Python so many rows at a time at most; Spark's own number of rows is meant for narrow ones."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``stored`` has written, once nothing reads them any more."""
     for table in tables:

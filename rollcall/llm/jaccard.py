@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rollcall.llm.common import broadcast_below, discard, let, lower_ascii, places, stored
+from rollcall.llm.common import batches_of, broadcast_below, discard, let, lower_ascii, places, stored
 from rollcall.llm.components import components
 
 SHINGLE = 3
@@ -57,6 +57,7 @@ CHUNK_SETS, CHUNK_ELEMENTS = 4096, 2_000_000
 TILE_SETS, TILE_ELEMENTS = 512, 250_000  # of each chunk, what is multiplied at a time
 CHUNK_SKETCHES, CHUNK_BYTES = 4096, 1 << 23
 STRIP = 256  # sketches of one chunk that are held against those of another at a time
+BATCH_ROWS = 1000  # sets handed to Python at a time, which JVM and Python both hold whole
 COLUMNS = 4096  # elements that a matrix product takes at a time
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -450,8 +451,9 @@ def links(docs: DataFrame, indexed: DataFrame, bands: Bands, percent: int, size:
 
 def grouped(docs: DataFrame, percent: int, size: int, allot: Callable[[int, int], tuple[int, int]]) -> DataFrame:
     """(doc_id, row, n, component): set size and group of every row; empty sets are in none."""
-    indexed = stored(index(docs, size), "index")
-    known = links(docs, indexed, Bands(percent, allot=allot), percent, size)
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        indexed = stored(index(docs, size), "index")
+        known = links(docs, indexed, Bands(percent, allot=allot), percent, size)
     return indexed.join(known.withColumnRenamed("id", "cls"), "cls", "left").select(
         "doc_id", "row", "n", F.when(F.col("n") > 0, F.coalesce("component", "cls")).alias("component")
     )

@@ -205,3 +205,19 @@ def test_one_row_of_each_group_stays_whatever_its_id(docs, clashing):
     assert left.columns == table.columns
     got = sorted(((r.doc_id, r.text) for r in left.collect()), key=repr)
     assert got == sorted([(5, other), (3, near), (None, "alone " * 9), (9, None), (9, ""), (9, None)], key=repr)
+
+
+def test_sets_go_to_python_in_small_batches(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen, write = spark.conf.get(key), {}, jaccard.stored
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, None)], "doc_id long, text string")
+
+    def noted(df, name):
+        seen[name] = int(spark.conf.get(key))
+        return write(df, name)
+
+    monkeypatch.setattr(jaccard, "stored", noted)
+    got = {(r.doc_id, r.component_id) for r in jaccard.groups(docs).collect()}
+    assert got == {(1, 1), (2, 1), (3, 3)}
+    assert {"index", "sketches", "components"} <= set(seen) and set(seen.values()) == {jaccard.BATCH_ROWS}
+    assert spark.conf.get(key) == before
