@@ -20,8 +20,16 @@ from .registry import Tables
 # Orders date from 1995 to 2001; both ends of the window cut some of them off.
 WINDOW = ("1995-07-01", "2001-03-31")
 
-ACCESSION = "concat('A', lpad(cast(o_orderkey AS string), 10, '0')) AS accession"
-SERIES_ID = "concat(if(l_suppkey % 2 = 1, ' s', 'S'), lpad(cast(l_suppkey AS string), 9, '0')) AS series_id"
+
+def _accession(key: str) -> str:
+    return f"concat('A', lpad(cast({key} AS string), 10, '0')) AS accession"
+
+
+ACCESSION = _accession("o_orderkey")
+
+
+def _series_id(key: str) -> str:
+    return f"concat(if({key} % 2 = 1, ' s', 'S'), lpad(cast({key} AS string), 9, '0')) AS series_id"
 
 
 def _filings(t: Tables) -> DataFrame:
@@ -47,16 +55,18 @@ def raw_filings(t: Tables) -> DataFrame:
 
 
 def raw_series(t: Tables) -> DataFrame:
+    # What a name takes from its supplier is made once a supplier.
     lines = t.lineitem.select("l_orderkey", "l_suppkey").distinct()
-    joined = lines.join(t.orders, lines["l_orderkey"] == t.orders["o_orderkey"]).join(
-        t.supplier, lines["l_suppkey"] == t.supplier["s_suppkey"]
+    named = t.supplier.selectExpr(
+        "s_suppkey",
+        _series_id("s_suppkey"),
+        "concat(CASE s_suppkey % 6 WHEN 0 THEN 'Green   Growth ' WHEN 1 THEN ' Sustainable Income '"
+        " WHEN 2 THEN 'Greenway Equity ' ELSE 'Equity ' END, s_name) AS name",
     )
-    return joined.selectExpr(
-        ACCESSION,
-        SERIES_ID,
-        "concat(CASE l_suppkey % 6 WHEN 0 THEN 'Green   Growth ' WHEN 1 THEN ' Sustainable Income '"
-        " WHEN 2 THEN 'Greenway Equity ' ELSE 'Equity ' END, s_name, if(year(o_orderdate) < 1998, ' Old', '')) AS series_name",
+    joined = lines.join(t.orders, lines["l_orderkey"] == t.orders["o_orderkey"]).join(
+        named, lines["l_suppkey"] == named["s_suppkey"]
     )
+    return joined.selectExpr(ACCESSION, "series_id", "concat(name, if(year(o_orderdate) < 1998, ' Old', '')) AS series_name")
 
 
 TITLE = """CASE p_type WHEN 'ECONOMY' THEN 'Report on climate transition plan'
@@ -75,21 +85,22 @@ def _written(fmt: str) -> str:
 
 def raw_votes(t: Tables, keep: Sequence[str] = ()) -> DataFrame:
     """Line items as raw votes; ``keep`` names columns of theirs that stay beside."""
-    lines = t.lineitem
-    proposals = t.part.selectExpr("p_partkey", TITLE, CATEGORIES, "substring_index(p_name, ' ', 1) AS colour")
+    # Titles and categories are spelled out behind the joins, as they would be most of what the joins shuffle.
+    proposals = t.part.selectExpr("p_partkey", "p_type", "substring_index(p_name, ' ', 1) AS colour")
     filed = _filings(t).selectExpr(
-        "o_orderkey", "c_mktsegment", "substr(c_mktsegment, 1, 4) AS code",
+        ACCESSION, "o_orderkey", "c_mktsegment", "substr(c_mktsegment, 1, 4) AS code",
         f"CASE WHEN o_orderkey % 41 = 0 THEN NULL WHEN o_orderkey % 6 = 0 THEN {_written('M/d/yyyy')}"
         f" WHEN o_orderkey % 6 = 1 THEN {_written('MM/dd/yy')} WHEN o_orderkey % 6 = 2 THEN {_written('d-MMM-yyyy')}"
         f" WHEN o_orderkey % 6 = 3 THEN {_written('dd-MMM-yy')} WHEN o_orderkey % 6 = 4 THEN {_written('yyyyMMdd')}"
         f" ELSE {_written('MM/dd/yyyy')} END AS meeting_date",
     )
-    # Two large tables on their common key: a merge join, as their sizes would have it on a cluster.
-    joined = lines.join(filed.hint("merge"), lines["l_orderkey"] == filed["o_orderkey"]).join(
-        proposals, lines["l_partkey"] == proposals["p_partkey"]
-    )
-    return joined.selectExpr(
-        ACCESSION,
+    # Parts first, while lines are narrow and those that a filter drops need not meet their orders.
+    lines = t.lineitem.join(proposals, t.lineitem["l_partkey"] == proposals["p_partkey"]).selectExpr("*", _accession("l_orderkey"))
+    # They meet on the accession, the key that the build joins votes to filings by, so that one shuffle serves both
+    # joins. It holds ten digits, so whole keys are compared beside it: as a range, which adds no key to shuffle by.
+    joined = lines.join(filed, "accession").filter("l_orderkey BETWEEN o_orderkey AND o_orderkey")
+    return joined.selectExpr("*", TITLE, CATEGORIES).selectExpr(
+        "accession",
         "concat(c_mktsegment, if(o_orderkey % 2 = 0, ' Holdings, Inc.', ' Inc')) AS issuer_name",
         "if(o_orderkey % 13 = 0, 'N/A', concat(' 00000', lower(code))) AS cusip",
         "concat('US000000', code) AS isin",
@@ -98,7 +109,7 @@ def raw_votes(t: Tables, keep: Sequence[str] = ()) -> DataFrame:
         " WHEN 2 THEN concat(title, ' (', l_linenumber, ')') WHEN 3 THEN concat(title, ' ', colour)"
         " ELSE title END AS vote_description",
         "categories",
-        "CASE WHEN o_orderkey % 211 = 0 THEN 'Vote Source' WHEN l_linestatus = 'O' THEN 'SECURITY HOLDER'"
+        "CASE WHEN l_orderkey % 211 = 0 THEN 'Vote Source' WHEN l_linestatus = 'O' THEN 'SECURITY HOLDER'"
         " WHEN l_linenumber % 3 = 0 THEN ' Issuer ' WHEN l_linenumber % 3 = 1 THEN 'mgmt'"
         " ELSE 'Security Holder' END AS vote_source",
         "cast(cast(l_quantity AS long) AS string) AS shares_voted_total",
@@ -112,7 +123,7 @@ def raw_votes(t: Tables, keep: Sequence[str] = ()) -> DataFrame:
         " ELSE cast(cast(l_quantity AS long) AS string) END AS shares_voted",
         "CASE (l_partkey + l_linenumber) % 4 WHEN 0 THEN 'For' WHEN 1 THEN 'against' WHEN 2 THEN 'None'"
         " ELSE ' FOR ' END AS management_recommendation",
-        SERIES_ID,
+        _series_id("l_suppkey"),
         "'' AS other_info",
         *keep,
     )

@@ -43,19 +43,14 @@ def quality_summary(votes: DataFrame) -> DataFrame:
 def funds(series: DataFrame, filings: DataFrame) -> DataFrame:
     """One row per fund: latest attributes, years seen, and whether its name carries a theme word."""
     parent = filings.select("filing_id", "filer_cik", "filer_name", "report_year", "filed_date")
-    # Dates and years only, so the many filings of a fund fold into its few names by hash
-    # aggregation; which name is the latest is decided among those.
-    names = J.with_parent(series, parent, "filing_id").groupBy("fund_id", "fund_name", "filer_cik", "filer_name").agg(
-        F.max("filed_date").alias("filed_date"),
-        F.min("report_year").alias("first_report_year"),
-        F.max("report_year").alias("last_report_year"),
-    )
+    # One aggregate by fund: each task folds its rows into the funds it meets before the shuffle, however many
+    # filers and filings a fund has.
     ties = ["filer_cik", "fund_name", "filer_name"]
-    latest = names.groupBy("fund_id").agg(
+    latest = J.with_parent(series, parent, "filing_id").groupBy("fund_id").agg(
         *[A.latest_by(c, "filed_date", *ties).alias(c) for c in ["fund_name", "filer_name", "filer_cik"]],
         F.count_distinct("fund_name").alias("names_used"),
-        F.min("first_report_year").alias("first_report_year"),
-        F.max("last_report_year").alias("last_report_year"),
+        F.min("report_year").alias("first_report_year"),
+        F.max("report_year").alias("last_report_year"),
     )
     return latest.withColumn("is_esg_named", text.matches_word("fund_name", V.THEME_WORDS))
 
