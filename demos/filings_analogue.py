@@ -55,18 +55,21 @@ def raw_filings(t: Tables) -> DataFrame:
 
 
 def raw_series(t: Tables) -> DataFrame:
+    # Lines are dealt by accession before they are made distinct, so that this, the join to the orders and the
+    # build's join to the filings share one shuffle. Whole keys are compared beside it, as for the votes.
+    lines = t.lineitem.selectExpr(_accession("l_orderkey"), "l_orderkey", "l_suppkey").repartition("accession").distinct()
+    filed = t.orders.selectExpr(ACCESSION, "o_orderkey", "if(year(o_orderdate) < 1998, ' Old', '') AS ending")
     # What a name takes from its supplier is made once a supplier.
-    lines = t.lineitem.select("l_orderkey", "l_suppkey").distinct()
     named = t.supplier.selectExpr(
         "s_suppkey",
         _series_id("s_suppkey"),
         "concat(CASE s_suppkey % 6 WHEN 0 THEN 'Green   Growth ' WHEN 1 THEN ' Sustainable Income '"
         " WHEN 2 THEN 'Greenway Equity ' ELSE 'Equity ' END, s_name) AS name",
     )
-    joined = lines.join(t.orders, lines["l_orderkey"] == t.orders["o_orderkey"]).join(
+    joined = lines.join(filed, "accession").filter("l_orderkey BETWEEN o_orderkey AND o_orderkey").join(
         named, lines["l_suppkey"] == named["s_suppkey"]
     )
-    return joined.selectExpr(ACCESSION, "series_id", "concat(name, if(year(o_orderdate) < 1998, ' Old', '')) AS series_name")
+    return joined.selectExpr("accession", "series_id", "concat(name, ending) AS series_name")
 
 
 TITLE = """CASE p_type WHEN 'ECONOMY' THEN 'Report on climate transition plan'

@@ -27,25 +27,32 @@ LETTERS_PER_RANGE = 5
 
 
 def plain(text, symbol: str = " ", keep_spaces: bool = True) -> Column:
-    """Lower-cased text with every character but a-z, 0-9 (and the space) replaced."""
-    return swap_symbols(F.lower(as_column(text)), symbol, keep_spaces)
-
-
-def swap_symbols(lowered: Column, symbol: str = " ", keep_spaces: bool = True) -> Column:
-    """The same for a text that is in lower case already.
+    """Lower-cased text with every character but a-z, 0-9 (and the space) replaced.
 
     ASCII symbols go by character translation, which is several times quicker than a
     pattern. Only a text that holds more than ASCII (or the NUL, which ``translate`` cannot
-    name) is searched by the pattern as well.
+    name) is searched by the pattern as well. The text itself tells which, so nothing has to be
+    bound, and the whole is compiled code.
     """
+    text = as_column(text)
+    translated, pattern = _translated(F.lower(text), symbol, keep_spaces)
+    return F.when(_all_ascii(text), translated).otherwise(F.regexp_replace(translated, pattern, symbol))
+
+
+def swap_symbols(lowered: Column, symbol: str = " ", keep_spaces: bool = True) -> Column:
+    """The same for a text that is in lower case already, and made in steps that are best taken once."""
+    translated, pattern = _translated(lowered, symbol, keep_spaces)
+    return bind(translated, lambda t: F.when(_all_ascii(t), t).otherwise(F.regexp_replace(t, pattern, symbol)))
+
+
+def _translated(lowered: Column, symbol: str, keep_spaces: bool) -> tuple[Column, str]:
+    """The text without ASCII symbols, and the pattern of what is still to be replaced in it."""
     known = ASCII_SYMBOLS if keep_spaces else ASCII_SYMBOLS + " "
-    other = r"[^a-z0-9 ]" if keep_spaces else r"[^a-z0-9]"
-    return bind(
-        F.translate(lowered, known, symbol * len(known)),
-        lambda t: F.when((F.octet_length(t) == F.char_length(t)) & ~t.contains("\0"), t).otherwise(
-            F.regexp_replace(t, other, symbol)
-        ),
-    )
+    return F.translate(lowered, known, symbol * len(known)), r"[^a-z0-9 ]" if keep_spaces else r"[^a-z0-9]"
+
+
+def _all_ascii(text: Column) -> Column:
+    return (F.octet_length(text) == F.char_length(text)) & ~text.contains("\0")
 
 
 def trim(text) -> Column:

@@ -46,7 +46,9 @@ def funds(series: DataFrame, filings: DataFrame) -> DataFrame:
     # One aggregate by fund: each task folds its rows into the funds it meets before the shuffle, however many
     # filers and filings a fund has.
     ties = ["filer_cik", "fund_name", "filer_name"]
-    latest = J.with_parent(series, parent, "filing_id").groupBy("fund_id").agg(
+    latest = A.fold(
+        J.with_parent(series, parent, "filing_id"),
+        ["fund_id"],
         *[A.latest_by(c, "filed_date", *ties).alias(c) for c in ["fund_name", "filer_name", "filer_cik"]],
         F.count_distinct("fund_name").alias("names_used"),
         F.min("report_year").alias("first_report_year"),

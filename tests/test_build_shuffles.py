@@ -2,8 +2,11 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from demos import filings_analogue
 from demos.registry import Tables
+from rollcall.operators import aggregates as A
 from rollcall.plans import marts, staging
 from rollcall.session import TABLE_SETTINGS
 
@@ -41,6 +44,23 @@ def test_votes_are_shuffled_by_filing_once(spark):
     assert keys.count("accession") == 2 and keys.count("filing_id") == 1
 
 
+def test_series_are_shuffled_by_filing_once(spark):
+    t = Tables(spark, SMALLEST)
+    filings = staging.filings(filings_analogue.raw_filings(t))
+    # The suppliers alone are small.
+    keys = _shuffles(marts.funds(staging.series(filings_analogue.raw_series(t)), filings), "4000")
+    # Lines and orders by accession, filings by filing_id; the distinct lines and the joined series not again.
+    assert keys.count("accession") == 2 and keys.count("filing_id") == 1
+    assert not any("l_orderkey" in k or "o_orderkey" in k for k in keys)
+
+
+def test_groups_that_hold_texts_are_sorted_by_a_number_first(spark):
+    rows = spark.createDataFrame([("S1", "a"), ("S1", "b"), (None, "c"), (None, None)], "fund_id string, name string")
+    folded = A.fold(rows, ["fund_id"], A.any_answer("name").alias("name"), F.count_distinct("name").alias("n"))
+    assert sorted(map(tuple, folded.collect()), key=str) == [("S1", "a", 2), (None, "c", 1)]
+    assert re.search(r"Sort \[_\w+#\d+L ASC", folded._jdf.queryExecution().executedPlan().toString())
+
+
 def test_funds_fold_before_the_shuffle(spark):
     series = spark.createDataFrame(
         [("f1", "S1", "Old"), ("f2", "S1", "New"), ("f3", "S1", "Late"), ("f4", "S1", None), ("f5", "S2", "Undated"), ("f9", "S3", "Lost")],

@@ -191,3 +191,14 @@ def test_shared_starts_match_the_same_texts(spark):
                  "eliminates", "ai board", "ai", "c", "", "gun", "begun", "tax practices", "vote", "voters"]
         for word in words:
             assert bool(re.search(flat, word)) == bool(re.search(grouped, word)), word
+
+
+def test_symbols_go_without_a_bound_variable(spark):
+    # A bound variable is evaluated outside the compiled code, row by row.
+    texts = ["Héllo, World-2!", "PLAIN & simple", "a\0b", "Kelvin", "", None, "tab\there", "Straße  №5"]
+    for symbol, spaces, pattern in [(" ", True, r"[^a-z0-9 ]"), ("", True, r"[^a-z0-9 ]"), ("", False, r"[^a-z0-9]")]:
+        want = apply(spark, F.regexp_replace(F.lower("x"), pattern, symbol), texts)
+        assert apply(spark, text.plain("x", symbol, spaces), texts) == want
+        assert apply(spark, text.swap_symbols(F.lower("x"), symbol, spaces), texts) == want
+    plan = spark.range(1).selectExpr("cast(id AS string) AS x").select(text.wording_key("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
