@@ -27,6 +27,7 @@ id is its least id that is not null. Other columns play no part.
 
 from __future__ import annotations
 
+import ctypes
 import math
 import sys
 from collections.abc import Callable, Iterator
@@ -54,11 +55,11 @@ MOST_AGREE = 6
 LONG = 9  # elements that a segment has to have on average for its deletions to be indexed
 # A family is cut into chunks of so many sets or elements, a group into chunks of so many sketches or bytes of them.
 CHUNK_SETS, CHUNK_ELEMENTS = 4096, 2_000_000
-TILE_SETS, TILE_ELEMENTS = 512, 250_000  # of each chunk, what is multiplied at a time
+TILE_SETS, TILE_ELEMENTS = 512, 125_000  # of each chunk, what is multiplied at a time
 CHUNK_SKETCHES, CHUNK_BYTES = 4096, 1 << 23
 STRIP = 256  # sketches of one chunk that are held against those of another at a time
 BATCH_ROWS = 1000  # sets handed to Python at a time, which JVM and Python both hold whole
-COLUMNS = 4096  # elements that a matrix product takes at a time
+COLUMNS = 2048  # elements that a matrix product takes at a time
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -229,6 +230,26 @@ def sliced(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         at = to
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run``, with memory that is free already handed back to the system before and after it.
+
+    Worker processes serve many tasks, and keep what their largest one needed, beside a JVM that does so too.
+    """
+
+    def release() -> None:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+        if trim:
+            trim(0)
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        yield from run(batches)
+        release()
+
+    return held
+
+
 def index(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(doc_id, row, n, cls): set size and class of each document; ``row`` stands for its id and text."""
 
@@ -243,7 +264,7 @@ def index(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 )
 
     sets = docs.select(F.col("doc_id").cast("long"), row_key(), shingles(F.col("text"), size).alias("set"))
-    return sets.mapInArrow(run, "doc_id long, row long, n long, cls long")
+    return sets.mapInArrow(lean(run), "doc_id long, row long, n long, cls long")
 
 
 def signed(docs: DataFrame, bands: Bands, size: int) -> DataFrame:
@@ -256,7 +277,7 @@ def signed(docs: DataFrame, bands: Bands, size: int) -> DataFrame:
                 _, nodes, values = signatures(elements, ends.astype(np.int64), bands)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(nodes.view(np.int64))], ["sig", "node"])
 
-    return docs.select(shingles(F.col("text"), size).alias("set")).mapInArrow(run, "sig long, node long")
+    return docs.select(shingles(F.col("text"), size).alias("set")).mapInArrow(lean(run), "sig long, node long")
 
 
 def sketched(docs: DataFrame, bands: Bands, size: int) -> DataFrame:
@@ -283,7 +304,7 @@ def sketched(docs: DataFrame, bands: Bands, size: int) -> DataFrame:
                         ["node", "cls", "band", "sketch"],
                     )
 
-    return docs.select(shingles(F.col("text"), size).alias("set")).mapInArrow(run, "node long, cls long, band long, sketch binary")
+    return docs.select(shingles(F.col("text"), size).alias("set")).mapInArrow(lean(run), "node long, cls long, band long, sketch binary")
 
 
 def row_key() -> Column:
@@ -329,7 +350,7 @@ def in_blocks(placed: DataFrame, group: str, found: Callable[[list[dict], list[d
         if rows:
             yield out()
 
-    return placed.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
+    return placed.repartition(*key).sortWithinPartitions(*key).mapInArrow(lean(run), "a long, b long")
 
 
 def families(docs: DataFrame, indexed: DataFrame, bands: Bands, size: int) -> DataFrame:

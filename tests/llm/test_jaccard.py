@@ -221,3 +221,28 @@ def test_sets_go_to_python_in_small_batches(spark, monkeypatch):
     assert got == {(1, 1), (2, 1), (3, 3)}
     assert {"index", "sketches", "components"} <= set(seen) and set(seen.values()) == {jaccard.BATCH_ROWS}
     assert spark.conf.get(key) == before
+
+
+def test_workers_hand_free_memory_back():
+    import ctypes
+    import re
+
+    def held():
+        with open("/proc/self/status") as f:
+            return int(re.search(r"RssAnon:\s+(\d+)", f.read()).group(1)) / 1024
+
+    if not getattr(ctypes.CDLL(None), "malloc_trim", None):
+        pytest.skip("not glibc")
+
+    def run(batches):
+        for b in batches:
+            rows = [bytes(3000) for _ in range(60_000)]
+            kept.append(bytes(100))  # above what is freed
+            yield b
+            del rows
+
+    kept = []
+    list(jaccard.lean(run)(iter([1])))
+    before = held()
+    assert list(jaccard.lean(run)(iter([1, 2]))) == [1, 2]
+    assert held() < before + 60
