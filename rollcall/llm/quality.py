@@ -258,8 +258,9 @@ def entries_told(asked: DataFrame, entries: DataFrame, turns: int) -> DataFrame:
         known, table, now = {}, None, None
         for batch in batches:
             for row in batch.to_pylist():
-                if row["shard"] != now:
-                    known, table, now = {}, np.zeros((1 + len(STATISTICS), 0), np.int64), row["shard"]
+                # Each turn is told the whole shard anew, in parts; what an earlier turn in the same task was told must not stay.
+                if (row["shard"], row["turn"]) != now:
+                    known, table, now = {}, np.zeros((1 + len(STATISTICS), 0), np.int64), (row["shard"], row["turn"])
                 words = words_of(row["words"])
                 if row["block"] is None:
                     known.update(zip(words, range(len(known), len(known) + len(words))))

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from rollcall.llm import quality
+from rollcall.llm.common import batches_of
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -64,6 +65,20 @@ def test_perplexities_against_a_plain_model(spark, docs, monkeypatch, words, tok
         assert r.role == (2 if r.doc_id in held else 1 if r.doc_id < 250 else 0)
 
 
+def test_a_task_with_several_turns_of_a_shard_in_parts_answers_each_turn_rightly(spark, docs, monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK_CHARS", 500)
+    monkeypatch.setattr(quality, "BLOCKS_A_TASK", 2)
+    rows, labels = corpus()
+    table = spark.createDataFrame(labels, LABELS)
+    held = {r.doc_id for r in quality.trusted_ids(table).where("held").collect()}
+    want = plain(rows, labels, held)
+    with batches_of(spark, 7):  # a part of a shard holds seven words then
+        got = quality.perplexities(docs(*rows), table).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert math.isclose(r.log_probability, want[r.doc_id], rel_tol=1e-9, abs_tol=1e-9)
+
+
 def test_junk_goes_and_clean_text_stays(spark, docs, clashing):
     rows, labels = corpus()
     d = clashing(docs(*rows))
@@ -188,6 +203,7 @@ spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "fals
 spark.sparkContext.setCheckpointDir({str(tmp_path / "shared")!r})
 sys.path.insert(0, {str(Path(__file__).parents[2])!r})
 from rollcall.llm import quality
+from rollcall.llm.common import batches_of
 docs = spark.createDataFrame([(i, "the cat and the dog " * (i + 1), "en") for i in range(20)], "doc_id long, text string, lang string")
 labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
 print("rows", quality.judge(docs, labels).count())
