@@ -12,7 +12,7 @@ from rollcall.operators import profile as P
 from rollcall.operators import ranking as R
 from rollcall.plans import labelling, marts, reports, staging
 
-from .filings_analogue import WINDOW, built, expected, half_up, pct, raw, raw_filings, raw_series, raw_votes
+from .filings_analogue import WINDOW, built, built_in_store, expected, half_up, pct, raw, raw_filings, raw_series, raw_votes
 from .registry import ORACLES, Tables, query
 
 
@@ -558,7 +558,7 @@ def _report(name: str) -> str:
 })))
 def declared_checks(t):
     """All thirty rules on the build."""
-    return K.run_rules(built(t), reports.declared_rules())
+    return K.run_rules(built_in_store(t), reports.declared_rules())
 
 
 @query(expected("""

@@ -9,11 +9,13 @@ recovered them.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
 from rollcall.plans.build import build
+from rollcall.session import durable_dir, stored
 
 from .registry import Tables
 
@@ -140,6 +142,17 @@ def built(t: Tables) -> dict[str, DataFrame]:
     return build(raw(t), window=WINDOW)
 
 
+# Line items whose votes are joined and written at a time.
+LINES_A_PASS = 20_000_000
+
+
+def built_in_store(t: Tables) -> dict[str, DataFrame]:
+    """The same, for queries that read most of its tables: each is made and written once, and what was shuffled for it goes with the write."""
+    landed = {"filings": stored(raw_filings(t)), "series": stored(raw_series(t)), "votes": raw_votes(t)}
+    passes = max(1, -(-t.lineitem.count() // LINES_A_PASS))
+    return build(landed, f"{durable_dir(t.spark)}/store-{uuid.uuid4().hex}", window=WINDOW, votes_by=(), passes=passes)
+
+
 # The clean values ---------------------------------------------------------------
 
 EXPECTED = f"""

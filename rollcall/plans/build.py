@@ -8,7 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame
 
 from rollcall import values as V
-from rollcall.session import cut_lineage
+from rollcall.session import cut_lineage, stored
 from rollcall.sources.sinks import materialise
 
 from . import labelling, marts, reports, staging
@@ -20,19 +20,23 @@ def build(
     labels: DataFrame | None = None,
     window: tuple[str, str] = V.MEETING_WINDOW,
     threshold: float = V.MATCH_THRESHOLD,
+    votes_by: Sequence[str] = ("report_year",),
+    passes: int = 1,
 ) -> dict[str, DataFrame]:
     """Every table of the build.
 
     With a ``store``, marts are written there as Parquet and read back, so the vote table
     is cleaned once and later marts read columns from disk. Without one the plan stays
-    lazy, but for what labelling has to materialise. Given ``labels`` replace the
+    lazy, but for what labelling has to materialise. Stored votes are partitioned by the columns ``votes_by``, for which
+    they are shuffled once more. They are written in so many ``passes``, each over the votes of some filings; with more
+    than one, nothing else is written beside them. Given ``labels`` replace the
     labelling step.
     """
     out: dict[str, DataFrame] = {}
 
-    def keep(name: str, df: DataFrame, kind: str = "table", partition_by: Sequence[str] = ()) -> DataFrame:
+    def keep(name: str, df: DataFrame, kind: str = "table", partition_by: Sequence[str] = (), passes: int = 1) -> DataFrame:
         # The session is not the build's own, so its views carry a prefix that no user's view has.
-        out[name] = materialise(df, f"rollcall_{name}" if kind == "view" else name, kind, store, partition_by)
+        out[name] = materialise(df, f"rollcall_{name}" if kind == "view" else name, kind, store, partition_by, passes, ["filing_id"])
         return out[name]
 
     def keep_together(*tables: tuple) -> list[DataFrame]:
@@ -43,13 +47,11 @@ def build(
     filings = keep("filings", staging.filings(raw["filings"]), "view")
     series = keep("series", staging.series(raw["series"]), "view")
     clean = keep("clean_votes", staging.clean_votes(raw["votes"], window), "view")
-    votes, funds = keep_together(
-        ("votes", marts.votes(clean, filings), "table", ["report_year"]),
-        ("funds", marts.funds(series, filings)),
-    )
+    first = [("votes", marts.votes(clean, filings), "table", votes_by, passes), ("funds", marts.funds(series, filings))]
+    votes, funds = keep_together(*first) if passes == 1 else [keep(*table) for table in first]
 
     # Stored votes are read back; otherwise the clean ones spare a second join to the filings.
-    answers = marts.fund_answers(votes if store else clean, filings, funds)
+    answers = marts.fund_answers(votes if store else clean, filings, funds, stored if store else cut_lineage)
     # Labelling reads the answers and so does the labelled fact: settle them once.
     answers = keep("fund_answers", answers if store else cut_lineage(answers))
     if labels is None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,13 +78,15 @@ def qualifying_votes(votes: DataFrame, filings: DataFrame) -> DataFrame:
     return J.with_parent(wanted, parent, "filing_id").withColumn("proposal_key", key)
 
 
-def fund_answers(votes: DataFrame, filings: DataFrame, funds: DataFrame) -> DataFrame:
+def fund_answers(
+    votes: DataFrame, filings: DataFrame, funds: DataFrame, cut: Callable[[DataFrame], DataFrame] = cut_lineage
+) -> DataFrame:
     """One row per fund and proposal, not yet labelled.
 
     Split answers are settled first, which shrinks the votes to one row per proposal;
     superseded filings are dropped from that smaller table. Both steps read the same
     qualifying votes, so a corrected filing without such votes displaces nothing. Votes need
-    not have met their filing yet: they meet it here.
+    not have met their filing yet: they meet it here. ``cut`` materialises the settled answers.
     """
     answers = A.one_answer(
         qualifying_votes(votes, filings),
@@ -95,7 +99,7 @@ def fund_answers(votes: DataFrame, filings: DataFrame, funds: DataFrame) -> Data
     )
     # The latest filing is sought among these rows and then joined back to them. Both sides
     # read the settled rows, a small part of the votes, instead of cleaning the votes twice.
-    answers = cut_lineage(answers)
+    answers = cut(answers)
     current = J.keep_latest(answers, ["filer_cik", "report_year", "fund_id"], "filing_id", "filed_date").select(
         "filing_id", "fund_id", "proposal_key", "filer_cik", "filer_name", "report_year", "issuer_name", "cusip",
         "meeting_date", "proposal_text", "is_environment", "is_social", "vote", "voted_with_management",

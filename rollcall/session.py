@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections import Counter
+from collections.abc import Iterator
+from contextlib import contextmanager
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +53,31 @@ def durable_dir(spark: SparkSession) -> str:
     return named
 
 
+_SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock, _writing, _before = Lock(), Counter(), {}
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a table that is written meanwhile go with the write; else they stay until the driver collects its garbage.
+
+    Tables may be written side by side. Nothing but writes belongs in here: a result that is read again would be made again.
+    """
+    key = id(spark)
+    with _lock:
+        if not _writing[key]:
+            _before[key] = spark.conf.get(_SHUFFLES_GO)
+            spark.conf.set(_SHUFFLES_GO, "true")
+        _writing[key] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writing[key] -= 1
+            if not _writing[key]:
+                spark.conf.set(_SHUFFLES_GO, _before.pop(key))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably, so iterative jobs neither replay nor diverge after a lost executor."""
     context = df.sparkSession.sparkContext
@@ -60,5 +89,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """The same for tables as large as the input: written once as compressed Parquet, of which later steps read the columns they need."""
     path = f"{durable_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)

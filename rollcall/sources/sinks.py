@@ -4,27 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.operators.checks import audit_rows
 from rollcall.operators.profile import stored_size
+from rollcall.session import shuffles_dropped
 
 
-def write_curated(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
+def write_curated(
+    df: DataFrame, path: str, partition_by: Sequence[str] = (), passes: int = 1, dealt_by: Sequence[str] = ()
+) -> DataFrame:
     """Replace a Parquet table and return it as read back.
 
     A partitioned table is rebalanced on its partition columns first. Without that every
     task writes a file into every partition, and a table read from many small files
     stays in many small files; rebalancing also splits a partition that is too large.
+
+    In several ``passes``, rows are dealt to them by a hash of ``dealt_by``, and what a pass shuffles goes before the next:
+    for tables whose shuffles would not fit the disk at once. Dealt by the key of its joins, a row meets the same rows.
     """
-    if partition_by:
-        df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    else:
-        df.write.mode("overwrite").parquet(path)
+    for k in range(passes):
+        rows = df if passes == 1 else df.filter(F.pmod(F.xxhash64(*dealt_by), F.lit(passes)) == k)
+        rows = rows.hint("rebalance", *partition_by) if partition_by else rows
+        with shuffles_dropped(df.sparkSession):
+            rows.write.mode("append" if k else "overwrite").partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of files that nothing reads any more, wherever it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def write_counted(df: DataFrame, path: str) -> tuple[DataFrame, int]:
     """Replace a Parquet table; returns it as read back, and the rows that went in.
 
@@ -52,10 +65,10 @@ def append_jsonl(df: DataFrame, path: str) -> None:
 
 
 def materialise(df: DataFrame, name: str, kind: str, store: str | None = None,
-                partition_by: Sequence[str] = ()) -> DataFrame:
+                partition_by: Sequence[str] = (), passes: int = 1, dealt_by: Sequence[str] = ()) -> DataFrame:
     """A staging model becomes a temporary view, a mart a Parquet table under ``store``."""
     if kind == "table" and store:
-        df = write_curated(df, f"{store}/{name}", partition_by)
+        df = write_curated(df, f"{store}/{name}", partition_by, passes, dealt_by)
     if kind == "view":
         df.createOrReplaceTempView(name)
     return df
